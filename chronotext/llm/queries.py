@@ -1,5 +1,6 @@
 """The queries opN_<name>, and DuckDB SQL for those that SQL can express."""
 from .decontaminate import op5_decontaminate
+from .packing import op4_pack
 
-QUERIES = {f.__name__: f for f in (op5_decontaminate,)}
+QUERIES = {f.__name__: f for f in (op4_pack, op5_decontaminate)}
 ORACLE_SQL = {}
