@@ -1,6 +1,7 @@
 """The queries opN_<name>, and DuckDB SQL for those that SQL can express."""
 from .decontaminate import op5_decontaminate
 from .packing import op4_pack
+from .toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op4_pack, op5_decontaminate)}
+QUERIES = {f.__name__: f for f in (op4_pack, op5_decontaminate, op10_toxicity)}
 ORACLE_SQL = {}
