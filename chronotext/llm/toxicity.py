@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 MAX_TOXIC, MAX_CLEAN = 4_000, 12_000
 LONGEST_ENTRY = 12
-MIN_ROWS, MIN_WEIGHT, MAX_CLEAN_SHARE = 5, 4.0, 0.02
+MIN_ROWS, MIN_WEIGHT, SURE, KEPT = 5, 2.0, 2.75, 0.9
 
 # Letters of other scripts that look like Latin ones, pairwise.
 LOOK_ALIKES = str.maketrans("аеорсухіјѕԁһѵвкмнтгпιοαρνυκτεβσχωɑɡıℓßøđłæœ", "aeopcyxijsdhvbkmhtrnioapvuktebsxwagilsodlao")
@@ -111,27 +111,26 @@ def _count_entries(batches):
 def choose_entries(counts, n_clean, n_toxic):
     """{entry: weight} from {entry: (clean rows, toxic rows)}.
 
-    A shortest acceptable prefix is lengthened as long as one longer one keeps nearly all of its rows.
+    Entries are taken in the order of their toxic rows times their weight, if their weight is large against its
+    standard error, and lengthened while one longer entry keeps nearly all toxic rows; no entry begins another one.
     """
     def weight(e):
         return np.log((counts[e][1] + 0.5) / (n_toxic + 1)) - np.log((counts[e][0] + 0.5) / (n_clean + 1))
 
     def good(e):
-        return counts[e][1] >= MIN_ROWS and counts[e][0] <= MAX_CLEAN_SHARE * counts[e][1] and weight(e) >= MIN_WEIGHT
+        clean, toxic = counts[e]
+        return toxic >= MIN_ROWS and weight(e) >= max(MIN_WEIGHT, SURE * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)))
 
     longer = {}
     for e in counts:
         longer.setdefault(e[:-1], []).append(e)
-    out = {}
-    for e in sorted(filter(good, counts), key=lambda e: (len(e), e)):
-        if any(e[:n] in counts and good(e[:n]) for n in range(3, len(e))):
-            continue
-        while True:
-            best = max(longer.get(e, ()), key=lambda x: (counts[x][1], x), default=None)
-            if best is None or counts[best][1] < 0.95 * counts[e][1] or not good(best):
-                break
-            e = best
-        out[e] = float(weight(e))
+    out, begun = {}, set()
+    for e in sorted(filter(good, counts), key=lambda e: (-counts[e][1] * weight(e), e)):
+        if e not in begun and not any(e[:n] in out for n in range(3, len(e) + 1)):
+            while longest := [x for x in longer.get(e, ()) if counts[x][1] >= KEPT * counts[e][1] and good(x)]:
+                e = longest[0]
+            out[e] = float(weight(e))
+            begun.update(e[:n] for n in range(3, len(e)))
     return out
 
 
@@ -177,12 +176,12 @@ def fit(docs, labels, doc_id="doc_id", text="text", label="toxic", max_toxic=MAX
         share = (n_toxic + 0.5) / (n_clean + n_toxic + 1)
         return {"weights": {}, "exceptions": [], "curve": [float(np.log(share / (1 - share))), 0.0, 0.0]}
     counted = sample.mapInArrow(_count_entries, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # Rows of entries that can't be accepted, nor lengthen one that can, stay on the executors.
-    kept = counted.where((F.col("toxic") >= MIN_ROWS) & (F.col("clean") <= MAX_CLEAN_SHARE * F.col("toxic")))
+    # Entries that can't be accepted stay on the executors.
+    kept = counted.where((F.col("toxic") >= MIN_ROWS) & (F.col("toxic") * (n_clean + 1) >= F.col("clean") * (n_toxic + 1)))
     weights = choose_entries({r[0]: (r[1], r[2]) for r in kept.collect()}, n_clean, n_toxic)
     shipped = spark.sparkContext.broadcast(weights)
     around = sample.mapInArrow(_contexts(shipped), "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    exceptions = sorted(r[0] for r in around.where("t = 0 and n >= 5").collect())
+    exceptions = sorted(r[0] for r in around.where("t = 0 and n >= 10").collect())
     model = {"weights": weights, "exceptions": exceptions, "curve": [0.0, 0.0, 0.0]}
     scored = sample.select(F.lit(0).alias("id"), "__text", "__y").mapInArrow(_sums(spark.sparkContext.broadcast(model)), "total double, words long, toxic int").collect()
     total, words, y = (np.array([r[k] for r in scored], dtype=float) for k in range(3))
