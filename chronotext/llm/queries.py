@@ -1,7 +1,9 @@
 """The queries opN_<name>, and DuckDB SQL for those that SQL can express."""
+from . import chat
+from .chat import op8_chat
 from .decontaminate import op5_decontaminate
 from .packing import op4_pack
 from .toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op4_pack, op5_decontaminate, op10_toxicity)}
-ORACLE_SQL = {}
+QUERIES = {f.__name__: f for f in (op4_pack, op5_decontaminate, op8_chat, op10_toxicity)}
+ORACLE_SQL = {"op8_chat": chat.SQL}
