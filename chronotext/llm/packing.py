@@ -10,6 +10,7 @@ The driver holds the histogram (one count a length, at most ``capacity``) and th
 at most one new pack group and splits at most one, so there are at most 2 * ``capacity`` of them.
 """
 import heapq
+import sys
 import zlib
 
 import numpy as np
@@ -23,7 +24,8 @@ from .store import stored
 
 CAPACITY = 4096
 END_ID = 2
-CACHED_WORDS = 300_000
+CACHED_WORDS, CACHED_PARTS = 400_000, 1_000_000
+SIGNS = b".,;:!?#$%&*()[]{}-_=+/|@^~`\"<>\\"
 SALTS = 64
 
 
@@ -33,32 +35,63 @@ def default_tokenizer():
 
 
 class WordCache(dict):
-    """Token bytes of white-space-separated words: the tokenizer drops white space and merges within words only."""
+    """Token bytes of white-space-separated words: the tokenizer drops white space and merges within words only.
+
+    A word of letters with ASCII signs behind it is encoded as the letters, folded, and then the signs: the
+    tokenizer takes them apart and folds case itself.
+    """
 
     def __init__(self, json_text):
         from tokenizers import Tokenizer
         super().__init__()
         self.tokenizer = Tokenizer.from_str(json_text)
+        self.parts = {}
 
     def __missing__(self, word):
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        core = word.rstrip(SIGNS)
+        if core and core.decode().isalpha():
+            ids = self._part(core.lower())
+            if len(core) < len(word):
+                ids += self._part(word[len(core) :])
+        else:
+            ids = self._part(word)
         if len(word) <= 64:
             if len(self) >= CACHED_WORDS:
                 self.clear()
             self[word] = ids
         return ids
 
+    def _part(self, part):
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = np.array(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            if len(part) <= 64:
+                if len(self.parts) >= CACHED_PARTS:
+                    self.parts.clear()
+                self.parts[part] = ids
+        return ids
+
     def encode(self, text):
         """Little-endian unsigned 32-bit ids of a UTF-8 text."""
         return b"".join(map(self.__getitem__, text.split()))
 
 
+def word_cache(json_text):
+    """The cache of this worker process, which several tasks use one after the other."""
+    held = vars(sys).setdefault("_chronotext_words", {})
+    key = zlib.crc32(json_text.encode()), len(json_text)
+    if key not in held:
+        held.clear()
+        held[key] = WordCache(json_text)
+    return held[key]
+
+
 PIECE_TYPE = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def _pieces(json_text, capacity, end_id, with_ids):
     def pieces(batches):
-        encoder, tail = WordCache(json_text.value), np.array([end_id], dtype="<u4").tobytes()
+        encoder, tail = word_cache(json_text.value), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             names = batch.column(0)
             for a, b, buf, offsets in text_slices(batch.column(1)):
