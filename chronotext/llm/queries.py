@@ -2,9 +2,10 @@
 from . import chat
 from .chat import op8_chat
 from .decontaminate import op5_decontaminate
+from .jaccard import op3_ngram_join
 from .packing import op4_pack
 from .scoring import op7_context_tree
 from .toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op4_pack, op5_decontaminate, op7_context_tree, op8_chat, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_pack, op5_decontaminate, op7_context_tree, op8_chat, op10_toxicity)}
 ORACLE_SQL = {"op8_chat": chat.SQL}
