@@ -5,7 +5,8 @@ from .decontaminate import op5_decontaminate
 from .jaccard import op3_ngram_join
 from .packing import op4_pack
 from .scoring import op7_context_tree
+from .suffix_dedup import op6_suffix_dedup
 from .toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_pack, op5_decontaminate, op7_context_tree, op8_chat, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_pack, op5_decontaminate, op6_suffix_dedup, op7_context_tree, op8_chat, op10_toxicity)}
 ORACLE_SQL = {"op8_chat": chat.SQL}
