@@ -1,12 +1,14 @@
 """The queries opN_<name>, and DuckDB SQL for those that SQL can express."""
-from . import chat
+from . import chat, rollup
 from .chat import op8_chat
 from .decontaminate import op5_decontaminate
 from .jaccard import op3_ngram_join
 from .packing import op4_pack
+from .quality import op9_quality
+from .rollup import op2_token_rollup
 from .scoring import op7_context_tree
 from .suffix_dedup import op6_suffix_dedup
 from .toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_pack, op5_decontaminate, op6_suffix_dedup, op7_context_tree, op8_chat, op10_toxicity)}
-ORACLE_SQL = {"op8_chat": chat.SQL}
+QUERIES = {f.__name__: f for f in (op2_token_rollup, op3_ngram_join, op4_pack, op5_decontaminate, op6_suffix_dedup, op7_context_tree, op8_chat, op9_quality, op10_toxicity)}
+ORACLE_SQL = {"op2_token_rollup": rollup.SQL, "op8_chat": chat.SQL}
