@@ -387,6 +387,53 @@ def removed(docs, doc_id="doc_id", text="text", length=LENGTH):
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"))
 
 
+def _with_id(at):
+    def with_id(batches):
+        for batch in batches:
+            tids = []
+            for _, _, buf, offsets in text_slices(batch.column(at)):
+                data, bounds = buf.tobytes(), offsets.tolist()
+                tids += [text_id(data[x:y]) for x, y in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tids, pa.int64())], names=[*batch.schema.names, "__tid"])
+    return with_id
+
+
+def _cut(at):
+    def cut(batches):
+        for batch in batches:
+            column, spans = batch.column(at), batch.column(batch.num_columns - 1).to_pylist()
+            texts = column.to_pylist()
+            for i, runs in enumerate(spans):
+                data, parts, done = (texts[i] or "").encode(), [], 0
+                for r in runs or ():
+                    parts.append(data[done : r["start"]])
+                    done = r["end"]
+                if runs:
+                    texts[i] = b"".join([*parts, data[done:]]).decode("utf-8", "ignore")
+            columns = batch.columns[:-1]
+            columns[at] = pa.array(texts, column.type)
+            keep = [not s or bool(t) for s, t in zip(spans, texts)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
+    return cut
+
+
+def dedup(docs, doc_id="doc_id", text="text", length=LENGTH):
+    """The documents without the repeated strings; those of which nothing is left go.  All columns stay.
+
+    A character of which some bytes go is left out.  Of equal texts none keeps a repeated string: let another operator
+    choose among copies first."""
+    _, copies, changed = analysed(docs, doc_id, text, length, False)
+    from pyspark.sql import types as T
+    runs = changed.select(F.col("tid").alias("__tid"), "spans")
+    whole = copies.select(F.col("tid").alias("__tid"), F.lit(True).alias("__copied"))
+    marked = docs.mapInArrow(_with_id(docs.columns.index(text)), T.StructType([*docs.schema.fields, T.StructField("__tid", T.LongType())]))
+    n = F.octet_length(F.col(text)).cast("long")
+    everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), n.alias("end")))
+    joined = marked.join(runs, "__tid", "left").join(whole, "__tid", "left")
+    spans = F.when(F.col("__copied") & (n >= length), everything).otherwise(F.col("spans"))
+    return joined.select(*(F.col(c) for c in docs.columns), spans.alias("__spans")).mapInArrow(_cut(docs.columns.index(text)), docs.schema)
+
+
 def op6_suffix_dedup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return removed(docs).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
