@@ -518,3 +518,99 @@ def completeness(spark, sf_dir):
     o = table(spark, sf_dir, "orders").join(l, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     out = o.groupBy("o_custkey").agg(F.count("*").alias("total"), F.count("l_orderkey").alias("found"))
     return out.withColumn("grade", F.when(F.col("found") == F.col("total"), "complete").when(F.col("found") >= 0.8 * F.col("total"), "nearly").otherwise("gaps"))
+
+
+# Pages and streams
+
+@register()
+def page_texts(spark, sf_dir):
+    from .sources import markup
+    p = markup.pages(table(spark, sf_dir, "pages"))
+    return p.select("page_id", F.length("text").alias("n_chars"), F.size("paragraphs").alias("n_paragraphs"), F.size("links").alias("n_links"), F.size("rows").alias("n_rows"))
+
+
+@register("""
+SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL""")
+def windowed_counts(spark, sf_dir):
+    from .streaming import windows
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = windows.windowed_counts(e, "ts", ["event_type"], value="value")
+    return out.withColumns({"mean": F.round("mean", 6), "window_start": F.col("window_start").cast("timestamp_ntz")})
+
+
+@register()
+def event_study(spark, sf_dir):
+    from .plans import event_study as study
+    e = table(spark, sf_dir, "events").select("event_id", "ts")
+    return study.proximity(e, severe(spark, sf_dir), "ts", "e_ts", "e_type", (3, 7, 14))
+
+
+@register()
+def tiered_groups(spark, sf_dir):
+    from .plans import event_study as study
+    return study.tested(table(spark, sf_dir, "events"), ["event_type"], "value", 1000)
+
+
+@register()
+def document_features(spark, sf_dir):
+    from .plans import features
+    d = table(spark, sf_dir, "documents")
+    return features.rolled_up(features.measured(d), ["lang", "source"])
+
+
+# Scalars, filters and joins
+
+@register("""
+SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'first' ELSE o_orderpriority END AS remapped, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 99 END AS rank,
+  CASE WHEN starts_with(o_orderpriority, '1') THEN 0 WHEN starts_with(o_orderpriority, '2') THEN 1 ELSE 2 END AS priority, round(o_totalprice / nullif(o_custkey % 3, 0), 4) AS ratio FROM orders""")
+def scalar_rules(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", scalars.remap(F.col("o_orderpriority"), {"1-URGENT": "first"}).alias("remapped"), scalars.ordinal(F.col("o_orderstatus"), {"F": 0, "O": 1}).alias("rank"),
+                    scalars.prefix_priority(F.col("o_orderpriority"), ["1", "2"]).alias("priority"), F.round(scalars.safe_ratio(F.col("o_totalprice"), F.col("o_custkey") % 3), 4).alias("ratio"))
+
+
+@register("""SELECT doc_id, regexp_matches(text, '(?i)the [a-z]+ of') AS flagged FROM documents WHERE source IN ('src1', 'src2', 'src3') AND n_chars BETWEEN 500 AND 5000""")
+def filtered_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where(F.col("source").isin("src1", "src2", "src3") & F.col("n_chars").between(500, 5000))
+    return d.select("doc_id", text.matches(F.col("text"), "the [a-z]+ of").alias("flagged"))
+
+
+@register("""
+SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def labelled_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+
+
+@register("""
+WITH a AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n_orders FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT date_trunc('month', l_shipdate)::DATE AS month, count(*) AS n_lines FROM lineitem GROUP BY 1)
+SELECT month, n_orders, n_lines FROM a FULL JOIN b USING (month)""")
+def monthly_outer(spark, sf_dir):
+    a = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(scalars.month_start(F.col("o_orderdate")).alias("month")).agg(F.count("*").alias("n_orders"))
+    b = table(spark, sf_dir, "lineitem").groupBy(scalars.month_start(F.col("l_shipdate")).alias("month")).agg(F.count("*").alias("n_lines"))
+    return a.join(b, "month", "outer")
+
+
+@register("""
+SELECT a.p_partkey, min(b.p_brand) AS other_brand, count(*) AS n_others FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand <> b.p_brand GROUP BY 1""")
+def same_title_elsewhere(spark, sf_dir):
+    """Counts by title and brand are joined, not pairs of rows."""
+    p = table(spark, sf_dir, "part")
+    counts = p.groupBy("p_name", "p_brand").agg(F.count("*").alias("n"))
+    other = counts.select("p_name", F.col("p_brand").alias("b"), F.col("n").alias("m"))
+    groups = counts.join(other, "p_name").where("p_brand <> b").groupBy("p_name", "p_brand").agg(F.min("b").alias("other_brand"), F.sum("m").alias("n_others"))
+    return p.join(groups, ["p_name", "p_brand"]).select("p_partkey", "other_brand", "n_others")
+
+
+@register("""
+SELECT conv_id, string_agg(role || ': ' || left(text, 20), ' / ' ORDER BY turn) AS joined FROM conversations GROUP BY conv_id""")
+def ordered_concat(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("part", F.concat(F.col("role"), F.lit(": "), F.left("text", F.lit(20))))
+    return aggregates.ordered_text(c, ["conv_id"], "turn", "part", " / ")
+
+
+@register("""
+WITH r AS (SELECT vec_id, (rank() OVER (ORDER BY embedding[1]) + (count(*) OVER (PARTITION BY embedding[1]) - 1) / 2) / count(*) OVER () AS a, (rank() OVER (ORDER BY embedding[2]) + (count(*) OVER (PARTITION BY embedding[2]) - 1) / 2) / count(*) OVER () AS b FROM embeddings)
+SELECT vec_id FROM r WHERE a >= 0.75 AND b >= 0.75""")
+def quartile_consensus(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
+    return series.percentile_rank(series.percentile_rank(e, "x", "a"), "y", "b").where("a >= 0.75 and b >= 0.75").select("vec_id")
