@@ -614,3 +614,72 @@ SELECT vec_id FROM r WHERE a >= 0.75 AND b >= 0.75""")
 def quartile_consensus(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
     return series.percentile_rank(series.percentile_rank(e, "x", "a"), "y", "b").where("a >= 0.75 and b >= 0.75").select("vec_id")
+
+
+# Models and records
+
+LEXICON = {"the": 0.5, "thing": 1.5, "and": -0.5, "ered": 2.0, "inst": -1.0, "que": 1.0, "der": -1.5}
+
+
+@register()
+def dictionary_sentiment(spark, sf_dir):
+    from .operators import models
+    d = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("ws"))
+    lexicon = spark.createDataFrame(list(LEXICON.items()), "term string, valence double")
+    out = models.sentiment(d, ["doc_id"], F.col("ws"), lexicon)
+    return out.withColumns({c: F.round(c, 6) for c in ("compound", "pos", "neg", "neu")})
+
+
+@register()
+def document_topics(spark, sf_dir):
+    from .operators import models
+    d = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("ws"))
+    return models.topics(d, "doc_id", F.col("ws"), k=4, vocabulary=2000)[0]
+
+
+@register("""
+WITH f AS (SELECT DISTINCT o_custkey, o_orderkey FROM orders), p AS (SELECT DISTINCT l_orderkey AS o_orderkey, 1 AS h FROM lineitem)
+SELECT o_custkey, count(*) AS total, count(h) AS found, CASE WHEN count(h) = count(*) THEN 'complete' WHEN count(h) >= 0.8 * count(*) THEN 'nearly' ELSE 'gaps' END AS grade FROM f LEFT JOIN p USING (o_orderkey) GROUP BY 1""")
+def catalogue_audit(spark, sf_dir):
+    from .operators import records
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return records.audit(table(spark, sf_dir, "orders"), l, "o_custkey", "o_orderkey")
+
+
+@register("""
+SELECT user_id, min(value) AS value, arg_min(event_id, (value, event_id)) AS event_id, count(DISTINCT value) > 1 AS conflicting FROM events GROUP BY user_id""")
+def best_values(spark, sf_dir):
+    from .operators import records
+    return records.best_peak(table(spark, sf_dir, "events"), "user_id", "value", ["event_id"])
+
+
+@register("""
+SELECT o_orderkey, metric, value FROM (SELECT o_orderkey, o_totalprice AS price, o_custkey::DOUBLE AS customer FROM orders) UNPIVOT (value FOR metric IN (price, customer))""")
+def metric_rows(spark, sf_dir):
+    from .operators import records
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_custkey").cast("double").alias("customer"))
+    return records.metric_grid(o, "o_orderkey", ["price", "customer"])
+
+
+@register("""
+WITH m AS (SELECT DISTINCT date_trunc('month', l_shipdate)::DATE AS month FROM lineitem), h AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS month FROM orders WHERE o_totalprice > 440000)
+SELECT month, h.month IS NOT NULL AS has_point FROM m LEFT JOIN h USING (month)""")
+def months_with_points(spark, sf_dir):
+    from .operators import records
+    months = table(spark, sf_dir, "lineitem").select(scalars.month_start(F.col("l_shipdate")).alias("month")).distinct()
+    return records.in_month(table(spark, sf_dir, "orders").where("o_totalprice > 440000"), months, "o_orderdate", "month")
+
+
+@register("""
+SELECT o_orderkey, o_orderdate::DATE > DATE '1996-01-01' AND o_orderdate::DATE <= DATE '1996-12-31' AS after, o_orderdate::DATE > DATE '1995-01-01' AND o_orderdate::DATE <= DATE '1996-01-01' AS before FROM orders""")
+def day_windows(spark, sf_dir):
+    from .functions import filters
+    day, pivot = F.to_date("o_orderdate"), F.lit("1996-01-01").cast("date")
+    return table(spark, sf_dir, "orders").select("o_orderkey", filters.after_within(day, pivot, 365).alias("after"), filters.before_within(day, pivot, 365).alias("before"))
+
+
+@register(r"""
+SELECT doc_id, regexp_matches(text, '\b(?:19|20)\d{2}\b') AS dated, regexp_matches(text, '(?i)\b(?:the|and)\b') AS worded FROM documents""")
+def flags(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", text.matches(F.col("text"), r"\b(?:19|20)\d{2}\b").alias("dated"), text.has_word(F.col("text"), ["the", "and"]).alias("worded"))

@@ -171,3 +171,51 @@ def test_stream(spark, tmp_path):
     assert [r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [5]
 
 
+
+
+def test_filters(spark):
+    from chronotext.functions import filters
+    assert value(spark, filters.after_within(F.lit(day("2020-01-01")), F.lit(day("2020-01-01")), 5)) is False
+    assert value(spark, filters.before_within(F.lit(day("2020-01-01")), F.lit(day("2020-01-01")), 5)) is True
+    assert value(spark, filters.is_metadata(F.lit("Single, Sept 30"))) is True
+    assert value(spark, filters.is_metadata(F.lit("Jo Smith"))) is False
+    assert value(spark, filters.plausible_address(F.lit("http://x.org/jo-late-night-lyrics"), F.lit("Late Night"))) is True
+    assert value(spark, filters.over_floor(F.lit(0.3), F.lit("m"), {"m": 0.5})) is False
+    assert value(spark, filters.finite(F.lit(float("nan")))) is False
+
+
+def test_models(spark):
+    from chronotext.operators import models
+    df = spark.createDataFrame([(1, "good text"), (2, None), (3, "x")], "id int, t string")
+    got = models.score_rows(df, "t", lambda: lambda texts: [(len(t), "ok") for t in texts], "size int, label string", longer_than=1).orderBy("id").collect()
+    assert [(r.size, r.label) for r in got] == [(9, "ok"), (None, None), (None, None)]
+    lexicon = spark.createDataFrame([("good", 2.0), ("bad", -2.0)], "term string, valence double")
+    rows = spark.createDataFrame([(1, ["very", "good"]), (2, ["not", "good"]), (3, ["plain"])], "id int, ws array<string>")
+    out = {r.id: r.compound for r in models.sentiment(rows, ["id"], F.col("ws"), lexicon).collect()}
+    assert out[1] > 0.5 and out[2] < 0 and out[3] == 0
+    models.register_functions(spark)
+    assert spark.sql("select token_set_ratio('a b', 'b a') as r").first().r == 100.0
+
+
+def test_records(spark):
+    from chronotext.operators import records
+    wanted = spark.createDataFrame([("A", "x", 1), ("a ", "X", 2), ("B", "y", 3), ("skip", "y", 4)], "t string, a string, n int")
+    done = spark.createDataFrame([("b", "Y")], "t string, a string")
+    assert [r.n for r in records.to_acquire(wanted, done, "t", "a", "n", F.col("t") == "skip").collect()] == [1]
+    failed = records.parse_failures(spark.createDataFrame([("[timeout] One | A | early",), ("noise",)], "value string"))
+    assert tuple(failed.first()) == ("timeout", "One", "A", "early")
+    names = spark.createDataFrame([("don", "Don"), ("don two", "Don Two")], "needle string, name string")
+    assert records.canonical_name(spark.createDataFrame([("the Don Two deluxe",)], "t string"), "t", names).first().canonical_name == "Don Two"
+    assert value(spark, records.pick_address(F.array(F.lit("b/x"), F.lit("a/y"), F.lit("c/z")), ["z", "x"])) == "c/z"
+    left = spark.createDataFrame([("Song (live)",), ("Other",)], "t string")
+    right = spark.createDataFrame([("Song", "v")], "u string, val string")
+    assert {r.t: r.val for r in records.second_attempt(left, right, "t", "u", "val").collect()} == {"Song (live)": "v", "Other": None}
+    assert value(spark, records.stable_uid(F.lit(""), F.lit("n"), F.lit(2004))) == "n##2004"
+    rows = spark.createDataFrame([(1, "T", "aa bb"), (2, "T", "aa")], "id int, t string, x string")
+    targets = spark.createDataFrame([(1, "T", "aa"), (2, "T", "bb")], "place int, title string, fragment string")
+    assert [(r.place, r.id) for r in records.targets_in_order(rows, targets, "t", "x", ["id"]).collect()] == [(1, 1)]
+    try:
+        records.gate(rows, F.col("id") > 0, 1, "too many")
+        raise AssertionError
+    except ValueError:
+        pass
