@@ -20,4 +20,14 @@ def stored(df, name):
     """Writes a table once and reads it back: later plans start at it, whichever executors are lost."""
     path = f"{shared_dir(df.sparkSession)}/chronotext-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables):
+    """Deletes stored tables that no plan will read again."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

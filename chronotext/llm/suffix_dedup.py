@@ -25,7 +25,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .arrays import Rolling, text_slices
-from .store import stored
+from .store import discard, stored
 
 LENGTH = 200
 GRAM = 48
@@ -370,6 +370,7 @@ def analysed(docs, doc_id, text, length, with_text):
     texts = stored(texts.groupBy("tid").agg(F.min("packed").alias("packed")).join(shared.select("tid").distinct(), "tid", "left_semi"), "texts")
     parts = texts.join(own, "tid").select("tid", "packed", "anchors").mapInArrow(_contexts(length), CONTEXT_TYPE)
     runs = stored(parts.repartition("g").sortWithinPartitions("g").mapInArrow(_repeats(length), "tid long, start long, end long"), "runs")
+    discard(shared)
     runs = runs.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     changed = texts.join(runs, "tid").select("tid", "packed", "runs").mapInArrow(_kept(with_text), "tid long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary")
     return profiles, copies, changed
@@ -387,14 +388,20 @@ def removed(docs, doc_id="doc_id", text="text", length=LENGTH):
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"))
 
 
-def _with_id(at):
+def _with_id(at, bits, inside):
+    """Rows whose text's id the filter lets through, with the id; or the other rows."""
     def with_id(batches):
+        table = bits.value
         for batch in batches:
             tids = []
             for _, _, buf, offsets in text_slices(batch.column(at)):
                 data, bounds = buf.tobytes(), offsets.tolist()
                 tids += [text_id(data[x:y]) for x, y in zip(bounds, bounds[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tids, pa.int64())], names=[*batch.schema.names, "__tid"])
+            hit = [table[t % FILTER_BITS >> 6] >> (t % FILTER_BITS & 63) & 1 == 1 for t in tids]
+            if inside:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tids, pa.int64())], names=[*batch.schema.names, "__tid"]).filter(pa.array(hit, pa.bool_()))
+            else:
+                yield batch.filter(pa.array([not h for h in hit], pa.bool_()))
     return with_id
 
 
@@ -422,16 +429,21 @@ def dedup(docs, doc_id="doc_id", text="text", length=LENGTH):
 
     A character of which some bytes go is left out.  Of equal texts none keeps a repeated string: let another operator
     choose among copies first."""
-    _, copies, changed = analysed(docs, doc_id, text, length, False)
     from pyspark.sql import types as T
-    runs = changed.select(F.col("tid").alias("__tid"), "spans")
-    whole = copies.select(F.col("tid").alias("__tid"), F.lit(True).alias("__copied"))
-    marked = docs.mapInArrow(_with_id(docs.columns.index(text)), T.StructType([*docs.schema.fields, T.StructField("__tid", T.LongType())]))
+    _, copies, changed = analysed(docs, doc_id, text, length, False)
+    runs = stored(changed.select(F.col("tid").alias("__tid"), "spans"), "spans")
+    whole = stored(copies.select(F.col("tid").alias("__tid"), F.lit(True).alias("__copied")), "copies")
+    # Only texts that may change are dealt by their ids; the others stay where they were read.
+    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(runs.select(F.col("__tid").alias("tid")).unionAll(whole.select(F.col("__tid").alias("tid")))))
+    at = docs.columns.index(text)
+    same = docs.mapInArrow(_with_id(at, bits, False), docs.schema)
+    marked = docs.mapInArrow(_with_id(at, bits, True), T.StructType([*docs.schema.fields, T.StructField("__tid", T.LongType())]))
     n = F.octet_length(F.col(text)).cast("long")
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), n.alias("end")))
     joined = marked.join(runs, "__tid", "left").join(whole, "__tid", "left")
     spans = F.when(F.col("__copied") & (n >= length), everything).otherwise(F.col("spans"))
-    return joined.select(*(F.col(c) for c in docs.columns), spans.alias("__spans")).mapInArrow(_cut(docs.columns.index(text)), docs.schema)
+    cut = joined.select(*(F.col(c) for c in docs.columns), spans.alias("__spans")).mapInArrow(_cut(at), docs.schema)
+    return same.unionAll(cut)
 
 
 def op6_suffix_dedup(spark, sf_dir):
