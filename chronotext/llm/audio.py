@@ -32,6 +32,8 @@ LEVELS = (-0.12, 0.0, 0.12)
 GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
 VOTES, BIT_ERRORS = 3, 0.2
 FILTER_BITS = 1 << 24
+MULTIPLIER = 1640531527
+SEGMENT = 16
 # (kind, first pitch class, pitch classes, frames); kinds: 0 sum, 1 low against high, 2 early against late,
 # 3 checks, 4 middle pitches against the others, 5 middle frames against the others
 FILTERS = [(0, 4, 3, 15), (4, 4, 6, 15), (1, 0, 4, 16), (3, 8, 2, 12), (3, 4, 4, 8), (4, 0, 3, 5), (1, 2, 2, 9), (2, 7, 3, 4),
@@ -106,13 +108,18 @@ class Fingerprinter:
         return np.log1p(part) - np.log1p(whole - part)
 
 
+def _class_names(ids, got):
+    """Hashes of the integers; of the id where there are none, so that such recordings don't gather."""
+    return [int(np.uint64(xxhash.xxh3_64_intdigest(g or f"none {i}".encode())).astype(np.int64)) for i, g in zip(ids, got)]
+
+
 def _fingerprints(batches):
     make = Fingerprinter()
     for batch in batches:
         for a, b, buf, offsets in text_slices(batch.column(1)):
             got = [x.astype("<u4").tobytes() for x in make.items(buf, offsets)]
             sizes = np.maximum((np.diff(offsets) - FRAME) // HOP + 1, 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array([len(g) // 4 for g in got], pa.int64()), pa.array(got, pa.binary()), pa.array([zlib.crc32(g) for g in got], pa.int64()), pa.array([np.uint64(xxhash.xxh3_64_intdigest(g)).astype(np.int64) for g in got], pa.int64())], names=["id", "n_frames", "n_items", "items", "items_crc32", "class"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array([len(g) // 4 for g in got], pa.int64()), pa.array(got, pa.binary()), pa.array([zlib.crc32(g) for g in got], pa.int64()), pa.array(_class_names(batch.column(0).slice(a, b - a).to_pylist(), got), pa.int64())], names=["id", "n_frames", "n_items", "items", "items_crc32", "class"])
 
 
 def fingerprints(recordings, rec_id="doc_id", media="text"):
@@ -121,20 +128,43 @@ def fingerprints(recordings, rec_id="doc_id", media="text"):
     return recordings.select(F.col(rec_id).alias("id"), F.col(media).alias("media")).mapInArrow(_fingerprints, f"id {kind}, n_frames long, n_items long, items binary, items_crc32 long, class long")
 
 
-def _places(bits):
-    """(class, item, place) of the distinct items at their first places; with ``bits``, those its filter lets through."""
-    def places(batches):
+def slot(items):
+    """Place of an item in the filter: the upper bits of a product, since items have structured lower bits."""
+    return ((items.astype(np.uint64) * np.uint64(MULTIPLIER)) & np.uint64(0xFFFFFFFF)) >> np.uint64(8)
+
+
+SEGMENT_TYPE = "class long, base long, segment long, items array<long>, places array<long>"
+
+
+def _segments(bits):
+    """Distinct items at their first places, in segments of ``SEGMENT`` places; with ``bits``, the items its filter lets
+    through.  A segment is named by a hash of what it holds, relative to its base."""
+    def segments(batches):
         table = None if bits is None else bits.value
         for batch in batches:
+            out = []
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 items, first = np.unique(np.frombuffer(raw, dtype="<u4"), return_index=True)
                 if table is not None:
-                    slot = (items % FILTER_BITS).astype(np.int64)
-                    ok = table[slot >> 3] >> (slot & 7) & 1 == 1
+                    at = slot(items).astype(np.int64)
+                    ok = table[at >> 3] >> (at & 7) & 1 == 1
                     items, first = items[ok], first[ok]
-                if len(items):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(items), name, np.int64)), pa.array(items.astype(np.int64)), pa.array(first.astype(np.int64))], names=["class", "item", "place"])
-    return places
+                order = np.argsort(first)
+                items, first = items[order].astype(np.int64), first[order].astype(np.int64)
+                base = first // SEGMENT
+                edge = np.flatnonzero(np.diff(base)) + 1
+                for i, p in zip(np.split(items, edge), np.split(first, edge)) if len(items) else ():
+                    start = int(p[0]) // SEGMENT * SEGMENT
+                    out.append((name, start, int(np.uint64(xxhash.xxh3_64_intdigest(np.stack([i, p - start]).tobytes())).astype(np.int64)), i, p - start))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=["class", "base", "segment", "items", "places"])
+    return segments
+
+
+def _items_of(segments):
+    """(segment, item, place) of the distinct segments."""
+    once = segments.dropDuplicates(["segment"]).select("segment", F.explode(F.arrays_zip("items", "places")).alias("z"))
+    return once.select("segment", F.col("z.items").alias("item"), F.col("z.places").alias("place"))
 
 
 def _errors(batches):
@@ -153,16 +183,19 @@ def align(classes, queries):
     """query, class, offset (place in the class less place in the query), votes, overlap, bit_errors, from
     (class, items) of all classes and of the queries among them."""
     spark = classes.sparkSession
-    type_ = "class long, item long, place long"
-    asked = stored(queries.select("class", "items").mapInArrow(_places(None), type_).select(F.col("class").alias("query"), "item", F.col("place").alias("at")), "asked")
+    asked = stored(queries.select("class", "items").mapInArrow(_segments(None), SEGMENT_TYPE), "asked")
+    wanted = _items_of(asked).select(F.col("segment").alias("q_segment"), "item", F.col("place").alias("at"))
     # A filter of fixed size spares the shuffle the items that no query has; if it fills up, more of them pass.
-    slots = asked.select((F.col("item") % FILTER_BITS).alias("s")).distinct().groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits"))
+    place = F.shiftright((F.col("item") * MULTIPLIER) % (1 << 32), 8)
+    slots = wanted.select(place.alias("s")).distinct().groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits"))
     words = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     for r in slots.collect():
         words[r["w"]] = r["bits"]
-    table = words.view(np.uint8)
-    places = classes.select("class", "items").mapInArrow(_places(spark.sparkContext.broadcast(table)), type_)
-    votes = asked.join(places, "item").where("query <> class").groupBy("query", "class", (F.col("place") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes"))
+    held = stored(classes.select("class", "items").mapInArrow(_segments(spark.sparkContext.broadcast(words.view(np.uint8))), SEGMENT_TYPE), "segments")
+    # Votes between distinct segments; copies of a segment only meet again when whole votes are dealt to recordings.
+    between = wanted.join(_items_of(held), "item").groupBy("q_segment", "segment", (F.col("place") - F.col("at")).alias("d")).agg(F.count("*").alias("n"))
+    dealt = between.join(asked.select(F.col("segment").alias("q_segment"), F.col("class").alias("query"), F.col("base").alias("q_base")), "q_segment").join(held.select("segment", "class", "base"), "segment").where("query <> class")
+    votes = dealt.groupBy("query", "class", (F.col("base") + F.col("d") - F.col("q_base")).alias("offset")).agg(F.sum("n").alias("votes"))
     best = votes.groupBy("query", "class").agg(F.max_by(F.struct("offset", "votes"), F.struct("votes", -F.abs("offset"), -F.col("offset"))).alias("b")).where(F.col("b.votes") >= VOTES)
     best = stored(best.select("query", "class", "b.offset", "b.votes"), "offsets")
     pairs = best.join(queries.select(F.col("class").alias("query"), F.col("items").alias("q")), "query").join(classes.select("class", F.col("items").alias("r")), "class")
