@@ -169,17 +169,17 @@ def distribution_by_flag(spark, sf_dir):
 
 
 @register("""
-SELECT 'event_type' AS grouping, event_type AS key, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY event_type
-UNION ALL SELECT 'user_id', user_id::VARCHAR, count(*), round(avg(value), 4) FROM events GROUP BY user_id""")
+SELECT 'event_type' AS grouping, event_type AS key, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type
+UNION ALL SELECT 'user_id', user_id::VARCHAR, count(*), round(sum(value), 2) FROM events GROUP BY user_id""")
 def twin_rollups(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return aggregates.rollups(e, ["event_type", "user_id"], [F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean")])
+    return aggregates.rollups(e, ["event_type", "user_id"], [F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")])
 
 
 @register("""
-SELECT event_type, user_id, count(*) AS n, round(avg(value), 4) AS mean, grouping_id(event_type, user_id)::BIGINT AS level FROM events GROUP BY CUBE (event_type, user_id)""")
+SELECT event_type, user_id, count(*) AS n, round(sum(value), 2) AS total, grouping_id(event_type, user_id)::BIGINT AS level FROM events GROUP BY CUBE (event_type, user_id)""")
 def cube(spark, sf_dir):
-    return table(spark, sf_dir, "events").cube("event_type", "user_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.grouping_id("event_type", "user_id").alias("level"))
+    return table(spark, sf_dir, "events").cube("event_type", "user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.grouping_id("event_type", "user_id").alias("level"))
 
 
 @register("""
@@ -430,10 +430,10 @@ def anchor_similarity(spark, sf_dir):
 # Statistics
 
 @register("""
-SELECT event_type, round(avg(value), 6) AS mean, count(value) AS n, round((avg(value) - (SELECT avg(value) FROM events)) / (SELECT stddev_pop(value) FROM events), 6) AS z FROM events GROUP BY event_type""")
+SELECT event_type, round(avg(value), 6) AS mean, count(value) AS n, round((avg(value) - (SELECT avg(value) FROM events)) / (SELECT stddev_pop(value) FROM events), 6) + 0.0 AS z FROM events GROUP BY event_type""")
 def effect_sizes(spark, sf_dir):
     out = statistics.effect_sizes(table(spark, sf_dir, "events"), ["event_type"], "value")
-    return out.select("event_type", F.round("mean", 6).alias("mean"), "n", F.round("z", 6).alias("z"))
+    return out.select("event_type", F.round("mean", 6).alias("mean"), "n", (F.round("z", 6) + 0.0).alias("z"))
 
 
 @register()
