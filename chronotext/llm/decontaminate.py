@@ -8,7 +8,9 @@ Null, empty and wordless texts have no words and no hits; null or wordless items
 items all count.  Repeated documents are each judged alone.  With no items nothing is hit.  Only the id
 and text columns are read by ``scan``; ``decontaminate`` carries every other column through unchanged.
 Items travel to the executors in blocks of at most ``block_words`` words, which bounds what is broadcast;
-documents are streamed once for each block.
+documents are streamed once for each block.  With several blocks the documents are stored with a row number,
+every block is looked for in the whole text, and a row's spans are united before they are judged and cut, so
+that results don't depend on ``block_words``.
 """
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import Rolling, is_alnum, lower_table, text_slices, word_bounds
+from .store import stored
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
@@ -191,7 +194,10 @@ class Matcher:
             if spans:
                 base = int(first[doc])
                 mine, names = hits.setdefault(doc, ([], set()))
-                mine += [(a + x - base, a + y - base, int(starts[a + x] - offsets[doc]), int(ends[a + y - 1] - offsets[doc])) for x, y in spans]
+                found = [(a + x - base, a + y - base, int(starts[a + x] - offsets[doc]), int(ends[a + y - 1] - offsets[doc])) for x, y in spans]
+                if mine and mine[-1][1] == found[0][0]:
+                    found[0] = (mine[-1][0], found[0][1], mine.pop()[2], found[0][3])
+                mine += found
                 names |= items
         return np.diff(first), hits
 
@@ -232,34 +238,46 @@ def item_blocks(benchmark, item_id, text, block_words):
     yield block
 
 
-def _scanner(items, window):
+def _scanner(items, window, hit_only=False):
+    """Findings of the batches' last column, beside the columns before it; with ``hit_only``, of rows with hits."""
     def scan(batches):
         match = Matcher(items.value, window)
         for batch in batches:
-            names = batch.column(0)
-            for a, b, buf, offsets in text_slices(batch.column(1)):
+            before, names = batch.columns[:-1], batch.schema.names[:-1]
+            for a, b, buf, offsets in text_slices(batch.column(len(before))):
                 counts, hits = match(buf, offsets)
                 got = [hits.get(i) for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([
-                    names.slice(a, b - a), pa.array(counts, pa.int64()),
+                out = pa.RecordBatch.from_arrays([
+                    *[column.slice(a, b - a) for column in before], pa.array(counts, pa.int64()),
                     pa.array([[{"first": w, "last": x, "start": y, "end": z} for w, x, y, z in g[0]] if g else [] for g in got], pa.list_(pa.struct([(k, pa.int32()) for k in ("first", "last", "start", "end")]))),
                     pa.array([sorted(g[1]) if g else [] for g in got], pa.list_(pa.string())),
-                ], names=["id", "n_words", "spans", "items"])
+                ], names=[*names, "n_words", "spans", "items"])
+                yield out.filter(pa.array([g is not None for g in got])) if hit_only else out
     return scan
 
 
-def scan(docs, benchmark, doc_id="doc_id", text="text", item_id="item_id", item_text="text", window=WINDOW, block_words=BLOCK_WORDS):
-    """One row per document: id (string), n_words, spans of hit words (word and byte bounds, merged) and item ids."""
-    spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"))
-    parts = [source.mapInArrow(_scanner(spark.sparkContext.broadcast(block), window), SCAN_TYPE) for block in item_blocks(benchmark, item_id, item_text, block_words)]
-    if len(parts) == 1:
-        return parts[0]
-    # Repeated ids can't be told apart between blocks, so equal ids share their findings there.
+def _united(rows, blocks, window, hit_only):
+    """Findings of all blocks in each of the numbered rows (row, id, text)."""
+    parts = [rows.mapInArrow(_scanner(block, window, hit_only or k > 0), f"row long, {SCAN_TYPE}") for k, block in enumerate(blocks)]
     union = parts[0]
     for part in parts[1:]:
         union = union.unionAll(part)
-    return union.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).withColumn("spans", merged(F.col("spans")))
+    return union.groupBy("row", "id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).withColumn("spans", merged(F.col("spans")))
+
+
+def _sent_blocks(spark, benchmark, item_id, text, block_words):
+    return [spark.sparkContext.broadcast(block) for block in item_blocks(benchmark, item_id, text, block_words)]
+
+
+def scan(docs, benchmark, doc_id="doc_id", text="text", item_id="item_id", item_text="text", window=WINDOW, block_words=BLOCK_WORDS):
+    """One row per document: id (string), n_words, spans of hit words (word and byte bounds, merged) and item ids."""
+    source = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"))
+    blocks = _sent_blocks(docs.sparkSession, benchmark, item_id, item_text, block_words)
+    if len(blocks) == 1:
+        return source.mapInArrow(_scanner(blocks[0], window), SCAN_TYPE)
+    # Ids may repeat or be null, so rows are numbered; the numbers must be the same for every block.
+    rows = stored(source.select(F.monotonically_increasing_id().alias("row"), "id", "text"), "scanned")
+    return _united(rows, blocks, window, hit_only=False).drop("row")
 
 
 def merged(spans):
@@ -274,42 +292,63 @@ def merged(spans):
     return F.aggregate(F.array_sort(spans), F.array().cast(kind), put)
 
 
+def _cut(part, at, buf, offsets, counts, hits, limit):
+    """A slice without the spans of ``hits`` ({row: spans}), and without the rows of which more than ``limit`` is hit."""
+    data, keep, texts = buf.tobytes(), [], part.column(at).to_pylist()
+    for i in range(part.num_rows):
+        spans = hits.get(i, ())
+        covered = sum(y - x for x, y, _, _ in spans)
+        keep.append(not spans or covered <= limit * counts[i])
+        if spans:
+            out, done = [], int(offsets[i])
+            for _, _, x, y in spans:
+                out.append(data[done : int(offsets[i]) + x])
+                done = int(offsets[i]) + y
+            texts[i] = b"".join([*out, data[done : int(offsets[i + 1])]]).decode()
+    columns = part.columns
+    columns[at] = pa.array(texts, part.column(at).type)
+    return pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep))
+
+
 def _cleaner(items, window, at, limit):
     def clean(batches):
         match = Matcher(items.value, window)
         for batch in batches:
-            column = batch.column(at)
-            for a, b, buf, offsets in text_slices(column):
+            for a, b, buf, offsets in text_slices(batch.column(at)):
                 counts, hits = match(buf, offsets)
                 part = batch.slice(a, b - a)
-                if hits:
-                    data, keep, texts = buf.tobytes(), [], part.column(at).to_pylist()
-                    for i in range(b - a):
-                        spans = hits[i][0] if i in hits else ()
-                        covered = sum(y - x for x, y, _, _ in spans)
-                        keep.append(not spans or covered <= limit * counts[i])
-                        if spans:
-                            out, done = [], int(offsets[i])
-                            for _, _, x, y in spans:
-                                out.append(data[done : int(offsets[i]) + x])
-                                done = int(offsets[i]) + y
-                            texts[i] = b"".join([*out, data[done : int(offsets[i + 1])]]).decode()
-                    columns = part.columns
-                    columns[at] = pa.array(texts, column.type)
-                    part = pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
-                yield part
+                yield _cut(part, at, buf, offsets, counts, {i: spans for i, (spans, _) in hits.items()}, limit) if hits else part
+    return clean
+
+
+def _span_cleaner(at, limit):
+    """As ``_cleaner``, by the findings in the last two columns (n_words, spans)."""
+    def clean(batches):
+        for batch in batches:
+            whole = batch.select(batch.schema.names[:-2])
+            counts, spans = (batch.column(batch.num_columns - k) for k in (2, 1))
+            for a, b, buf, offsets in text_slices(whole.column(at)):
+                hits = {i: [tuple(s[k] for k in ("first", "last", "start", "end")) for s in row] for i, row in enumerate(spans.slice(a, b - a).to_pylist()) if row}
+                part = whole.slice(a, b - a)
+                yield _cut(part, at, buf, offsets, counts.slice(a, b - a).to_pylist(), hits, limit) if hits else part
     return clean
 
 
 def decontaminate(docs, benchmark, text="text", item_id="item_id", item_text="text", window=WINDOW, coverage=0.5, block_words=BLOCK_WORDS):
     """Documents without the hit spans; those of which more than ``coverage`` of the words are hit go.
 
-    All columns are kept.  A text without hits is returned unchanged, and null stays null.  Blocks of items
-    are applied one after the other, each to what the ones before have left.
+    All columns are kept.  A text without hits is returned unchanged, and null stays null.  Windows are those of
+    the text as it came, whatever the blocks of items.
     """
-    for block in item_blocks(benchmark, item_id, item_text, block_words):
-        docs = docs.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(block), window, docs.columns.index(text), coverage), docs.schema)
-    return docs
+    at = docs.columns.index(text)
+    blocks = _sent_blocks(docs.sparkSession, benchmark, item_id, item_text, block_words)
+    if len(blocks) == 1:
+        return docs.mapInArrow(_cleaner(blocks[0], window, at, coverage), docs.schema)
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "contaminated")
+    source = rows.select(F.col("__row").alias("row"), F.lit(None).cast("string").alias("id"), F.col(text).alias("text"))
+    found = _united(source, blocks, window, hit_only=True).select(F.col("row").alias("__row"), F.col("n_words").alias("__n_words"), F.col("spans").alias("__spans"))
+    judged = rows.join(found, "__row", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__n_words", "__spans")
+    return judged.mapInArrow(_span_cleaner(at, coverage), docs.schema)
 
 
 def op5_decontaminate(spark, sf_dir):

@@ -2,6 +2,7 @@
 import collections
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -50,6 +51,37 @@ def test_decontaminate_removes(spark):
     assert decontaminate.decontaminate(df, bench.limit(0)).count() == 4 and decontaminate.scan(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("block", [100_000, 20])
+def test_decontaminate_does_not_depend_on_blocks(spark, block):
+    """Texts and repeated or null ids against windows found one by one in the whole text."""
+    a, b, c = ([f"{x}{i}" for i in range(20)] for x in "abc")
+    clean = [f"n{i}" for i in range(100)]
+    items = [(None, " ".join(a)), (2, " ".join(a[10:] + b[:10])), (3, " ".join(b)), (3, " ".join(c[:12])), (5, "lone"), (6, " ".join(c[:5] + c[14:]))]
+    texts = [" ".join(clean[:30] + a + b[:10] + clean[30:50]), " ".join(clean[:20] + a + clean[20:24] + b + clean[24:28]), ", ".join(c[:5] + c[:12] + c[14:] + clean), "; ".join(a + b + clean[:60]), " ".join(a[:16]), " ; ".join(a + c[:12] + clean[:60]), "x lone y z", None, "", "clean text"]
+    rows = [(i, t, "en", 7, "x") for i, t in enumerate(texts)] + [(None, t, None, 1, "y") for t in texts] + [(1, texts[0], "de", 2, "z")] * 2
+    windows = {tuple(w[k : k + 10]) for w in (words(t) for _, t in items) for k in range(max(1, len(w) - 9))}
+    expected, hits_of = [], []
+    for r in rows:
+        data = cases.bytes_of(r[1])
+        at = [m.span() for m in re.finditer(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", data)]
+        w, hit = words(r[1]), set()
+        for size in (1, 10, 11, 12):
+            for k in range(len(w) - size + 1):
+                if tuple(w[k : k + size]) in windows:
+                    hit.update(range(k, k + size))
+        hits_of.append((None if r[0] is None else str(r[0]), len(w), len(hit)))
+        gone = bytearray(len(data))
+        for k in hit:
+            gone[at[k][0] : (at[k + 1][0] if k + 1 in hit else at[k][1])] = b"\1" * ((at[k + 1][0] if k + 1 in hit else at[k][1]) - at[k][0])
+        if len(hit) <= 0.5 * len(w):
+            expected.append((r[0], None if r[1] is None else bytes(x for x, g in zip(data, gone) if not g).decode(), *r[2:]))
+    docs, bench = spark.createDataFrame(rows, cases.COLUMNS).repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.decontaminate(docs, bench, block_words=block)
+    assert got.columns == docs.columns and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected))
+    scanned = [(r.id, r.n_words, sum(s.last - s.first for s in r.spans)) for r in decontaminate.scan(docs, bench, block_words=block).collect()]
+    assert sorted(map(repr, scanned)) == sorted(map(repr, hits_of))
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
