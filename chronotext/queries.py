@@ -469,7 +469,7 @@ def rank_correlation(spark, sf_dir):
 
 @register()
 def resampled_p(spark, sf_dir):
-    return statistics.resampled_p(table(spark, sf_dir, "events"), ["event_type"], "value", 500)
+    return statistics.resampled_p(table(spark, sf_dir, "events"), ["event_type"], "value")
 
 
 # Change points
@@ -548,7 +548,7 @@ def event_study(spark, sf_dir):
 @register()
 def tiered_groups(spark, sf_dir):
     from .plans import event_study as study
-    return study.tested(table(spark, sf_dir, "events"), ["event_type"], "value", 1000)
+    return study.tested(table(spark, sf_dir, "events"), ["event_type"], "value")
 
 
 @register()

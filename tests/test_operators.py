@@ -3,6 +3,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -111,6 +112,25 @@ def test_bootstrap(spark):
     assert got["a"].ci_low == {r.g: r for r in statistics.bootstrap_ci(df.repartition(3), ["g"], "v", 500).collect()}["a"].ci_low
 
 
+@pytest.mark.parametrize(("shard_values", "huge"), [(65_536, 1e6), (500, 1e6), (500, 60.0)])
+def test_resampled_p(spark, shard_values, huge):
+    """Against draws made row by row; with one huge value no normal curve and no quantiles will do."""
+    r = np.random.default_rng(3)
+    rows = [("some", float(x)) for x in r.exponential(50, 400)] + [("off", float(x)) for x in r.exponential(57, 300)] + [("few", 90.0)] * 5 + [("rare", 0.0)] * 299 + [("rare", huge)]
+    rows += [(None, float(x)) for x in r.exponential(50, 4000)] + [("few", None), ("some", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {x.g: x for x in statistics.resampled_p(df, ["g"], "v", shard_values=shard_values).collect()}
+    pool = np.array([v for _, v in rows if v is not None and math.isfinite(v)])
+    for g in ("some", "off", "few", "rare", None):
+        mine = np.array([v for k, v in rows if k == g and v is not None and math.isfinite(v)])
+        means = np.array([r.choice(pool, len(mine)).mean() for _ in range(10_000)])
+        p = (1 + np.sum(np.abs(means - pool.mean()) >= abs(mine.mean() - pool.mean()))) / 10_001
+        assert got[g].n == len(mine) and math.isclose(got[g].mean, mine.mean()) and abs(got[g].p - p) < 0.03, (g, got[g].p, p)
+    again = {x.g: x.p for x in statistics.resampled_p(df.repartition(3), ["g"], "v", shard_values=shard_values).collect()}
+    assert again == {g: x.p for g, x in got.items()}
+    assert statistics.resampled_p(df.limit(0), ["g"], "v", shard_values=shard_values).count() == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("abc ", max_size=12), st.text("abc ", max_size=12))
 def test_fuzzy(a, b):
