@@ -7,12 +7,14 @@ image; each value is quantised to four levels in Gray code, and the sixteen pair
 each place of the picture.
 
 Alignment: the distinct integers of a query recording, each at its first place, vote for the offset to the same integer's
-first place in other recordings; the offset with the most votes (the smaller one in size, then the smaller, on a tie)
-is kept where at least ``VOTES`` agree, and the bits that differ over the whole overlap there are counted.
+first place in other recordings.  Every offset on which at least ``VOTES`` agree is tested: it is kept if few bits differ
+over the whole overlap, or over a stretch of it that holds ``VOTES`` distinct integers equal in both.  The stretch is the
+one whose bit errors stay furthest below the limit.
 
 Null and empty columns are recordings without samples; recordings too short for one integer have no integers and align
 with nothing.  Recordings with equal integers form a class, named by its smallest id (null ids aside), and take part in
-alignments once; a recording without integers is its own class.  Repeated rows fall into one class.  An empty table
+alignments once; recordings without integers form a class if their bytes are equal, and null is its own class.  Repeated
+rows fall into one class.  An empty table
 gives an empty result.  Only the id and media columns are read.
 """
 import zlib
@@ -108,18 +110,20 @@ class Fingerprinter:
         return np.log1p(part) - np.log1p(whole - part)
 
 
-def _class_names(ids, got):
-    """Hashes of the integers; of the id where there are none, so that such recordings don't gather."""
-    return [int(np.uint64(xxhash.xxh3_64_intdigest(g or f"none {i}".encode())).astype(np.int64)) for i, g in zip(ids, got)]
+def _class_names(ids, media, got):
+    """Hashes of the integers; of the bytes where there are none, and of the id without bytes."""
+    held = [g or (f"none {i}".encode() if m is None else b"bytes " + m) for i, m, g in zip(ids, media, got)]
+    return [int(np.uint64(xxhash.xxh3_64_intdigest(h)).astype(np.int64)) for h in held]
 
 
 def _fingerprints(batches):
     make = Fingerprinter()
     for batch in batches:
         for a, b, buf, offsets in text_slices(batch.column(1)):
-            got = [x.astype("<u4").tobytes() for x in make.items(buf, offsets)]
+            got, data = [x.astype("<u4").tobytes() for x in make.items(buf, offsets)], buf.tobytes()
             sizes = np.maximum((np.diff(offsets) - FRAME) // HOP + 1, 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array([len(g) // 4 for g in got], pa.int64()), pa.array(got, pa.binary()), pa.array([zlib.crc32(g) for g in got], pa.int64()), pa.array(_class_names(batch.column(0).slice(a, b - a).to_pylist(), got), pa.int64())], names=["id", "n_frames", "n_items", "items", "items_crc32", "class"])
+            media = [None if null else data[x:y] for null, x, y in zip(batch.column(1).slice(a, b - a).is_null().to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array([len(g) // 4 for g in got], pa.int64()), pa.array(got, pa.binary()), pa.array([zlib.crc32(g) for g in got], pa.int64()), pa.array(_class_names(batch.column(0).slice(a, b - a).to_pylist(), media, got), pa.int64())], names=["id", "n_frames", "n_items", "items", "items_crc32", "class"])
 
 
 def fingerprints(recordings, rec_id="doc_id", media="text"):
@@ -167,21 +171,54 @@ def _items_of(segments):
     return once.select("segment", F.col("z.items").alias("item"), F.col("z.places").alias("place"))
 
 
-def _errors(batches):
+def aligned_stretch(q, wrong):
+    """(first, end) of the stretch with the largest surplus of allowed over actual bit errors, among those in which
+    ``VOTES`` distinct integers are equal; ``wrong`` holds the bit errors of each place.  None if there is none."""
+    gain = BIT_ERRORS * 32 - wrong.astype(float)
+    equal = wrong == 0
+    while len(np.unique(q[equal])) >= VOTES:
+        total = np.concatenate([np.zeros(1), np.cumsum(gain)])
+        end = int(np.argmax(total - np.minimum.accumulate(total)))
+        first = int(np.argmin(total[: end + 1]))
+        if len(np.unique(q[first:end][equal[first:end]])) >= VOTES:
+            return first, end
+        equal[first:end], gain[first:end] = False, -1e6
+    return None
+
+
+PASSED = ("offset", "votes", "overlap", "bit_errors", "start", "length", "stretch_errors")
+KEPT_TYPE = f"query long, class long, {', '.join(f'{c} long' for c in PASSED)}, others array<struct<{','.join(f'{c}:long' for c in PASSED)}>>"
+
+
+def _alignments(batches):
+    """Pairs (query, class, offsets, q, r) of which an offset passes: the one with the most votes (the smaller one in
+    size, then the smaller, on a tie), and the others.  The stretch starts at a place in the query."""
     for batch in batches:
-        overlap, errors = [], []
-        for offset, q, r in zip(*(batch.column(k).to_pylist() for k in (2, 4, 5))):
-            q, r = np.frombuffer(q, dtype="<u4"), np.frombuffer(r, dtype="<u4")
-            a, b = max(0, -offset), max(0, offset)
-            n = min(len(q) - a, len(r) - b)
-            overlap.append(n)
-            errors.append(int(np.bitwise_count(q[a : a + n] ^ r[b : b + n]).sum()))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(overlap, pa.int64()), pa.array(errors, pa.int64())], names=["query", "class", "offset", "votes", "overlap", "bit_errors"])
+        out = []
+        for query, name, offsets, q, r in zip(*(c.to_pylist() for c in batch.columns)):
+            q, r, passed = np.frombuffer(q, dtype="<u4"), np.frombuffer(r, dtype="<u4"), []
+            for o in offsets:
+                offset, votes = o["offset"], o["votes"]
+                a, b = max(0, -offset), max(0, offset)
+                n = min(len(q) - a, len(r) - b)
+                wrong = np.bitwise_count(q[a : a + n] ^ r[b : b + n])
+                errors = int(wrong.sum())
+                found = aligned_stretch(q[a : a + n], wrong)
+                if found is None and errors <= BIT_ERRORS * 32 * n:
+                    found = 0, n
+                if found:
+                    passed.append((offset, votes, n, errors, a + found[0], found[1] - found[0], int(wrong[found[0] : found[1]].sum())))
+            if passed:
+                best, *others = sorted(passed, key=lambda x: (-x[1], abs(x[0]), x[0]))
+                out.append((query, name, *best, [dict(zip(PASSED, x)) for x in others]))
+        kinds = [pa.int64()] * (2 + len(PASSED)) + [pa.list_(pa.struct([(c, pa.int64()) for c in PASSED]))]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["query", "class", *PASSED, "others"])
 
 
 def align(classes, queries):
-    """query, class, offset (place in the class less place in the query), votes, overlap, bit_errors, from
-    (class, items) of all classes and of the queries among them."""
+    """query, class, offset (place in the class less place in the query), votes, overlap, bit_errors, and the stretch that
+    aligns (start, length, stretch_errors), and the other offsets that pass (others), from (class, items) of all classes
+    and of the queries among them."""
     spark = classes.sparkSession
     asked = stored(queries.select("class", "items").mapInArrow(_segments(None), SEGMENT_TYPE), "asked")
     wanted = _items_of(asked).select(F.col("segment").alias("q_segment"), "item", F.col("place").alias("at"))
@@ -196,22 +233,21 @@ def align(classes, queries):
     between = wanted.join(_items_of(held), "item").groupBy("q_segment", "segment", (F.col("place") - F.col("at")).alias("d")).agg(F.count("*").alias("n"))
     dealt = between.join(asked.select(F.col("segment").alias("q_segment"), F.col("class").alias("query"), F.col("base").alias("q_base")), "q_segment").join(held.select("segment", "class", "base"), "segment").where("query <> class")
     votes = dealt.groupBy("query", "class", (F.col("base") + F.col("d") - F.col("q_base")).alias("offset")).agg(F.sum("n").alias("votes"))
-    best = votes.groupBy("query", "class").agg(F.max_by(F.struct("offset", "votes"), F.struct("votes", -F.abs("offset"), -F.col("offset"))).alias("b")).where(F.col("b.votes") >= VOTES)
-    best = stored(best.select("query", "class", "b.offset", "b.votes"), "offsets")
-    pairs = best.join(queries.select(F.col("class").alias("query"), F.col("items").alias("q")), "query").join(classes.select("class", F.col("items").alias("r")), "class")
-    found = pairs.select("query", "class", "offset", "votes", "q", "r").mapInArrow(_errors, "query long, class long, offset long, votes long, overlap long, bit_errors long")
-    return found.where(F.col("bit_errors") <= BIT_ERRORS * 32 * F.col("overlap"))
+    tested = votes.where(F.col("votes") >= VOTES).groupBy("query", "class").agg(F.sort_array(F.collect_list(F.struct("offset", "votes"))).alias("offsets"))
+    tested = stored(tested, "offsets")
+    pairs = tested.join(queries.select(F.col("class").alias("query"), F.col("items").alias("q")), "query").join(classes.select("class", F.col("items").alias("r")), "class")
+    return pairs.select("query", "class", "offsets", "q", "r").mapInArrow(_alignments, KEPT_TYPE)
 
 
 def op1_chroma(spark, sf_dir):
     """Texts stand in for recordings.  One row per document; the row that names a class lists the query classes
     (those with an id divisible by 50) that align with it."""
     made = stored(fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")), "fingerprints")
-    classes = made.where("n_items > 0").groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"), F.max(F.col("id") % 50 == 0).alias("asked"))
+    classes = made.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"), F.max(F.col("id") % 50 == 0).alias("asked"))
     firsts = stored(made.where("n_items > 0").join(classes.withColumn("id", F.col("class_id")), ["class", "id"]).select("class", "class_id", "asked", "items").dropDuplicates(["class"]), "classes")
     found = align(firsts, firsts.where("asked"))
     names = firsts.select(F.col("class").alias("query"), F.col("class_id").alias("query_id"))
-    matches = found.join(names, "query").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("query_id", "offset", "votes", "overlap", "bit_errors"))).alias("matches"))
+    matches = found.join(names, "query").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("query_id", *PASSED, "others"))).alias("matches"))
     joined = made.drop("items").join(classes, "class", "left").join(matches, "class", "left")
     first = F.col("id") == F.col("class_id")
     return joined.select(F.col("id").alias("doc_id"), "n_frames", "n_items", "items_crc32", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.when(first, F.col("matches")).alias("matches"))

@@ -265,6 +265,42 @@ def test_fingerprints(spark):
     assert set(got) == {2, 7} and got[2].offset == -50 and got[2].bit_errors == 0 and got[7].offset == 0
 
 
+def test_alignments_of_parts(spark):
+    """An excerpt in the middle of other sound, a loop's second offset, and copies that are too short for integers."""
+    r = np.random.default_rng(8)
+    noise = lambda n: r.integers(0, 255, audio.HOP * n).astype(np.uint8)
+    theme = noise(60)
+    rows = [(1, np.concatenate([noise(100), theme, noise(100)])), (2, np.concatenate([noise(150), theme, noise(90)])), (3, np.concatenate([theme, noise(40), theme[: audio.HOP * 45]])),
+            (4, theme[audio.HOP * 15 :]), (5, noise(3)), (7, noise(4)), (8, theme[:0])]
+    rows = [(i, bytearray(x.tobytes())) for i, x in rows] + [(9, None), (10, None)]
+    rows += [(6, rows[4][1])]
+    made = audio.fingerprints(spark.createDataFrame(rows, "doc_id long, text binary")).cache()
+    by = {x.id: x["class"] for x in made.collect()}
+    assert by[5] == by[6] and len({by[i] for i in (5, 7, 8, 9, 10)}) == 5
+    classes = made.where("n_items > 0")
+    names = {x: i for i, x in by.items()}
+    found = {(names[x["class"]], y.offset): y for x in audio.align(classes, classes.where("id = 1")).collect() for y in (x, *x.others)}
+    assert (2, 50) in found and {(3, -100), (4, -115)} <= set(found)
+    part = found[2, 50]
+    # Filters look at WIDTH frames, and a frame at FRAME samples: the whole of the theme less what reaches beyond it.
+    inside = (len(theme) - audio.FRAME) // audio.HOP + 1 - audio.WIDTH + 1
+    assert part.bit_errors > 0.2 * 32 * part.overlap and part.stretch_errors <= 0.2 * 32 * part.length
+    assert part.start <= 100 and part.start + part.length >= 100 + inside
+    assert audio.align(classes, classes.where("id = 5")).count() == 0
+
+
+def test_second_offset():
+    """A shared part that most votes don't speak for is still tested."""
+    r = np.random.default_rng(9)
+    a, b, other, more = (r.integers(0, 1 << 32, n).astype("<u4") for n in (30, 20, 25, 25))
+    q, c = np.concatenate([a, other, b]), np.concatenate([b, a, more])
+    import pyarrow as pa
+    kinds = pa.list_(pa.struct([("offset", pa.int64()), ("votes", pa.int64())]))
+    pair = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([[{"offset": 20, "votes": 30}, {"offset": -55, "votes": 20}, {"offset": 3, "votes": 3}]], kinds), pa.array([q.tobytes()]), pa.array([c.tobytes()])], names=["query", "class", "offsets", "q", "r"])
+    (got,) = next(audio._alignments([pair])).to_pylist()
+    assert [(x["offset"], x["start"], x["length"], x["stretch_errors"]) for x in (got, *got["others"])] == [(20, 0, 30, 0), (-55, 55, 20, 0)]
+
+
 def test_integral_image():
     """A filter's value against sums taken one by one."""
     r = np.random.default_rng(7)
