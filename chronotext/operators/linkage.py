@@ -1,7 +1,8 @@
 """Record linkage by normal and fuzzy keys.
 
-Fuzzy scores are 0 to 100, from the longest common subsequence: 100 * 2 * L / (m + n).  Candidates come from shared
-words of the normal titles, never from all pairs; a word's posting list is split by the rarest shared word.
+Fuzzy scores are 0 to 100, from the longest common subsequence: 100 * 2 * L / (m + n).  Fuzzy candidates come from
+shared words of the normal titles, never from all pairs; a word's posting list is split by the rarest shared word.
+Containment is found by character strings and needs no shared word.
 """
 import numpy as np
 import pandas as pd
@@ -80,9 +81,30 @@ def best_match(left: DataFrame, right: DataFrame, left_title: str, right_title:
 
 
 def contained(left: DataFrame, right: DataFrame, left_title: str, right_title: str, longer_than: int = 5) -> DataFrame:
-    """Pairs with equal normal titles, or one (of more than ``longer_than`` characters) inside the other as words."""
-    return candidates(left, right, left_title, right_title).where(
-        (F.col("l_title") == F.col("r_title")) | ((F.length("l_title") > longer_than) & (F.length("r_title") > longer_than) & (F.contains("l_title", F.col("r_title")) | F.contains("r_title", F.col("l_title")))))
+    """Pairs with equal normal titles, or one (both of more than ``longer_than`` characters) inside the other.
+
+    All strings of ``longer_than`` + 1 characters of a title are also in a title that contains it, so each title looks
+    up its rarest one among those of the other side; no shared word is needed."""
+    size = longer_than + 1
+
+    def titled(df, title, name):
+        return df.select(F.struct(*df.columns).alias(name), normal_title(F.col(title)).alias(f"{name}_title")).where(f"{name}_title <> ''")
+
+    def grams(df, name):
+        title = F.col(f"{name}_title")
+        cut = F.transform(F.sequence(F.lit(1), F.length(title) - longer_than), lambda i: F.substring(title, i, F.lit(size)))
+        return df.where(F.length(title) >= size).withColumn("gram", F.explode(F.array_distinct(cut)))
+
+    def inside(short, long, name, other):
+        held = grams(long, other)
+        frequency = held.groupBy("gram").agg(F.count("*").alias("f"))
+        rarest = grams(short.select(f"{name}_title").distinct(), name).join(frequency, "gram").groupBy(f"{name}_title").agg(F.min_by("gram", F.struct("f", "gram")).alias("gram"))
+        met = rarest.join(held, "gram").where(F.contains(f"{other}_title", F.col(f"{name}_title"))).drop("gram")
+        return met.join(short, f"{name}_title").select("l", "r", "l_title", "r_title")
+
+    a, b = titled(left, left_title, "l"), titled(right, right_title, "r")
+    equal = a.join(b, F.col("l_title") == F.col("r_title")).select("l", "r", "l_title", "r_title")
+    return equal.unionAll(inside(a, b, "l", "r")).unionAll(inside(b, a, "r", "l")).dropDuplicates(["l", "r"])
 
 
 def hit_score(wanted: Column, found: Column, wanted_artist: Column, found_artist: Column) -> Column:

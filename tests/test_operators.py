@@ -151,6 +151,17 @@ def test_linkage(spark):
     assert [(r.t, r.match.w) for r in linkage.best_match(left, right, "t", "u", "w").collect()] == [("Late Night", 9)]
 
 
+def test_contained_without_shared_words(spark):
+    titles = ["sunflower", "sunflowers", "the sunflowerseed", "flower", "flow", "flow", "one", "one two", "abcdef", "xabcdefx", "東京東京東京", "は東京東京東京は", "", None]
+    left = spark.createDataFrame(list(enumerate(titles)), "i int, t string")
+    right = spark.createDataFrame(list(enumerate(titles)), "j int, u string")
+    normal = {r.i: r.n for r in left.select("i", text.normal_title(F.col("t")).alias("n")).collect()}
+    expected = {(i, j) for i, a in normal.items() for j, b in normal.items() if a and b and (a == b or len(a) > 5 and len(b) > 5 and (a in b or b in a))}
+    got = [(r.l.i, r.r.j) for r in linkage.contained(left, right, "t", "u").collect()]
+    assert sorted(got) == sorted(expected) and {(0, 1), (3, 0), (8, 9)} <= expected
+    assert linkage.contained(left.limit(0), right, "t", "u").count() == 0
+
+
 def test_sets(spark):
     t = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     assert sorted(map(tuple, sets.upsert(t, spark.createDataFrame([(2, "c"), (3, "d")], t.schema), ["id"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
