@@ -12,7 +12,7 @@ an empty result.  Only the named columns are read.
 
 The corpus is gone through once, in chunks of at most ``CHUNK_BYTES`` (or one text).  A chunk keeps its texts, packed,
 and its distinct words and (DEPTH + 1)-grams with their counts in training texts; keys and counts are summed and joined
-in shuffles over all keys, and each chunk gets back the values of its own keys.  No table of the corpus is broadcast:
+in shuffles over all keys, and each chunk gets back the values of its own keys, streamed before its texts.  No table of the corpus is broadcast:
 the driver sees the nodes of the two shortest contexts only, at most 256 * 256 of them.  Words are known by 64-bit hashes.
 """
 import io
@@ -24,15 +24,15 @@ import xxhash
 from pyspark.sql import functions as F
 
 from .arrays import lower_table
-from .store import stored
+from .store import discard, stored
 
 DEPTH = 4
-CHUNK_BYTES = 48_000_000
-SLICE = 4_000_000
+CHUNK_BYTES = 12_000_000
+SLICE = 1_000_000
 NODES_A_BUCKET = 300_000
 FOLD = bytes(lower_table())
 PAD = b"\xff" * DEPTH
-GRAM, WORD = 0, 1
+GRAM, WORD, BLOCK = 0, 1, 2
 CHUNK_TYPE = "chunk long, kind int, key long, n long, block binary"
 
 
@@ -62,21 +62,32 @@ def predicted(lengths):
     return keep
 
 
-def gram_counts(texts):
-    """Distinct gram keys of the texts and how often each occurs."""
-    keys, counts = [], []
+def slices(texts):
+    """(first text, end, gram keys, number of grams by text) of about ``SLICE`` bytes; a longer text makes several."""
     at = 0
     while at < len(texts):
         size, end = 0, at
         while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE):
             size += len(texts[end])
             end += 1
-        part = texts[at:end]
-        grams = gram_keys(b"".join(PAD + t + b"\xff" for t in part))
-        k, c = np.unique(grams[predicted(np.array([len(t) for t in part], dtype=np.int64))], return_counts=True)
+        whole = b"".join(PAD + t + b"\xff" for t in texts[at:end])
+        if size > SLICE:
+            for a in range(0, size + 1, SLICE):
+                keys = gram_keys(whole[a : a + SLICE + DEPTH])
+                yield at, end, keys, np.array([len(keys)])
+        else:
+            lengths = np.array([len(t) for t in texts[at:end]], dtype=np.int64)
+            yield at, end, gram_keys(whole)[predicted(lengths)], lengths + 1
+        at = end
+
+
+def gram_counts(texts):
+    """Distinct gram keys of the texts and how often each occurs."""
+    keys, counts = [], []
+    for _, _, grams, _ in slices(texts):
+        k, c = np.unique(grams, return_counts=True)
         keys.append(k)
         counts.append(c)
-        at = end
     if not keys:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
@@ -298,13 +309,18 @@ class Lookup:
         return out
 
 
+RESULT = "doc_id {}, held_out boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double"
+
+
 def _scores(total):
-    def scores(blocks, answers):
+    """Scores of the texts of each chunk, from rows (chunk, kind, key, value, block) sorted by chunk and kind: the values
+    of its grams, those of its words and, at the end, its texts."""
+    def scored(block, grams, words):
         n_all, v = total.value
-        kind, key, value = (answers.column(i).to_numpy() for i in (1, 2, 3))
-        lookup = Lookup(np.ascontiguousarray(key[kind == GRAM]), np.ascontiguousarray(value[kind == GRAM]))
-        counts = dict(zip(key[kind == WORD].tolist(), value[kind == WORD].tolist()))
-        known = {}
+        lookup = Lookup(*(np.concatenate([x[i] for x in grams]) if grams else np.empty(0, t) for i, t in enumerate((np.int64, float))))
+        grams.clear()
+        counts = {k: n for keys, values in words for k, n in zip(keys.tolist(), values.tolist())}
+        words.clear()
 
         class Words(dict):
             def __missing__(self, word):
@@ -312,31 +328,34 @@ def _scores(total):
                 self[word] = got = (np.log10((c + 0.5) / (n_all + 0.5 * (v + 1))), c > 0)
                 return got
 
-        words, tables = Words(), []
-        for block in blocks.column(1).to_pylist():
-            docs = unpacked(block)
-            texts = docs.column("text").to_pylist()
-            score = np.empty(len(texts))
-            at = 0
-            while at < len(texts):
-                size, end = 0, at
-                while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE):
-                    size += len(texts[end])
-                    end += 1
-                part = texts[at:end]
-                lengths = np.array([len(t) for t in part], dtype=np.int64)
-                keys = gram_keys(b"".join(PAD + t + b"\xff" for t in part))[predicted(lengths)]
-                score[at:end] = np.add.reduceat(lookup(keys), np.concatenate([[0], np.cumsum(lengths + 1)])[:-1])
-                at = end
-            base, n, got = [], [], []
-            end_value, end_known = words[b""]
-            for t in texts:
-                pairs = [words[w] for w in t.split()]
-                base.append(sum(p[0] for p in pairs) + end_value)
-                n.append(len(pairs) + 1)
-                got.append(sum(p[1] for p in pairs) + end_known)
-            tables.append(pa.table({"doc_id": docs.column("id"), "held_out": docs.column("held"), "n_bytes": pa.array([len(t) + 1 for t in texts], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(got, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": score}))
-        return pa.concat_tables(tables) if tables else pa.table({c: pa.array([], t) for c, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
+        known, docs = Words(), unpacked(block)
+        texts = docs.column("text").to_pylist()
+        score = np.zeros(len(texts))
+        for at, end, keys, sizes in slices(texts):
+            score[at:end] += np.add.reduceat(lookup(keys), np.concatenate([[0], np.cumsum(sizes)])[:-1])
+        base, n, got = [], [], []
+        end_value, end_known = known[b""]
+        for t in texts:
+            pairs = [known[w] for w in t.split()]
+            base.append(sum(p[0] for p in pairs) + end_value)
+            n.append(len(pairs) + 1)
+            got.append(sum(p[1] for p in pairs) + end_known)
+        columns = {"doc_id": docs.column("id"), "held_out": docs.column("held"), "n_bytes": pa.array([len(t) + 1 for t in texts], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(got, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score)}
+        yield from pa.table(columns).to_batches()
+
+    def scores(batches):
+        grams, words = [], []
+        for batch in batches:
+            kind, key, value = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            start = 0
+            for at in [*np.flatnonzero(kind == BLOCK).tolist(), None]:
+                for k, out in ((GRAM, grams), (WORD, words)):
+                    here = np.flatnonzero(kind[start:at] == k) + start
+                    if len(here):
+                        out.append((key[here], value[here]))
+                if at is not None:
+                    yield from scored(batch.column(4)[at].as_py(), grams, words)
+                    start = at + 1
     return scores
 
 
@@ -362,11 +381,14 @@ def score(docs, held_out, doc_id="doc_id", text="text"):
     summed = words.groupBy("key").agg(F.sum("n").cast("double").alias("value"))
     summed = stored(summed, "words")
     total = summed.agg(F.coalesce(F.sum("value"), F.lit(0.0)), F.count_if(F.col("value") > 0)).first()
-    answers = asked.where(F.col("kind") == GRAM).join(values, "key").select("chunk", "kind", "key", "value").unionAll(words.join(summed, "key").select("chunk", "kind", "key", "value"))
-    blocks = chunks.where(F.col("kind").isNull()).select(F.col("chunk").alias("at"), "block")
-    schema = f"doc_id {kind}, held_out boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double"
-    scored = blocks.groupBy("at").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(sc.broadcast((total[0], total[1]))), schema)
-    return scored.withColumns({"train_tokens": F.lit(int(total[0])).cast("long"), "code_length": -F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")})
+    nothing = F.lit(None).cast("binary").alias("block")
+    answers = [t.select("chunk", "kind", "key", "value", nothing) for t in (asked.where(F.col("kind") == GRAM).join(values, "key"), words.join(summed, "key"))]
+    blocks = chunks.where(F.col("kind").isNull()).select("chunk", F.lit(BLOCK).alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(0.0).alias("value"), "block")
+    rows = answers[0].unionAll(answers[1]).unionAll(blocks).repartition("chunk").sortWithinPartitions("chunk", "kind")
+    scored = rows.mapInArrow(_scores(sc.broadcast((total[0], total[1]))), RESULT.format(kind))
+    scored = stored(scored.withColumns({"train_tokens": F.lit(int(total[0])).cast("long"), "code_length": -F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")}), "scores")
+    discard(chunks, grams, summed)
+    return scored
 
 
 def op7_context_tree(spark, sf_dir):
