@@ -1,7 +1,7 @@
 """Connected components of an edge table."""
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import discard, stored
 
 
 def components(edges):
@@ -13,14 +13,18 @@ def components(edges):
     edges = stored(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     labels = None
     while True:
-        parent = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p"))
-        parent = stored(parent, "parents")
+        parent = stored(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")), "parents")
         if labels is None:
-            labels = parent.select(F.col("a").alias("node"), F.col("p").alias("root"))
+            step = stored(parent.select(F.col("a").alias("node"), F.col("p").alias("root")), "labels")
         else:
-            step = parent.select(F.col("a").alias("root"), "p")
-            labels = stored(labels.join(step, "root", "left").select("node", F.coalesce("p", "root").alias("root")), "labels")
+            moved = parent.select(F.col("a").alias("root"), "p")
+            step = stored(labels.join(moved, "root", "left").select("node", F.coalesce("p", "root").alias("root")), "labels")
+            discard(labels)
+        labels = step
         left, right = parent.select("a", F.col("p").alias("pa")), parent.select(F.col("a").alias("b"), F.col("p").alias("pb"))
-        edges = stored(edges.join(left, "a").join(right, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "edges")
+        contracted = stored(edges.join(left, "a").join(right, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "edges")
+        discard(edges, parent)
+        edges = contracted
         if edges.isEmpty():
+            discard(edges)
             return labels
