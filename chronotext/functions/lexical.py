@@ -12,10 +12,12 @@ DRAWS = 42
 
 
 def syllables(word: Column) -> Column:
-    """Vowel groups, less one for a silent final e, and one at least for a word with letters."""
-    groups = F.regexp_count(F.lower(word), F.lit("[aeiouy]+"))
-    silent = F.lower(word).rlike("[^aeiouyl]e$") & (groups > 1)
-    return F.when(word == "", 0).otherwise(F.greatest(F.lit(1), groups - silent.cast("int")))
+    """Vowel groups of a word's letters, less one for a final e, one more for -le after a consonant; one at least, and
+    none without letters."""
+    letters = F.regexp_replace(F.lower(word), "[^a-z]", "")
+    groups = F.regexp_count(letters, F.lit("[aeiouy]+"))
+    silent = F.endswith(letters, F.lit("e")) & (groups > 1)
+    return F.when(letters == "", 0).otherwise(F.greatest(F.lit(1), groups - silent.cast("int") + letters.rlike("[^aeiouy]le$").cast("int")))
 
 
 def total(words: Column, f) -> Column:
@@ -38,36 +40,38 @@ def share(words: Column, condition) -> Column:
     return F.try_divide(F.size(F.filter(words, condition)).cast("double"), F.size(words).cast("double"))
 
 
-def flesch_kincaid(words: Column, sentences: Column) -> Column:
+def flesch_kincaid(words: Column, sentences: Column, digits: int = 2) -> Column:
+    """The reading grade, rounded; 0 without words or sentences."""
     n = F.size(words).cast("double")
-    return 0.39 * F.try_divide(n, sentences.cast("double")) + 11.8 * F.try_divide(total(words, syllables).cast("double"), n) - 15.59
+    grade = 0.39 * F.try_divide(n, sentences.cast("double")) + 11.8 * F.try_divide(total(words, syllables).cast("double"), n) - 15.59
+    return F.coalesce(F.round(grade, digits), F.lit(0.0))
 
 
-def _factors(words: Column, threshold: float) -> Column:
-    """Factors of one pass: full ones, and the part of the last."""
-    start = F.struct(F.lit(0.0).alias("factors"), F.lit(0).alias("n"), F.lit(0).alias("types"), F.array().cast("array<string>").alias("seen"))
+def diversity_factors(words, threshold: float) -> float:
+    """Factors of one pass over words: full ones, and the part of the last."""
+    factors, n, seen = 0.0, 0, set()
+    for w in words:
+        n += 1
+        seen.add(w)
+        if len(seen) / n <= threshold:
+            factors, n, seen = factors + 1, 0, set()
+    return factors + (1 - len(seen) / n) / (1 - threshold) if n else factors
 
-    def step(s, w):
-        fresh = ~F.array_contains(s["seen"], w)
-        n, types = s["n"] + 1, s["types"] + fresh.cast("int")
-        closed = types.cast("double") / n <= threshold
-        none = F.array().cast("array<string>")
-        return F.struct(
-            (s["factors"] + closed.cast("double")).alias("factors"), F.when(closed, 0).otherwise(n).alias("n"), F.when(closed, 0).otherwise(types).alias("types"),
-            F.when(closed, none).otherwise(F.when(fresh, F.concat(s["seen"], F.array(w))).otherwise(s["seen"])).alias("seen"))
 
-    def finish(s):
-        rest = F.when(s["n"] > 0, (1 - s["types"].cast("double") / s["n"]) / (1 - threshold)).otherwise(0.0)
-        return s["factors"] + rest
+def mtld(words: Column, threshold: float = 0.72, least: int = 50, digits: int = 2) -> Column:
+    """Mean of the forward and the backward measure of textual lexical diversity, rounded; 0 below ``least``
+    words, and a pass without any factor counts as 0.
 
-    return F.aggregate(words, start, step, finish)
-
-
-def mtld(words: Column, threshold: float = 0.72, least: int = 50) -> Column:
-    """Mean of the forward and the backward measure of textual lexical diversity; 0 below ``least`` words."""
-    n = F.size(words).cast("double")
-    one_way = lambda w: F.coalesce(F.try_divide(n, _factors(w, threshold)), n)
-    return F.when(n < least, 0.0).otherwise((one_way(words) + one_way(F.reverse(words))) / 2)
+    An Arrow-batched function, linear in the words: a native fold would search an array at each word."""
+    @F.pandas_udf(DoubleType())
+    def measure(batch: pd.Series) -> pd.Series:
+        def one(ws):
+            if ws is None or len(ws) < max(least, 1):
+                return None if ws is None else 0.0
+            passes = [diversity_factors(x, threshold) for x in (ws, ws[::-1])]
+            return round(sum(len(ws) / f if f > 0 else 0.0 for f in passes) / 2, digits)
+        return batch.map(one).astype("float64")
+    return measure(words)
 
 
 @F.pandas_udf(DoubleType())
@@ -102,18 +106,37 @@ def vocd(words: pd.Series) -> pd.Series:
     return words.map(one)
 
 
+# The words of each category; contractions count as their roots, with and without the apostrophe.
 PRONOUNS = {
-    "first_singular": ("i", "me", "my", "mine", "myself"),
-    "first_plural": ("we", "us", "our", "ours", "ourselves"),
-    "second": ("you", "your", "yours", "yourself", "yourselves"),
-    "third": ("he", "him", "his", "she", "her", "hers", "they", "them", "their", "theirs", "it", "its"),
+    "first_singular": ("i", "me", "my", "mine", "myself", "im", "i'm", "ill", "i'll", "ive", "i've", "id", "i'd"),
+    "first_plural": ("we", "us", "our", "ours", "were", "we're", "well", "we'll", "weve", "we've"),
+    "second": ("you", "your", "yours", "youre", "you're", "youll", "you'll", "yall", "y'all"),
+    "third_plural": ("they", "them", "their", "theirs", "theyre", "they're"),
 }
+FIRST_SINGULAR = ("i", "me", "my", "mine", "myself")
+PRONOUN_TOKENS = "[a-z]+'?[a-z]+|[a-z]+"
 
 
 def pronoun_counts(words: Column, categories: dict = PRONOUNS) -> list[Column]:
-    """One count per category; a contraction counts as its root."""
-    roots = F.transform(words, lambda w: F.split_part(w, F.lit("'"), F.lit(1)))
-    return [F.size(F.filter(roots, _among(s))).alias(name) for name, s in categories.items()]
+    """One count per category."""
+    return [F.size(F.filter(words, _among(s))).alias(name) for name, s in categories.items()]
+
+
+def pronoun_rates(words: Column, categories: dict = PRONOUNS) -> list[Column]:
+    """One share of all words per category; 0 without words."""
+    n = F.size(words).cast("double")
+    return [F.coalesce(F.try_divide(F.size(F.filter(words, _among(s))).cast("double"), n), F.lit(0.0)).alias(f"rate_{name}") for name, s in categories.items()]
+
+
+def first_person_share(words: Column) -> Column:
+    """Share of words that are a first person singular pronoun or a contraction of ``i``; 0 without words."""
+    mine = F.filter(words, lambda w: w.isin(*FIRST_SINGULAR) | w.rlike("^i['’]"))
+    return F.coalesce(F.try_divide(F.size(mine).cast("double"), F.size(words).cast("double")), F.lit(0.0))
+
+
+def line_measures(words: Column) -> list[Column]:
+    """Tokens of a line and their mean length (null without any)."""
+    return [F.size(words).alias("line_tokens"), mean_length(words).alias("mean_word_chars")]
 
 
 def _among(names):

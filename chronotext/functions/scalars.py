@@ -80,12 +80,12 @@ def score_out_of_100(text: Column) -> Column:
 
 
 def duration_seconds(text: Column) -> Column:
-    """``m:ss``, ``h:mm:ss`` and ``m minutes s seconds``; brackets are ignored."""
-    t = F.regexp_replace(text, r"\[[^\]]*\]|\([^)]*\)", "")
+    """``m minutes s seconds``, else the first ``m:ss`` (spaces may stand around the colon, both parts below 60); square
+    brackets go and what follows a parenthesis is not read."""
+    t = F.split_part(F.regexp_replace(text, r"\[[^\]]*\]", ""), F.lit("("), F.lit(1))
     part = lambda p, i: F.regexp_extract(t, p, i).try_cast("int")
-    clock = r"^\s*(?:(\d+):)?(\d+):(\d{2})\b"
-    words = F.coalesce(part(r"(\d+)\s*min", 1) * 60, F.lit(0)) + F.coalesce(part(r"(\d+)\s*sec", 1), F.lit(0))
-    return F.when(t.rlike(clock), F.coalesce(part(clock, 1), F.lit(0)) * 3600 + part(clock, 2) * 60 + part(clock, 3)).when(t.rlike(r"\d+\s*(min|sec)"), words)
+    words, clock = r"(?i)(\d+)\s*minutes?\s*(?:and\s*)?(\d+)\s*seconds?", r"\b(\d{1,3})\s*:\s*(\d{2})\b"
+    return F.when(t.rlike(words), part(words, 1) * 60 + part(words, 2)).when((part(clock, 1) < 60) & (part(clock, 2) < 60), part(clock, 1) * 60 + part(clock, 2))
 
 
 def peak_position(text: Column) -> Column:
@@ -113,8 +113,29 @@ def scores_to_columns(scores: Column, labels) -> list[Column]:
     return [*(F.try_element_at(by_label, F.lit(x)).alias(x) for x in labels), best["label"].alias("top_label")]
 
 
-def p_text(p: Column) -> Column:
-    return F.format_number(F.greatest(p, F.lit(1e-12)), 4)
+def p_text(p: Column, least: float = 1e-12) -> Column:
+    """Four significant digits without trailing zeros, small values in e-notation, 1e-12 at least; NA if not finite."""
+    digits = F.format_string("%.4g", F.greatest(p, F.lit(least)))
+    short = F.regexp_replace(F.regexp_replace(digits, r"(\.\d*?)0+(?=e|$)", "$1"), r"\.(?=e|$)", "")
+    return F.when(p.isNotNull() & ~F.isnan(p) & (F.abs(p) < float("inf")), short).otherwise("NA")
+
+
+def margin(positive: Column, negative: Column) -> Column:
+    return positive - negative
+
+
+def certification_day(text: Column) -> Column:
+    """The first ``Month d, yyyy`` in a text."""
+    day = F.regexp_extract(text, r"((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s+\d{4})", 1)
+    return F.to_date(F.try_to_timestamp(F.regexp_replace(day, r"\s+", " "), F.lit("MMMM d, yyyy")))
+
+
+def decision(cases, default) -> Column:
+    """A decision table: the value of the first condition that holds (null conditions don't)."""
+    out = F.lit(default)
+    for condition, value in reversed(list(cases)):
+        out = F.when(F.coalesce(condition, F.lit(False)), F.lit(value)).otherwise(out)
+    return out
 
 
 def rates(words: Column, lines: Column, verse_words: Column, seconds: Column) -> list[Column]:

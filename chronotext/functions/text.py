@@ -43,7 +43,7 @@ def bodies_credited_to(parsed: Column, name: str, keep_uncredited: bool = True)
 
 def artists(credit: Column) -> Column:
     parts = F.split(F.regexp_replace(credit, r"(?i)\s*(?:&|,|/|\bwith\b|\band\b|\bfeat\.?|\bft\.?)\s*", "|"), r"\|")
-    return F.array_distinct(F.filter(F.transform(parts, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def normal_title(title: Column) -> Column:
@@ -62,9 +62,43 @@ def relaxed_title(title: Column) -> Column:
 
 
 def repair_encoding(text: Column) -> Column:
-    """UTF-8 that was read as Latin-1, read right; other texts stay."""
-    suspicious = text.rlike("[ÃÂâ][\u0080-¿]")
-    return F.when(suspicious, F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")).otherwise(text)
+    """UTF-8 that was read as Latin-1, read right; texts with other characters, and those whose bytes aren't UTF-8, stay."""
+    suspicious = text.rlike("[Ãâ]") & text.rlike(r"^[\x{0}-\x{FF}]*$")
+    read = F.when(suspicious, F.try_validate_utf8(F.encode(F.when(suspicious, text), "ISO-8859-1").cast("string")))
+    return F.coalesce(read, text)
+
+
+def is_placeholder(text: Column, marks=("yet to be transcribed",)) -> Column:
+    """Whether a text only announces one."""
+    out = F.lit(False)
+    for m in marks:
+        out = out | F.coalesce(F.contains(F.lower(text), F.lit(m)), F.lit(False))
+    return out
+
+
+def compact(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")
+
+
+def prefers_direct(title: Column, found: Column, direct: Column) -> Column:
+    """Whether an address that was given beats one that was found: their last parts differ (an empty one differs from none,
+    unless the title is a remix and only the given address is one, too)."""
+    tidy = lambda u: F.regexp_replace(F.lower(F.coalesce(u, F.lit(""))), "/+$", "")
+    last = lambda u: F.element_at(F.split(u, "/"), -1)
+    a, b = last(tidy(found)), last(tidy(direct))
+    remix = F.lower(title).rlike(r"\(remix\)| remix$") & ~F.contains(a, F.lit("remix")) & F.contains(b, F.lit("remix"))
+    return (tidy(direct) != "") & (tidy(found) != tidy(direct)) & (F.coalesce(remix, F.lit(False)) | ((a != "") & (b != "") & (a != b)))
+
+
+def score_sentence(text: Column) -> Column:
+    """``score`` and ``reviews`` of "average score of s, based on n reviews" (or critics); nulls if there is none."""
+    pattern = r"(?i)average score of (\d+), based on (\d+) (?:reviews|critics)"
+    return F.struct(F.regexp_extract(text, pattern, 1).try_cast("int").alias("score"), F.regexp_extract(text, pattern, 2).try_cast("int").alias("reviews"))
+
+
+def weeks_listed(text: Column, chart: str = "Hot 100") -> Column:
+    """n of "spent n weeks on the <chart>"."""
+    return F.regexp_extract(F.regexp_replace(text, r"\s+", " "), rf"(?i)spent (\d+) weeks on the {chart}", 1).try_cast("int")
 
 
 def strip_markdown(text: Column) -> Column:
@@ -76,7 +110,7 @@ def strip_markdown(text: Column) -> Column:
 
 def quoted_spans(text: Column, shortest: int = 2, longest: int = 80) -> Column:
     found = F.regexp_extract_all(text, F.lit("[\"“]([^\"“”\n]+)[\"”]"))
-    return F.array_distinct(F.filter(F.transform(found, F.trim), lambda x: F.length(x).between(shortest, longest)))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: F.length(x).between(shortest, longest)))
 
 
 def squeeze(text: Column) -> Column:

@@ -70,15 +70,15 @@ def detect(series: DataFrame, keys, period: str, value: str, settings) -> DataFr
 
 
 def consensus_clusters(days, settings, within: int = 60, least: int = 3):
-    """Greedy, left to right: unused points within reach of the first; those of enough settings make a cluster."""
-    order = np.argsort(days, kind="stable")
-    used, out = set(), []
-    for i in order:
-        if i in used:
+    """Greedy, by day: a day that no cluster holds yet makes one of all points within reach on either side, others'
+    among them, if they have enough settings."""
+    days, used, out = np.asarray(days), set(), []
+    for day in np.unique(days).tolist():
+        if day in used:
             continue
-        members = [j for j in order if j not in used and 0 <= days[j] - days[i] <= within]
+        members = np.flatnonzero(np.abs(days - day) <= within).tolist()
         if len({settings[j] for j in members}) >= least:
-            used.update(members)
+            used.update(days[members].tolist())
             out.append(members)
     return out
 
@@ -92,7 +92,7 @@ def consensus(points: DataFrame, keys, within: int = 60, least: int = 3) -> Data
         names = list(zip(group["model"], group["penalty"]))
         out = []
         for members in consensus_clusters(days, names, within, least):
-            day = int(np.sort(days[members])[(len(members) - 1) // 2])
+            day = int(np.floor(np.median(days[members])))
             out.append((*key, (pd.Timestamp("1970-01-01") + pd.Timedelta(days=day)).date(), len({names[j] for j in members}), float(np.median(group["magnitude"].to_numpy()[members]))))
         return pd.DataFrame(out, columns=range(len(key) + 3)) if out else nothing(len(key) + 3)
 
@@ -113,5 +113,48 @@ def suppress(points: DataFrame, keys, within: int = 90) -> DataFrame:
     return points.groupBy(*keys).applyInPandas(one, points.schema)
 
 
-def classify(days_any, days_severe) -> "F.Column":
-    return F.when(F.abs(days_severe) <= 90, "severe event").when(F.abs(days_any) <= 90, "near event").when(F.abs(days_any) <= 180, "loose").otherwise("hidden")
+def classify_by_severity(days_severe, days_any, within: int = 90):
+    """near_severe, else near_any, else distant: the days to the nearest severe event, and to any."""
+    return F.when(F.abs(days_severe) <= within, "near_severe").when(F.abs(days_any) <= within, "near_any").otherwise("distant")
+
+
+def classify_by_distance(days, near: int = 90, loose: int = 180):
+    """confirms_event, near_miss or hidden_inflection: the days to the nearest event (none: hidden)."""
+    return F.when(F.abs(days) <= near, "confirms_event").when(F.abs(days) <= loose, "near_miss").otherwise("hidden_inflection")
+
+
+def at_threshold(clusters: DataFrame, first: int = 6, looser: int = 5, tighter: int = 7, least: int = 5, most: int = 25, wanted: int = 8, last: int = 4) -> DataFrame:
+    """Rows (with ``support``) at an adaptive threshold: ``first``; ``looser`` if that leaves fewer than ``least``, ``tighter``
+    if more than ``most``; and ``last`` if fewer than ``wanted`` are left and it has more.  One pass counts all of them."""
+    n = clusters.agg(*[F.count_if(F.col("support") >= t).alias(str(t)) for t in sorted({first, looser, tighter, last})]).first().asDict()
+    chosen = looser if n[str(first)] < least else tighter if n[str(first)] > most else first
+    if n[str(chosen)] < wanted and n[str(last)] > n[str(chosen)]:
+        chosen = last
+    return clusters.where(F.col("support") >= chosen).withColumn("threshold", F.lit(chosen))
+
+
+def expected_break(points: DataFrame, keys, center: str, upward: bool, within: int = 62) -> DataFrame:
+    """Per series the break of the greatest support within ``within`` days of a day and in the direction; the earliest on
+    a tie."""
+    hit = points.where((F.abs(F.datediff("day", F.lit(center).cast("date"))) <= within) & ((F.col("magnitude") >= 0) == F.lit(upward)))
+    return hit.groupBy(*keys).agg(F.max_by(F.struct("day", "magnitude", "support"), F.struct("support", -F.unix_date("day"))).alias("b")).select(*keys, "b.*")
+
+
+def dominance(df: DataFrame, label: str, year: str, share: str, least: float = 0.8) -> DataFrame:
+    """Per label its peak year and share, the first and the last year with at least ``least`` of the peak, and the first of
+    July of the middle year."""
+    peak = df.groupBy(label).agg(F.max(share).alias("peak_share"), F.max_by(year, F.struct(F.col(share), -F.col(year))).alias("peak_year"))
+    strong = df.join(peak, label).where(F.col(share) >= least * F.col("peak_share"))
+    out = strong.groupBy(label, "peak_year", "peak_share").agg(F.min(year).alias("first_year"), F.max(year).alias("last_year"))
+    return out.withColumn("middle", F.make_date(F.floor((F.col("first_year") + F.col("last_year")) / 2).cast("int"), F.lit(7), F.lit(1)))
+
+
+def top_months(monthly: DataFrame, month: str, value: str, releases: DataFrame, release_day: str, title: str, events: DataFrame, event_day: str, k: int = 5, listed: int = 15, hidden_after: int = 180) -> DataFrame:
+    """The k months of the greatest value with their releases (up to ``listed``, then an ellipsis), the days to the nearest
+    event and whether that is too far to explain them."""
+    from .temporal import nearest
+    top = monthly.where(F.col(value).isNotNull()).orderBy(F.desc(value), month).limit(k)
+    titles = releases.join(F.broadcast(top.select(month)), F.trunc(release_day, "MM") == F.col(month)).groupBy(month).agg(F.array_sort(F.collect_set(title)).alias("__t"))
+    names = F.concat(F.array_join(F.slice("__t", 1, listed), "; "), F.when(F.size("__t") > listed, "...").otherwise(""))
+    near = nearest(top.select(month, value), events.select(F.col(event_day).cast("date").alias("__day"), F.col(event_day).cast("date").alias("__e")), month, "__day", ["__e"]).select(month, value, F.abs("days_away").alias("days_to_nearest"))
+    return near.join(titles, month, "left").select(month, value, F.coalesce(names, F.lit("")).alias("released"), "days_to_nearest", F.coalesce(F.col("days_to_nearest") > hidden_after, F.lit(True)).alias("hidden"))

@@ -2,7 +2,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import dedup_key, relaxed_title
+from ..functions.text import dedup_key, normal_title, relaxed_title, squeeze
 
 
 def to_acquire(wanted: DataFrame, done: DataFrame, title: str, artist: str, ordinal: str, skip: Column, limit: int | None = None) -> DataFrame:
@@ -107,12 +107,90 @@ def in_month(points: DataFrame, months: DataFrame, day: str, month: str, keys=()
     return months.join(hit, [*keys, month], "left").withColumn("has_point", F.coalesce("__hit", F.lit(False))).drop("__hit")
 
 
-def targets_in_order(rows: DataFrame, targets: DataFrame, title: str, text: str, order) -> DataFrame:
-    """For each (place, title, fragment) target the first row with that title and fragment; a row serves its first target."""
-    small = F.broadcast(targets.select("place", F.col("title").alias("__title"), "fragment"))
-    hits = rows.join(small, F.col(title) == F.col("__title")).where(F.contains(F.col(text), F.col("fragment")))
-    own = hits.withColumn("__t", F.row_number().over(Window.partitionBy(*order).orderBy("place"))).where("__t = 1")
-    return own.withColumn("__r", F.row_number().over(Window.partitionBy("place").orderBy(*order))).where("__r = 1").drop("__t", "__r", "__title")
+def targets_in_order(rows: DataFrame, targets: DataFrame, title: str, text: str, order, most: int = 1000) -> DataFrame:
+    """For each (place, title, fragment) target, in the order of places, the first row whose title and text contain both
+    (case and spaces don't matter) and whose title and text no earlier target took.
+
+    n targets can take n - 1 texts before one, so the first n different texts of each are enough; they are the only rows
+    that meet in one task.  ``targets`` is a short list: more than ``most`` are refused."""
+    n = targets.count()
+    if n > most:
+        raise ValueError(f"more than {most} targets")
+    norm = F.lower(squeeze(F.col(text)))
+    small = F.broadcast(targets.select("place", F.lower("title").alias("__title"), F.lower(squeeze(F.col("fragment"))).alias("__fragment")))
+    hits = rows.withColumn("__norm", norm).join(small, F.contains(F.lower(title), F.col("__title")) & F.contains(F.col("__norm"), F.col("__fragment")))
+    once = hits.withColumn("__n", F.row_number().over(Window.partitionBy("place", title, "__norm").orderBy(*order))).where("__n = 1")
+    few = once.withColumn("__n", F.row_number().over(Window.partitionBy("place").orderBy(*order))).where(F.col("__n") <= n)
+
+    def take(group):
+        used, kept = set(), []
+        for _, options in group.sort_values(["place", "__n"]).groupby("place"):
+            for i, row in options.iterrows():
+                if (key := (row[title], row["__norm"])) not in used:
+                    used.add(key)
+                    kept.append(i)
+                    break
+        return group.loc[kept].drop(columns=["__title", "__fragment", "__norm", "__n"])
+
+    return few.groupBy().applyInPandas(take, few.drop("__title", "__fragment", "__norm", "__n").schema)
+
+
+def replacement(rows: DataFrame, used: DataFrame, title: str, text: str, value: str, least_words: int = 6) -> DataFrame:
+    """The row of the greatest value whose title and text are not among used ones and that has enough words."""
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z0-9']+)"))
+    fresh = rows.join(used.select(title).distinct(), title, "left_anti").withColumn("__k", F.lower(squeeze(F.col(text))))
+    fresh = fresh.join(used.select(F.lower(squeeze(F.col(text))).alias("__k")).distinct(), "__k", "left_anti").where(F.size(words) >= least_words)
+    return fresh.drop("__k").orderBy(F.desc(value), title, text).limit(1)
+
+
+def candidate_pool(first: DataFrame, others: DataFrame, text: str) -> DataFrame:
+    """Rows of two sources, one for each text (case and spaces don't matter), the first source's before the other's."""
+    both = first.withColumn("source_rank", F.lit(0)).unionByName(others.withColumn("source_rank", F.lit(1)), allowMissingColumns=True)
+    key = F.lower(squeeze(F.col(text)))
+    order = Window.partitionBy(key).orderBy("source_rank", *[F.col(c) for c in sorted(set(both.columns) - {"source_rank"})])
+    return both.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+
+
+def enriched(items: DataFrame, catalogue: DataFrame, title: str) -> DataFrame:
+    """Which items a catalogue lacks by normal title: ``in_catalogue``, and a recommended action by ``credible`` (a boolean)."""
+    known = catalogue.select(normal_title(F.col(title)).alias("__t")).distinct().withColumn("__h", F.lit(True))
+    out = items.withColumn("__t", normal_title(F.col(title))).join(known, "__t", "left").withColumn("in_catalogue", F.coalesce("__h", F.lit(False)))
+    action = F.when(F.col("in_catalogue") | F.coalesce("credible", F.lit(False)), "keep").when(~F.col("credible"), "exclude").otherwise("review")
+    return out.withColumn("action", action).drop("__t", "__h")
+
+
+def misses(scored: DataFrame, score: str, threshold: float, order) -> DataFrame:
+    """What a matcher left below its threshold, the nearest misses first."""
+    below = F.coalesce(F.col(score) < threshold, F.lit(True))
+    return scored.where(below).withColumn("miss_rank", F.row_number().over(Window.partitionBy(below).orderBy(F.desc_nulls_last(score), *order)))
+
+
+def reflagged(rows: DataFrame, flags: DataFrame, key: str, template: str = "flagged: %s") -> DataFrame:
+    """Rows with a note made from the reason of their flag (``flags``: key, reason); the others keep theirs."""
+    reasons = flags.groupBy(key).agg(F.min("reason").alias("__r"))
+    return rows.join(reasons, key, "left").withColumn("note", F.when(F.col("__r").isNotNull(), F.format_string(template, "__r")).otherwise(F.col("note"))).drop("__r")
+
+
+def renamed(col: Column, exact: dict, prefixes=()) -> Column:
+    """Names by a map; else without the first prefix that they begin with."""
+    out = col
+    for prefix in reversed(list(prefixes)):
+        out = F.when(F.startswith(col, F.lit(prefix)), F.substr(col, F.lit(len(prefix) + 1))).otherwise(out)
+    for name, put in exact.items():
+        out = F.when(col == name, put).otherwise(out)
+    return out
+
+
+def valid_address(url: Column, first: str, not_second=(), least_parts: int = 2) -> Column:
+    """Whether an address's path begins with a part, goes on, and not with one of some parts."""
+    parts = F.filter(F.split(F.regexp_replace(F.regexp_replace(url, r"^[a-z]+://[^/]*", ""), r"[?#].*$", ""), "/"), lambda p: p != "")
+    return F.coalesce((F.size(parts) >= least_parts) & (F.get(parts, F.lit(0)) == first) & ~F.get(parts, F.lit(1)).isin(*not_second or [""]), F.lit(False))
+
+
+def preferred_address(df: DataFrame, keys, url: str, needle: str) -> DataFrame:
+    """Per key the address that holds a needle, the shortest, then the smallest."""
+    lacks = ~F.contains(F.lower(url), F.lit(needle.lower()))
+    return df.where(F.col(url).isNotNull()).groupBy(*keys).agg(F.min_by(F.col(url), F.struct(lacks, F.length(url), F.col(url))).alias(url))
 
 
 def stable_uid(slug: Column, norm: Column, year: Column) -> Column:

@@ -14,14 +14,16 @@ def top_terms(counts: DataFrame, keys, k: int, stop_words=(), longer_than: int =
     return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def tfidf(counts: DataFrame, key: str, k: int, least: int = 1) -> DataFrame:
-    """Terms of each group by tf * (ln((1 + N) / (1 + df)) + 1), scaled to length 1 within a group; groups are documents."""
+def tfidf(counts: DataFrame, key: str, k: int, stop_words=(), widest: float = 0.85, least: int = 1) -> DataFrame:
+    """Terms of each group by (1 + ln(tf)) * (ln((1 + N) / (1 + df)) + 1), scaled to length 1 within a group; groups are
+    documents.  Stop words go, and terms in more than ``widest`` of all groups."""
     kept = counts.where(F.col("n") >= least)
-    groups = kept.agg(F.count_distinct(key).alias("groups"))
-    spread = kept.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = kept.join(spread, "term").crossJoin(F.broadcast(groups)).withColumn("w", F.col("n") * (F.log((1 + F.col("groups")) / (1 + F.col("df"))) + 1))
+    kept = kept.where(~F.col("term").isin(*stop_words)) if stop_words else kept
+    groups = counts.agg(F.count_distinct(key).alias("groups"))
+    spread = kept.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(groups)).where(F.col("df") <= widest * F.col("groups"))
+    weighed = kept.join(spread, "term").withColumn("w", (1 + F.log("n")) * (F.log((1 + F.col("groups")) / (1 + F.col("df"))) + 1))
     norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    scored = weighed.join(F.broadcast(norms), key).select(key, "term", (F.col("w") / F.col("norm")).alias("tfidf"))
+    scored = weighed.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("tfidf"))
     ranked = Window.partitionBy(key).orderBy(F.desc(F.round("tfidf", 9)), "term")
     return scored.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 

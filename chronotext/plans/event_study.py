@@ -18,7 +18,10 @@ def tested(facts: DataFrame, keys, value: str, draws: int = 10_000) -> DataFrame
     ci = statistics.bootstrap_ci(facts, keys, value, draws).drop("n")
     p = statistics.resampled_p(facts, keys, value, draws).select(*keys, "p")
     joined = effect.join(ci, keys).join(p, keys)
-    return statistics.benjamini_hochberg(joined, "p").withColumn("tier", statistics.tier(F.col("p_bh"), F.col("z")))
+    whole = facts.agg(F.avg(value)).first()[0]
+    excluded = statistics.excludes(F.col("ci_low"), F.col("ci_high"), whole if whole is not None else float("nan"))
+    flagged = statistics.benjamini_hochberg(joined, "p").withColumn("excludes_baseline", excluded)
+    return flagged.withColumns({"substantive": statistics.substantive(F.col("excludes_baseline"), F.col("z")), "tier": statistics.tier(F.col("p_bh"), F.col("z"), F.col("excludes_baseline"))})
 
 
 def breaks(facts: DataFrame, keys, day: str, value: str, settings=tuple((m, p) for m in ("l2", "rbf") for p in (3, 5, 8, 10))) -> DataFrame:

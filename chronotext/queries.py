@@ -23,7 +23,9 @@ def table(spark, sf_dir, name):
 
 
 WORDS = r"regexp_extract_all(lower(text), '[a-z'']+')"
-SYLLABLES = "CASE WHEN w = '' THEN 0 ELSE greatest(1, len(regexp_extract_all(w, '[aeiouy]+')) - CASE WHEN regexp_matches(w, '[^aeiouyl]e$') AND len(regexp_extract_all(w, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END) END"
+LETTERS = "regexp_replace(w, '[^a-z]', '', 'g')"
+SYLLABLES = (f"CASE WHEN {LETTERS} = '' THEN 0 ELSE greatest(1, len(regexp_extract_all({LETTERS}, '[aeiouy]+')) - CASE WHEN ends_with({LETTERS}, 'e') AND len(regexp_extract_all({LETTERS}, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END"
+             f" + CASE WHEN regexp_matches({LETTERS}, '[^aeiouy]le$') THEN 1 ELSE 0 END) END")
 
 
 # Text and lexical measures
@@ -49,32 +51,50 @@ def word_measures(spark, sf_dir):
 
 @register(f"""
 WITH d AS (SELECT doc_id, {WORDS} AS ws, greatest(1, len(regexp_extract_all(text, '[.!?]+'))) AS sentences FROM documents), s AS (SELECT *, list_sum(list_transform(ws, lambda w: {SYLLABLES})) AS sy FROM d)
-SELECT doc_id, round(0.39 * len(ws) / sentences + 11.8 * sy / len(ws) - 15.59, 6) AS fk_grade FROM s WHERE len(ws) > 0""")
+SELECT doc_id, CASE WHEN len(ws) > 0 THEN round(0.39 * (len(ws) / sentences) + 11.8 * (sy / len(ws)) - 15.59, 6) ELSE 0 END AS fk_grade FROM s""")
 def reading_grade(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("ws"), F.greatest(F.lit(1), F.regexp_count("text", F.lit("[.!?]+"))).alias("sentences"))
-    return d.where(F.size("ws") > 0).select("doc_id", F.round(lexical.flesch_kincaid(F.col("ws"), F.col("sentences")), 6).alias("fk_grade"))
+    return d.select("doc_id", lexical.flesch_kincaid(F.col("ws"), F.col("sentences"), 6).alias("fk_grade"))
 
 
-@register()
+def _factors(words):
+    """SQL of the factors of one pass: a fold whose states are structs like the ones that words are wrapped in."""
+    types, n = "(s.t + (NOT list_contains(s.seen, x.seen[1]))::INT)", "(s.n + 1)"
+    closed = f"({types} / {n} <= 0.72)"
+    state = "{'f': 0.0::DOUBLE, 'n': 0, 't': 0, 'seen': []::VARCHAR[]}"
+    step = f"{{'f': s.f + {closed}::INT, 'n': CASE WHEN {closed} THEN 0 ELSE {n} END, 't': CASE WHEN {closed} THEN 0 ELSE {types} END, 'seen': CASE WHEN {closed} THEN [] WHEN list_contains(s.seen, x.seen[1]) THEN s.seen ELSE list_append(s.seen, x.seen[1]) END}}"
+    return f"list_reduce(list_prepend({state}, list_transform({words}, lambda w: {{'f': 0.0::DOUBLE, 'n': 0, 't': 0, 'seen': [w]}})), lambda s, x: {step})"
+
+
+@register(f"""
+WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents), f AS (SELECT doc_id, len(ws) AS n, {_factors('ws')} AS a, {_factors('list_reverse(ws)')} AS b FROM d WHERE len(ws) >= 50),
+ r AS (SELECT doc_id, n, a.f + CASE WHEN a.n > 0 THEN (1 - a.t / a.n) / 0.28 ELSE 0 END AS a, b.f + CASE WHEN b.n > 0 THEN (1 - b.t / b.n) / 0.28 ELSE 0 END AS b FROM f)
+SELECT d.doc_id, CASE WHEN ws IS NULL THEN NULL ELSE coalesce(round((CASE WHEN a > 0 THEN n / a ELSE 0 END + CASE WHEN b > 0 THEN n / b ELSE 0 END) / 2, 6), 0) END AS mtld FROM d LEFT JOIN r USING (doc_id)""")
 def mtld_by_document(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("ws"))
-    return d.select("doc_id", F.round(lexical.mtld(F.col("ws")), 6).alias("mtld"))
+    return d.select("doc_id", lexical.mtld(F.col("ws"), digits=6).alias("mtld"))
 
 
-@register()
+@register(f"""
+WITH t AS (SELECT doc_id, unnest({WORDS}) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS c FROM t GROUP BY ALL), n AS (SELECT doc_id, c, sum(c) OVER (PARTITION BY doc_id) AS n FROM c),
+ h AS (SELECT doc_id, sum(1 - CASE WHEN n - c >= 42 THEN exp(lgamma(n - c + 1) - lgamma(n - c - 41) - lgamma(n + 1) + lgamma(n - 41)) ELSE 0 END) / 42 AS hdd FROM n WHERE n >= 42 GROUP BY doc_id)
+SELECT doc_id, round(hdd, 6) AS hdd FROM documents LEFT JOIN h USING (doc_id)""")
 def hdd_by_document(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("ws"))
     return d.select("doc_id", F.round(lexical.hdd("ws"), 6).alias("hdd"))
 
 
 @register(f"""
-WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents), r AS (SELECT doc_id, len(ws) AS n, list_transform(ws, lambda w: split_part(w, '''', 1)) AS rs FROM d)
-SELECT doc_id, n AS n_tokens, len(list_filter(rs, lambda w: w IN ('i', 'me', 'my', 'mine', 'myself'))) AS first_singular, len(list_filter(rs, lambda w: w IN ('we', 'us', 'our', 'ours', 'ourselves'))) AS first_plural,
-  len(list_filter(rs, lambda w: w IN ('you', 'your', 'yours', 'yourself', 'yourselves'))) AS second,
-  len(list_filter(rs, lambda w: w IN ('he', 'him', 'his', 'she', 'her', 'hers', 'they', 'them', 'their', 'theirs', 'it', 'its'))) AS third FROM r""")
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+''?[a-z]+|[a-z]+') AS ws FROM documents),
+ c AS (SELECT doc_id, len(ws) AS n_tokens, len(list_filter(ws, lambda w: w IN ('i', 'me', 'my', 'mine', 'myself', 'im', 'i''m', 'ill', 'i''ll', 'ive', 'i''ve', 'id', 'i''d'))) AS first_singular,
+  len(list_filter(ws, lambda w: w IN ('we', 'us', 'our', 'ours', 'were', 'we''re', 'well', 'we''ll', 'weve', 'we''ve'))) AS first_plural,
+  len(list_filter(ws, lambda w: w IN ('you', 'your', 'yours', 'youre', 'you''re', 'youll', 'you''ll', 'yall', 'y''all'))) AS second,
+  len(list_filter(ws, lambda w: w IN ('they', 'them', 'their', 'theirs', 'theyre', 'they''re'))) AS third_plural FROM d)
+SELECT *, CASE WHEN n_tokens > 0 THEN round(first_singular / n_tokens, 9) ELSE 0 END AS rate_first_singular FROM c""")
 def pronouns(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("ws"))
-    return d.select("doc_id", F.size("ws").alias("n_tokens"), *lexical.pronoun_counts(F.col("ws")))
+    d = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text"), lexical.PRONOUN_TOKENS).alias("ws"))
+    ws = F.col("ws")
+    return d.select("doc_id", F.size(ws).alias("n_tokens"), *lexical.pronoun_counts(ws), F.round(lexical.pronoun_rates(ws)[0], 9).alias("rate_first_singular"))
 
 
 @register(r"""
@@ -123,14 +143,14 @@ def top_terms(spark, sf_dir):
 
 
 @register(f"""
-WITH t AS (SELECT lang, unnest({WORDS}) AS term FROM documents), c AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(*) >= 3),
- d AS (SELECT term, count(*) AS df FROM c GROUP BY term), g AS (SELECT count(DISTINCT lang) AS groups FROM c),
- w AS (SELECT lang, term, n * (ln((1 + groups) / (1 + df)) + 1) AS w FROM c JOIN d USING (term), g),
+WITH t AS (SELECT lang, unnest({WORDS}) AS term FROM documents), c AS (SELECT lang, term, count(*) AS n FROM t WHERE term NOT IN ('the', 'and') GROUP BY ALL),
+ g AS (SELECT count(DISTINCT lang) AS groups FROM t), d AS (SELECT term, count(*) AS df FROM c GROUP BY term HAVING count(*) <= 0.85 * (SELECT groups FROM g)),
+ w AS (SELECT lang, term, (1 + ln(n)) * (ln((1 + groups) / (1 + df)) + 1) AS w FROM c JOIN d USING (term), g),
  s AS (SELECT lang, term, w / sqrt(sum(w * w) OVER (PARTITION BY lang)) AS tfidf FROM w)
 SELECT lang, term, round(tfidf, 6) AS tfidf, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY round(tfidf, 9) DESC, term) AS rank FROM s) WHERE rank <= 12""")
 def distinctive_terms(spark, sf_dir):
     counts = vocabulary.term_counts(table(spark, sf_dir, "documents"), ["lang"], text.tokens(F.col("text")))
-    return vocabulary.tfidf(counts, "lang", 12, least=3).withColumn("tfidf", F.round("tfidf", 6))
+    return vocabulary.tfidf(counts, "lang", 12, stop_words=("the", "and")).withColumn("tfidf", F.round("tfidf", 6))
 
 
 @register(f"""
@@ -225,11 +245,11 @@ def quantiles(spark, sf_dir):
 
 # Temporal joins
 
-SEVERE = "SELECT * FROM events WHERE value > 480"
+SEVERE = "SELECT * FROM events WHERE value > 150"
 
 
 def severe(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("value > 480").select(F.col("event_id").alias("e_id"), F.col("event_type").alias("e_type"), F.col("ts").alias("e_ts"))
+    return table(spark, sf_dir, "events").where("value > 150").select(F.col("event_id").alias("e_id"), F.col("event_type").alias("e_type"), F.col("ts").alias("e_ts"))
 
 
 @register(f"""
@@ -442,13 +462,11 @@ def bootstrap_by_type(spark, sf_dir):
 
 
 @register("""
-WITH v AS (SELECT o_orderpriority AS g, list(o_totalprice ORDER BY o_orderkey) AS vs, count(*) AS n FROM orders WHERE o_custkey <= 20 GROUP BY 1), b AS (SELECT g, vs, n, unnest(range(40)) AS b FROM v),
+WITH v AS (SELECT o_orderpriority AS g, list(o_totalprice ORDER BY o_orderkey) AS vs, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT g, vs, n, unnest(range(40)) AS b FROM v),
  m AS (SELECT g, list_sum(list_transform(range(n), lambda k: vs[(('0x' || substr(md5('7|' || g || '|' || b || '|' || k), 1, 8))::BIGINT % n) + 1])) / n AS m FROM b)
 SELECT g AS o_orderpriority, round(quantile_cont(m, 0.025), 4) AS ci_low, round(quantile_cont(m, 0.975), 4) AS ci_high FROM m GROUP BY g""")
 def replayable_bootstrap(spark, sf_dir):
-    """A small population by nature: the orders of twenty customers."""
-    o = table(spark, sf_dir, "orders").where("o_custkey <= 20")
-    out = statistics.replayable_bootstrap(o, ["o_orderpriority"], "o_totalprice", ["o_orderkey"])
+    out = statistics.replayable_bootstrap(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", ["o_orderkey"])
     return out.withColumns({c: F.round(c, 4) for c in ("ci_low", "ci_high")})
 
 
@@ -538,7 +556,9 @@ def windowed_counts(spark, sf_dir):
     return out.withColumns({"mean": F.round("mean", 6), "window_start": F.col("window_start").cast("timestamp_ntz")})
 
 
-@register()
+@register(f"""
+WITH s AS (SELECT ts, max(event_type) AS e_type FROM ({SEVERE}) GROUP BY ts), d AS (SELECT ts::DATE AS d, count(*) AS n FROM ({SEVERE}) GROUP BY 1)
+SELECT e.event_id, e.ts, s.e_type, s.ts AS event_at, (e.ts::DATE - s.ts::DATE)::INT AS days_since, {', '.join(f"coalesce((SELECT sum(n) FROM d WHERE d > e.ts::DATE - {w} AND d <= e.ts::DATE), 0)::BIGINT AS events_{w}d" for w in (3, 7, 14))} FROM events e ASOF LEFT JOIN s ON e.ts >= s.ts""")
 def event_study(spark, sf_dir):
     from .plans import event_study as study
     e = table(spark, sf_dir, "events").select("event_id", "ts")
@@ -602,9 +622,9 @@ def same_title_elsewhere(spark, sf_dir):
 
 
 @register("""
-SELECT conv_id, string_agg(role || ': ' || left(text, 20), ' / ' ORDER BY turn) AS joined FROM conversations GROUP BY conv_id""")
+SELECT conv_id, string_agg(role || ': ' || text, ' / ' ORDER BY turn) AS joined FROM conversations GROUP BY conv_id""")
 def ordered_concat(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").withColumn("part", F.concat(F.col("role"), F.lit(": "), F.left("text", F.lit(20))))
+    c = table(spark, sf_dir, "conversations").withColumn("part", F.concat(F.col("role"), F.lit(": "), F.col("text")))
     return aggregates.ordered_text(c, ["conv_id"], "turn", "part", " / ")
 
 
@@ -683,3 +703,6 @@ SELECT doc_id, regexp_matches(text, '\b(?:19|20)\d{2}\b') AS dated, regexp_match
 def flags(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", text.matches(F.col("text"), r"\b(?:19|20)\d{2}\b").alias("dated"), text.has_word(F.col("text"), ["the", "and"]).alias("worded"))
+
+
+from . import queries_records  # noqa: E402, F401  (registers its own)
