@@ -1,4 +1,7 @@
 """Array primitives over Arrow string columns: whole batches of texts are handled as one byte array."""
+import ctypes
+import sys
+
 import numpy as np
 import pyarrow as pa
 
@@ -108,3 +111,42 @@ def word_bounds(buf, offsets, wordly):
     after[inner[inner > 0] - 1] = False
     ends = np.flatnonzero(word & ~after) + 1
     return starts, ends, np.searchsorted(starts, offsets)
+
+
+def worker_cache(name, make):
+    """What this worker process keeps from one task to the next: one thing at a time, ``name``d, so that the caches of
+    several stages never lie side by side."""
+    held = vars(sys).setdefault("_chronotext_cache", {})
+    if name not in held:
+        drop_worker_cache()
+        held[name] = make()
+    return held[name]
+
+
+def drop_worker_cache():
+    """Frees what tasks of an earlier stage keep in this worker process."""
+    held = vars(sys).get("_chronotext_cache")
+    if held:
+        held.clear()
+
+
+def give_back():
+    """Gives freed memory of this worker process back to the system, and has large blocks go back at once from now on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 21)  # M_MMAP_THRESHOLD: fixed, so that it doesn't grow with what was freed
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: its allocator decides
+        pass
+
+
+def lean(function, keeps_cache=False):
+    """A function for ``mapInArrow`` that leaves no memory behind in the worker process, which lives on for later stages."""
+    def run(batches):
+        if not keeps_cache:
+            drop_worker_cache()
+        give_back()
+        yield from function(batches)
+        give_back()
+    return run

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import Rolling, is_alnum, lower_table, text_slices, word_bounds
+from .arrays import Rolling, is_alnum, lean, lower_table, text_slices, word_bounds
 from .store import stored
 
 WINDOW = 10
@@ -258,7 +258,7 @@ def _scanner(items, window, hit_only=False):
 
 def _united(rows, blocks, window, hit_only):
     """Findings of all blocks in each of the numbered rows (row, id, text)."""
-    parts = [rows.mapInArrow(_scanner(block, window, hit_only or k > 0), f"row long, {SCAN_TYPE}") for k, block in enumerate(blocks)]
+    parts = [rows.mapInArrow(lean(_scanner(block, window, hit_only or k > 0)), f"row long, {SCAN_TYPE}") for k, block in enumerate(blocks)]
     union = parts[0]
     for part in parts[1:]:
         union = union.unionAll(part)
@@ -274,7 +274,7 @@ def scan(docs, benchmark, doc_id="doc_id", text="text", item_id="item_id", item_
     source = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"))
     blocks = _sent_blocks(docs.sparkSession, benchmark, item_id, item_text, block_words)
     if len(blocks) == 1:
-        return source.mapInArrow(_scanner(blocks[0], window), SCAN_TYPE)
+        return source.mapInArrow(lean(_scanner(blocks[0], window)), SCAN_TYPE)
     # Ids may repeat or be null, so rows are numbered; the numbers must be the same for every block.
     rows = stored(source.select(F.monotonically_increasing_id().alias("row"), "id", "text"), "scanned")
     return _united(rows, blocks, window, hit_only=False).drop("row")
@@ -343,12 +343,12 @@ def decontaminate(docs, benchmark, text="text", item_id="item_id", item_text="te
     at = docs.columns.index(text)
     blocks = _sent_blocks(docs.sparkSession, benchmark, item_id, item_text, block_words)
     if len(blocks) == 1:
-        return docs.mapInArrow(_cleaner(blocks[0], window, at, coverage), docs.schema)
+        return docs.mapInArrow(lean(_cleaner(blocks[0], window, at, coverage)), docs.schema)
     rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "contaminated")
     source = rows.select(F.col("__row").alias("row"), F.lit(None).cast("string").alias("id"), F.col(text).alias("text"))
     found = _united(source, blocks, window, hit_only=True).select(F.col("row").alias("__row"), F.col("n_words").alias("__n_words"), F.col("spans").alias("__spans"))
     judged = rows.join(found, "__row", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__n_words", "__spans")
-    return judged.mapInArrow(_span_cleaner(at, coverage), docs.schema)
+    return judged.mapInArrow(lean(_span_cleaner(at, coverage)), docs.schema)
 
 
 def op5_decontaminate(spark, sf_dir):

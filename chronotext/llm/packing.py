@@ -10,7 +10,6 @@ The driver holds the histogram (one count a length, at most ``capacity``) and th
 at most one new pack group and splits at most one, so there are at most 2 * ``capacity`` of them.
 """
 import heapq
-import sys
 import zlib
 
 import numpy as np
@@ -19,14 +18,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import text_slices
+from .arrays import lean, text_slices, worker_cache
 from .store import stored
 
 CAPACITY = 4096
 END_ID = 2
-CACHED_WORDS, CACHED_PARTS = 400_000, 1_000_000
+CACHED_BYTES = 64_000_000  # of words and parts in each worker process, by an estimate
 SIGNS = b".,;:!?#$%&*()[]{}-_=+/|@^~`\"<>\\"
-SALTS = 64
+SLICE_ROWS = 500_000
 
 
 def default_tokenizer():
@@ -45,7 +44,14 @@ class WordCache(dict):
         from tokenizers import Tokenizer
         super().__init__()
         self.tokenizer = Tokenizer.from_str(json_text)
-        self.parts = {}
+        self.parts, self.size = {}, 0
+
+    def _grows(self, *things):
+        self.size += 200 + sum(map(len, things))
+        if self.size > CACHED_BYTES:
+            self.clear()
+            self.parts.clear()
+            self.size = 0
 
     def __missing__(self, word):
         core = word.rstrip(SIGNS)
@@ -56,8 +62,7 @@ class WordCache(dict):
         else:
             ids = self._part(word)
         if len(word) <= 64:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
+            self._grows(word, ids)
             self[word] = ids
         return ids
 
@@ -66,8 +71,7 @@ class WordCache(dict):
         if ids is None:
             ids = np.array(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
             if len(part) <= 64:
-                if len(self.parts) >= CACHED_PARTS:
-                    self.parts.clear()
+                self._grows(part, ids)
                 self.parts[part] = ids
         return ids
 
@@ -78,12 +82,7 @@ class WordCache(dict):
 
 def word_cache(json_text):
     """The cache of this worker process, which several tasks use one after the other."""
-    held = vars(sys).setdefault("_chronotext_words", {})
-    key = zlib.crc32(json_text.encode()), len(json_text)
-    if key not in held:
-        held.clear()
-        held[key] = WordCache(json_text)
-    return held[key]
+    return worker_cache(("words", zlib.crc32(json_text.encode()), len(json_text)), lambda: WordCache(json_text))
 
 
 PIECE_TYPE = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long"
@@ -123,7 +122,7 @@ def token_pieces(docs, doc_id="doc_id", text="text", tokenizer=None, capacity=CA
         shipped = docs.sparkSession.sparkContext.broadcast(file.read())
     kind = docs.schema[doc_id].dataType.simpleString()
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInArrow(_pieces(shipped, capacity, end_id, with_ids), PIECE_TYPE.format(kind) + ", ids array<int>" * with_ids)
+    return source.mapInArrow(lean(_pieces(shipped, capacity, end_id, with_ids), True), PIECE_TYPE.format(kind) + ", ids array<int>" * with_ids)
 
 
 def pack_histogram(counts, capacity):
@@ -192,12 +191,14 @@ def _assign(slots, length_at, rank_at):
     return assign
 
 
-def pack_pieces(pieces, capacity=CAPACITY, order=("doc_id", "start", "ids_crc32"), salts=SALTS):
+def pack_pieces(pieces, capacity=CAPACITY, order=("doc_id", "start", "ids_crc32"), slice_rows=SLICE_ROWS):
     """Adds sequence_id and offset to pieces with a ``length`` from 1 to ``capacity``.
 
-    Ranks within a length are counted in ``salts`` slices, so that one length may hold any share of the pieces.
+    Ranks within a length are counted in slices of about ``slice_rows`` rows or fewer, so that one length may hold any
+    share of the pieces.
     """
     columns = pieces.columns
+    salts = max(64, 1 + pieces.count() // slice_rows)
     salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
     counts = stored(counts, "lengths")
@@ -208,7 +209,7 @@ def pack_pieces(pieces, capacity=CAPACITY, order=("doc_id", "start", "ids_crc32"
     rank = F.row_number().over(Window.partitionBy("length", "__salt").orderBy(*order)) - 1
     ranked = salted.withColumn("__rank", rank.cast("long")).join(bases, ["length", "__salt"]).select(*columns, (F.col("__rank") + F.col("__base")).alias("__rank"))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.mapInArrow(_assign(slots, columns.index("length"), len(columns)), schema)
+    return ranked.mapInArrow(lean(_assign(slots, columns.index("length"), len(columns))), schema)
 
 
 def sequences(packed, capacity=CAPACITY, pad_id=0):

@@ -4,18 +4,21 @@ Heuristic labellers vote good, bad or abstain on each text.  Expectation-maximis
 vote patterns how often each labeller votes so for good texts and for those bad in one way or another, and the shares of
 these classes; no true labels are used.  The posterior of a text's pattern is its soft label.  A logistic scorer over hashed features (word shapes,
 pairs of shapes, buckets of the measures that labellers look at) is fitted to the soft labels of at most
-``SAMPLE`` texts, those of the smallest hash, and scores every text.
+``SAMPLE`` distinct texts, those of the smallest hash, and scores every text.
 
 Null and empty texts have no words: their labellers abstain and they get the scorer's value for no features.  Equal
-texts get equal scores.  With no documents the model is neutral (score 0.5).  Only id and text are read; ``keep``
-carries all columns through.
+texts get equal scores and are one text of the sample; ids, which may be null or repeated, play no part.  With no
+documents the model is neutral (score 0.5).  Only id and text are read; ``keep`` carries all columns through (names that
+begin with ``__quality_`` are reserved).
 """
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .arrays import lean
 from .store import stored
 
 DIMENSIONS = 2048
@@ -34,6 +37,8 @@ LABELLERS = [
 ]
 GOOD, BAD = 2, 1
 SURE, ALARM = 0.8, 0.02
+HASHES = 1 << 62
+MADE = ["__quality_hash", "__quality_pattern", "__quality_at", "__quality_value"]
 
 
 def measures(data, words):
@@ -96,27 +101,38 @@ def features(words, values, shapes):
     return np.concatenate([at, np.array(buckets, dtype=np.int64)]), np.concatenate([values_, np.ones(len(buckets))])
 
 
-def _profiles(batches):
-    shapes = Shapes()
-    for batch in batches:
-        for start in range(0, batch.num_rows, 1000):
-            part = batch.slice(start, 1000)
-            patterns, at, values = [], [], []
-            for text in part.column(1).to_pylist():
-                data = (text or "").encode()
-                words = data.split()
-                m = measures(data, words)
-                patterns.append(pattern_of(votes(m)) if words else 0)
-                a, v = features(words, m, shapes)
-                at.append(a.astype(np.int32))
-                values.append(v.astype(np.float32))
-            bounds = pa.array(np.concatenate([[0], np.cumsum([len(a) for a in at])]), pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(patterns, pa.int32()), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(at))), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(values)))], names=["id", "pattern", "at", "value"])
-
-
-def profiles(docs, doc_id="doc_id", text="text"):
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return stored(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(_profiles, f"id {kind}, pattern int, at array<int>, value array<float>"), "quality")
+def _profiles(text_at, carried):
+    def profiles(batches):
+        shapes = Shapes()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                patterns, at, values = [], [], []
+                for text in part.column(text_at):
+                    data = (text.as_py() or "").encode()
+                    words = data.split()
+                    m = measures(data, words)
+                    patterns.append(pattern_of(votes(m)) if words else 0)
+                    a, v = features(words, m, shapes)
+                    at.append(a.astype(np.int32))
+                    values.append(v.astype(np.float32))
+                bounds = pa.array(np.concatenate([[0], np.cumsum([len(a) for a in at])]), pa.int32())
+                added = [pa.array(patterns, pa.int32()), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(at))), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(values)))]
+                columns = [part.column(i) for i in carried]
+                yield pa.RecordBatch.from_arrays([*columns, *added], names=[*(part.schema.names[i] for i in carried), *MADE[1:]])
+    return profiles
+
+
+def profiles(docs, text="text", carry=("doc_id",)):
+    """The columns ``carry`` and, computed once for each row and stored, a hash of its text, its vote pattern and its
+    features (``MADE``)."""
+    hashed = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(HASHES - 1)
+    source = docs.select(*dict.fromkeys([*carry, text])).withColumn(MADE[0], hashed)
+    carried = [source.columns.index(c) for c in (*carry, MADE[0])]
+    schema = T.StructType([source.schema[i] for i in carried])
+    for name, kind in zip(MADE[1:], (T.IntegerType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.FloatType()))):
+        schema.add(name, kind)
+    return stored(source.mapInArrow(lean(_profiles(source.columns.index(text), carried)), schema), "quality")
 
 
 def expectation_maximisation(patterns, rounds=60):
@@ -169,54 +185,59 @@ def fit_scorer(rows, targets, ridge=1e-3, rounds=400):
     return w, float(b)
 
 
+def chosen(made, sample, rows):
+    """Features and patterns of the ``sample`` distinct texts of the smallest hashes."""
+    name, pattern, at, value = MADE
+    share = 1.5 * sample / max(rows, 1)
+    while True:
+        near = made if share >= 1 else made.where(F.col(name) <= F.lit(int(share * HASHES)))
+        got = near.groupBy(name).agg(F.first(pattern).alias("pattern"), F.first(at).alias("at"), F.first(value).alias("value"))
+        if share >= 1 or got.count() >= sample:
+            return got.orderBy(name).limit(sample).select("pattern", "at", "value").collect()
+        share *= 4  # many rows are copies
+
+
 def fit(made, sample=SAMPLE):
     """The model {shares, rates, posterior, weights, bias} from stored profiles."""
-    patterns = {r[0]: r[1] for r in made.groupBy("pattern").count().collect()}
+    patterns = {r[0]: r[1] for r in made.groupBy(MADE[1]).count().collect()}
     shares, rates, posterior = expectation_maximisation(patterns)
-    # Rows with hashes that can't be among the smallest stay away from the driver: half as many again as wanted pass.
-    share = int(1.5 * sample / max(sum(patterns.values()), 1) * (1 << 62))
-    hashed = F.xxhash64("id", "pattern").bitwiseAND((1 << 62) - 1)
-    near = made.where(hashed <= F.lit(min(share, (1 << 62) - 1)))
-    chosen = near.orderBy(hashed, "id").limit(sample).select("pattern", "at", "value").collect()
-    weights, bias = fit_scorer([(r[1], r[2]) for r in chosen], [posterior[r[0]] for r in chosen])
+    rows = chosen(made, sample, sum(patterns.values()))
+    weights, bias = fit_scorer([(r[1], r[2]) for r in rows], [posterior[r[0]] for r in rows])
     return {"shares": shares, "rates": rates, "posterior": posterior, "weights": weights, "bias": bias}
 
 
-def _scores(model):
+def _scores(model, threshold):
+    """The carried columns with posterior and score, or those of the rows that reach the threshold."""
     def scores(batches):
         w, b, posterior = model.value["weights"].astype(float), model.value["bias"], model.value["posterior"]
         for batch in batches:
-            at, value = batch.column(2), batch.column(3)
+            k = batch.num_columns - len(MADE)
+            at, value = batch.column(k + 2), batch.column(k + 3)
             owner = np.repeat(np.arange(batch.num_rows), np.diff(at.offsets.to_numpy()))
             total = np.bincount(owner, weights=w[at.flatten().to_numpy()] * value.flatten().to_numpy(), minlength=batch.num_rows) + b
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([posterior[p] for p in batch.column(1).to_pylist()], pa.float64()), pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], names=["doc_id", "posterior", "score"])
+            score = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+            columns, names = batch.columns[:k], batch.schema.names[:k]
+            if threshold is None:
+                weak = pa.array([posterior[p] for p in batch.column(k + 1).to_pylist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([*columns, weak, pa.array(score)], names=[*names, "posterior", "score"])
+            else:
+                yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(score >= threshold))
     return scores
 
 
-def score(made, model):
-    """doc_id, posterior (weak label) and score of stored profiles."""
-    kind = made.schema["id"].dataType.simpleString()
-    return made.mapInArrow(_scores(made.sparkSession.sparkContext.broadcast(model)), f"doc_id {kind}, posterior double, score double")
-
-
-def _keeper(model, at, threshold):
-    def keeper(batches):
-        w, b, shapes = model.value["weights"].astype(float), model.value["bias"], Shapes()
-        for batch in batches:
-            good = []
-            for text in batch.column(at).to_pylist():
-                data = (text or "").encode()
-                words = data.split()
-                positions, values = features(words, measures(data, words), shapes)
-                good.append(1 / (1 + np.exp(-np.clip(w[positions] @ values + b, -30, 30))) >= threshold)
-            yield batch.filter(pa.array(good, pa.bool_()))
-    return keeper
+def score(made, model, threshold=None):
+    """The carried columns with posterior (weak label) and score of stored profiles; with a threshold, the carried
+    columns alone of the rows that reach it."""
+    schema = T.StructType(made.schema.fields[: -len(MADE)])
+    if threshold is None:
+        schema = schema.add("posterior", T.DoubleType()).add("score", T.DoubleType())
+    return made.mapInArrow(lean(_scores(made.sparkSession.sparkContext.broadcast(model), threshold)), schema)
 
 
-def keep(docs, doc_id="doc_id", text="text", threshold=0.5):
+def keep(docs, text="text", threshold=0.5):
     """The documents whose score reaches the threshold, with all their columns."""
-    model = fit(profiles(docs, doc_id, text))
-    return docs.mapInArrow(_keeper(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text), threshold), docs.schema)
+    made = profiles(docs, text, docs.columns)
+    return score(made, fit(made), threshold)
 
 
 def op9_quality(spark, sf_dir):

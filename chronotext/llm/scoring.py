@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from .arrays import lower_table
+from .arrays import lean, lower_table
 from .store import discard, stored
 
 DEPTH = 4
@@ -366,7 +366,7 @@ def score(docs, held_out, doc_id="doc_id", text="text"):
     sc = spark.sparkContext
     kind = docs.schema[doc_id].dataType.simpleString()
     source = docs.select(F.col(doc_id).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).alias("text"))
-    chunks = stored(source.mapInArrow(_chunks, CHUNK_TYPE), "chunks")
+    chunks = stored(source.mapInArrow(lean(_chunks), CHUNK_TYPE), "chunks")
     asked = chunks.where(F.col("kind").isNotNull()).select("chunk", "kind", "key", "n")
     # Grams: summed over the corpus, then valued in groups that share the last two context bytes.
     grams = stored(asked.where(F.col("kind") == GRAM).groupBy("key").agg(F.sum("n").alias("n")), "grams")
@@ -385,7 +385,7 @@ def score(docs, held_out, doc_id="doc_id", text="text"):
     answers = [t.select("chunk", "kind", "key", "value", nothing) for t in (asked.where(F.col("kind") == GRAM).join(values, "key"), words.join(summed, "key"))]
     blocks = chunks.where(F.col("kind").isNull()).select("chunk", F.lit(BLOCK).alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(0.0).alias("value"), "block")
     rows = answers[0].unionAll(answers[1]).unionAll(blocks).repartition("chunk").sortWithinPartitions("chunk", "kind")
-    scored = rows.mapInArrow(_scores(sc.broadcast((total[0], total[1]))), RESULT.format(kind))
+    scored = rows.mapInArrow(lean(_scores(sc.broadcast((total[0], total[1])))), RESULT.format(kind))
     scored = stored(scored.withColumns({"train_tokens": F.lit(int(total[0])).cast("long"), "code_length": -F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")}), "scores")
     discard(chunks, grams, summed)
     return scored

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .arrays import Rolling, text_slices
+from .arrays import Rolling, lean, text_slices
 from .store import discard, stored
 
 LENGTH = 200
@@ -359,20 +359,20 @@ def analysed(docs, doc_id, text, length, with_text):
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    profiles = stored(docs.mapInArrow(_profiles, f"id {kind}, tid long, n_bytes long, sha256 string"), "profiles")
+    profiles = stored(docs.mapInArrow(lean(_profiles), f"id {kind}, tid long, n_bytes long, sha256 string"), "profiles")
     copies = profiles.groupBy("tid").agg(F.count("*").alias("copies")).where("copies > 1")
-    anchors = docs.select("text").mapInArrow(_anchors(length), "h long, tid long, first long, n int, lead int")
+    anchors = docs.select("text").mapInArrow(lean(_anchors(length)), "h long, tid long, first long, n int, lead int")
     shared = anchors.withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c > 1")
     shared = stored(shared.select("tid", F.struct("h", "first", "n", "lead", "c").alias("a")), "anchors")
     bits = filter_bits(shared.select("tid"))
     own = shared.groupBy("tid").agg(F.collect_list("a").alias("anchors"))
-    texts = docs.select("text").mapInArrow(_texts(spark.sparkContext.broadcast(bits)), "tid long, packed binary")
+    texts = docs.select("text").mapInArrow(lean(_texts(spark.sparkContext.broadcast(bits))), "tid long, packed binary")
     texts = stored(texts.groupBy("tid").agg(F.min("packed").alias("packed")).join(shared.select("tid").distinct(), "tid", "left_semi"), "texts")
-    parts = texts.join(own, "tid").select("tid", "packed", "anchors").mapInArrow(_contexts(length), CONTEXT_TYPE)
-    runs = stored(parts.repartition("g").sortWithinPartitions("g").mapInArrow(_repeats(length), "tid long, start long, end long"), "runs")
+    parts = texts.join(own, "tid").select("tid", "packed", "anchors").mapInArrow(lean(_contexts(length)), CONTEXT_TYPE)
+    runs = stored(parts.repartition("g").sortWithinPartitions("g").mapInArrow(lean(_repeats(length)), "tid long, start long, end long"), "runs")
     discard(shared)
     runs = runs.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
-    changed = texts.join(runs, "tid").select("tid", "packed", "runs").mapInArrow(_kept(with_text), "tid long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary")
+    changed = texts.join(runs, "tid").select("tid", "packed", "runs").mapInArrow(lean(_kept(with_text)), "tid long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary")
     return profiles, copies, changed
 
 
@@ -436,13 +436,13 @@ def dedup(docs, doc_id="doc_id", text="text", length=LENGTH):
     # Only texts that may change are dealt by their ids; the others stay where they were read.
     bits = docs.sparkSession.sparkContext.broadcast(filter_bits(runs.select(F.col("__tid").alias("tid")).unionAll(whole.select(F.col("__tid").alias("tid")))))
     at = docs.columns.index(text)
-    same = docs.mapInArrow(_with_id(at, bits, False), docs.schema)
-    marked = docs.mapInArrow(_with_id(at, bits, True), T.StructType([*docs.schema.fields, T.StructField("__tid", T.LongType())]))
+    same = docs.mapInArrow(lean(_with_id(at, bits, False)), docs.schema)
+    marked = docs.mapInArrow(lean(_with_id(at, bits, True)), T.StructType([*docs.schema.fields, T.StructField("__tid", T.LongType())]))
     n = F.octet_length(F.col(text)).cast("long")
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), n.alias("end")))
     joined = marked.join(runs, "__tid", "left").join(whole, "__tid", "left")
     spans = F.when(F.col("__copied") & (n >= length), everything).otherwise(F.col("spans"))
-    cut = joined.select(*(F.col(c) for c in docs.columns), spans.alias("__spans")).mapInArrow(_cut(at), docs.schema)
+    cut = joined.select(*(F.col(c) for c in docs.columns), spans.alias("__spans")).mapInArrow(lean(_cut(at)), docs.schema)
     return same.unionAll(cut)
 
 
