@@ -25,21 +25,25 @@ Null, empty and wordless texts have no tokens and are linked with nothing.  Repe
 each row has its own set, and a component's id is the smallest id among its rows (null ids are not counted).  An empty
 table gives an empty result.  Only the id and text columns are read.
 """
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .arrays import Rolling, is_space, lower_table, mix, text_slices, word_bounds
+from .arrays import Rolling, is_space, lean, lower_table, mix, text_slices, word_bounds
 from .components import components
 from .store import discard, stored
 
 LARGE = 640
 FREQUENT, FREQUENT_LOCAL, FREQUENT_TOKENS = 32, 4, 200_000
+HELD_TOKENS = 2_000_000
 BITMAP_WORDS = 8
 BLOCK = 1024
 LIMITS = [1, 64, 4096, None]
+PASSES = 4
 FILTER_BITS = 1 << 24
 U = np.uint64
 MULTIPLIERS = [U(0x9FB21C651E98DF25), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3)]
@@ -142,7 +146,7 @@ def _profiles(width, percent):
                         size += len(tokens)
                 n = b - a
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), pa.array(wides, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["id", "sid", "size", "bitmap", "wide", "token", "count"])
-                if size > 8_000_000:
+                if size > HELD_TOKENS:
                     yield frequent(batch)
                     seen.clear()
         if held:
@@ -442,38 +446,43 @@ def verified(docs, pairs, profiles, width, percent):
     for r in words.collect():
         table[r["w"]] = r["bits"]
     source = docs.select("text", slot("id").alias("slot"), "id")
-    texts = source.select("text", "slot").mapInArrow(_wanted(width, spark.sparkContext.broadcast(table)), "sid long, packed binary")
+    texts = source.select("text", "slot").mapInArrow(lean(_wanted(width, spark.sparkContext.broadcast(table))), "sid long, packed binary")
     texts = stored(texts.join(ids.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.min("packed").alias("packed")), "texts")
     both = pairs.join(texts.select(F.col("sid").alias("b"), F.col("packed").alias("pb")), "b").join(texts.select(F.col("sid").alias("a"), F.col("packed").alias("pa")), "a")
-    links = stored(both.select("a", "b", "pa", "pb").sortWithinPartitions("a").mapInArrow(_verify(width, percent), "a long, b long, shared long, total long"), "links")
+    links = stored(both.select("a", "b", "pa", "pb").sortWithinPartitions("a").mapInArrow(lean(_verify(width, percent)), "a long, b long, shared long, total long"), "links")
     discard(texts, ids)
     return links
 
 
-def meetings(docs, profiles, tokens, width, percent):
-    """Stored rows (meet, one, two, sid, size, block, map, seconds): the sets that meet others, by entry and, for an
-    entry with many, by pair of blocks."""
+def meetings(docs, tokens, width, percent):
+    """Stored tables (meet, sid, size, n, seconds): the sets that meet others, with the number of rows of their entry.
+
+    There is one for each of ``PASSES`` shares of the entries: the shuffles of one share at a time lie on disk."""
     spark = docs.sparkSession
-    postings = stored(docs.select("text").mapInArrow(_postings(width, percent, spark.sparkContext.broadcast(tokens)), POSTING_TYPE), "postings")
+    postings = stored(docs.select("text").mapInArrow(lean(_postings(width, percent, spark.sparkContext.broadcast(tokens))), POSTING_TYPE), "postings")
     over = Window.partitionBy("meet")
     before, after = (f("size").over(over.orderBy("size")) for f in (F.lag, F.lead))
     pairs = postings.where(F.size("seconds") > 0)
     # First tokens of pairs are among the FREQUENT_TOKENS that the driver holds, and so are their counts.
     homes = F.broadcast(pairs.groupBy("meet").agg(F.count("*").alias("n"), F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("meet", "n"))
+    columns = ["meet", "sid", "size", "n"]
+    shared = pairs.join(homes, "meet").select(*columns, "seconds")
     # Of an entry's sets, those whose size has no near one go before anything else is read.
-    alike = postings.where(F.size("seconds") <= 0).withColumns({"before": before, "after": after}).where(F.expr(f"100 * before >= {percent} * size or 100 * size >= {percent} * after"))
+    alike = postings.where(F.size("seconds") <= 0).select("meet", "sid", "size").withColumns({"before": before, "after": after}).where(F.expr(f"100 * before >= {percent} * size or 100 * size >= {percent} * after"))
     single = alike.withColumns({"n": F.count("*").over(over), "lo": F.min("sid").over(over), "hi": F.max("sid").over(over)}).where("lo <> hi")
-    shared = pairs.join(homes, "meet").select("meet", "sid", "size", "seconds", "n").unionAll(single.select("meet", "sid", "size", "seconds", "n"))
-    shared = shared.repartition("sid").dropDuplicates(["sid", "meet"])
+    shared = shared.unionAll(single.select(*columns, F.lit(None).cast("array<long>").alias("seconds")))
+    parts = [stored(shared.where(F.pmod("meet", F.lit(PASSES)) == k).dropDuplicates(["sid", "meet"]), "meetings") for k in range(PASSES)]
+    discard(postings)
+    return parts
+
+
+def dealt(shared, profiles):
+    """The rows of meetings with their bitmaps (``map``), dealt to pairs of blocks (one, two) where an entry has many."""
     maps = profiles.where("size > 0").groupBy("sid").agg(F.min("bitmap").alias("bitmap"), F.min("wide").alias("wide"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
     rows = shared.join(maps, "sid").withColumns({"blocks": blocks, "block": own, "map": F.when(F.col("n") > BLOCK // 32, F.col("wide")).otherwise(F.col("bitmap"))})
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    out = dealt.select("meet", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "sid", "size", "block", "map", F.when(F.size("seconds") > 0, F.col("seconds")).alias("seconds"))
-    out = stored(out, "meetings")
-    discard(postings)
-    return out
+    return rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
 
 
 def join(docs, doc_id="doc_id", text="text", width=3, percent=90):
@@ -482,24 +491,26 @@ def join(docs, doc_id="doc_id", text="text", width=3, percent=90):
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    made = stored(docs.mapInArrow(_profiles(width, percent), PROFILE_TYPE.format(kind)), "profiles")
+    made = stored(docs.mapInArrow(lean(_profiles(width, percent)), PROFILE_TYPE.format(kind)), "profiles")
     profiles = made.where(F.col("sid").isNotNull()).select("id", "sid", "size", "bitmap", "wide")
     common = made.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("count").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(FREQUENT_TOKENS)
     tokens = np.sort(np.array([r[0] for r in common.select("token").collect()] or [0], dtype=np.int64).view(U))
-    shared = meetings(docs, profiles, tokens, width, percent)
+    parts = meetings(docs, tokens, width, percent)
+    shared = functools.reduce(lambda a, b: a.unionAll(b), parts)
     wide = profiles.where("size > 0").groupBy("sid").agg(F.first("size").alias("size"), F.min("wide").alias("wide"))
     left, right = (wide.select(F.col("sid").alias(k), F.col("size").alias(f"n{k}"), F.col("wide").alias(f"w{k}")) for k in "ab")
 
     def candidates(rows, limit):
         order = rows.select(*LIST_COLUMNS).repartition("meet", "one", "two").sortWithinPartitions("meet", "one", "two", "sid")
-        return stored(order.mapInArrow(_lists(percent, limit), "a long, b long, meet long, one int, two int"), "pairs")
+        return stored(order.mapInArrow(lean(_lists(percent, limit)), "a long, b long, meet long, one int, two int"), "pairs")
 
-    rows = shared.withColumns({"component": F.col("sid"), "refuted": F.lit(None).cast("array<long>")})
+    rounds = [dealt(part, profiles).withColumns({"component": F.col("sid"), "refuted": F.lit(None).cast("array<long>")}) for part in parts]
     links, tried = None, None
     for limit in LIMITS:
-        listed = candidates(rows, limit)
+        tables = [candidates(rows, limit) for rows in rounds]
+        listed = functools.reduce(lambda a, b: a.unionAll(b), tables)
         pairs = stored(listed.select("a", "b").distinct(), "distinct")
-        near = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(_refine(percent), "a long, b long"), "near")
+        near = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(lean(_refine(percent)), "a long, b long"), "near")
         found = verified(docs, near, profiles, width, percent)
         links = found if links is None else links.unionAll(found)
         labels = components(links)
@@ -508,14 +519,15 @@ def join(docs, doc_id="doc_id", text="text", width=3, percent=90):
         wrong = stored(wrong.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "refuted")
         discard(pairs, near)
         if limit is None or wrong.isEmpty():
-            discard(shared, listed)
+            discard(*parts, *tables)
             return profiles, links, labels
         # The meetings that a refuted pair came from, with the components and the refuted pairs of their sets.
         tried = wrong if tried is None else tried.unionAll(wrong)
         again = stored(listed.join(wrong, ["a", "b"], "left_semi").select("meet", "one", "two").distinct(), "again")
-        discard(listed)
+        discard(*tables)
         known = tried.select(F.col("a").alias("sid"), F.col("b").alias("no")).unionAll(tried.select(F.col("b").alias("sid"), F.col("a").alias("no"))).groupBy("sid").agg(F.collect_set("no").alias("refuted"))
-        rows = shared.join(again, ["meet", "one", "two"], "left_semi").join(labels.select(F.col("node").alias("sid"), "root"), "sid", "left").join(known, "sid", "left").select(*shared.columns, F.coalesce("root", "sid").alias("component"), "refuted")
+        here = shared.join(again.select("meet").distinct(), "meet", "left_semi")
+        rounds = [dealt(here, profiles).join(again, ["meet", "one", "two"], "left_semi").join(labels.select(F.col("node").alias("sid"), "root"), "sid", "left").join(known, "sid", "left").withColumn("component", F.coalesce("root", "sid"))]
 
 
 def classes(docs, doc_id="doc_id", text="text", width=3, percent=90):

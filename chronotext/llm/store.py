@@ -1,5 +1,6 @@
 """Intermediate tables in the shared folder of the cluster."""
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -16,17 +17,41 @@ def shared_dir(spark):
     return folder.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_collecting = []
+
+
+@contextlib.contextmanager
+def collecting(tables):
+    """Adds every table that ``stored`` writes meanwhile to the list, for whoever knows when they are read no more."""
+    _collecting.append(tables)
+    try:
+        yield tables
+    finally:
+        _collecting.remove(tables)
+
+
 def stored(df, name):
-    """Writes a table once and reads it back: later plans start at it, whichever executors are lost."""
-    path = f"{shared_dir(df.sparkSession)}/chronotext-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes a table once and reads it back: later plans start at it, whichever executors are lost.
+
+    The write's shuffle files go when it ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/chronotext-{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    for tables in _collecting:
+        tables.append(out)
     return out
 
 
 def discard(*tables):
-    """Deletes stored tables that no plan will read again."""
+    """Deletes stored tables that no plan will read again; those that are gone already don't matter."""
     for df in tables:
         context = df.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
