@@ -169,7 +169,7 @@ def fit(docs, labels, doc_id="doc_id", text="text", label="toxic", max_toxic=MAX
     picked = spark.createDataFrame(picked.collect(), known.schema)  # at most max_toxic + max_clean ids
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(picked), "__id").where(F.col("__text").isNotNull())
     from .store import stored
-    sample = stored(rows.select("__text", "__y").dropDuplicates(["__text"]), "labelled")
+    sample = stored(rows.groupBy("__text").agg(F.max("__y").alias("__y")), "labelled")  # toxic where equal texts disagree
     sizes = {r[0]: r[1] for r in sample.groupBy("__y").count().collect()}
     n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not n_clean or not n_toxic:
