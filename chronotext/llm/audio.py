@@ -31,6 +31,7 @@ from .store import stored
 RATE, FRAME, HOP, WIDTH = 11025, 256, 64, 16
 LOWEST, HIGHEST = 160.0, 5000.0
 LEVELS = (-0.12, 0.0, 0.12)
+UNIT = 1 << 20
 GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
 VOTES, BIT_ERRORS = 3, 0.2
 FILTER_BITS = 1 << 24
@@ -81,8 +82,9 @@ class Fingerprinter:
         ends = np.cumsum(sizes)
         if n <= 0:
             return [np.empty(0, np.uint32) for _ in sizes]
-        image = np.zeros((len(picture) + 1, 13))
-        image[1:, 1:] = np.cumsum(np.cumsum(picture, axis=0, dtype=np.float64), axis=1)
+        # Whole numbers: sums are exact, so that areas don't depend on the recordings before.
+        image = np.zeros((len(picture) + 1, 13), dtype=np.int64)
+        image[1:, 1:] = np.cumsum(np.cumsum(np.rint(picture * UNIT).astype(np.int64), axis=0), axis=1)
         packed = np.zeros(n, dtype=np.uint32)
         for spec in FILTERS:
             packed = packed << np.uint32(2) | GRAY[np.searchsorted(LEVELS, self.apply(image, n, *spec))]
@@ -91,7 +93,7 @@ class Fingerprinter:
     @staticmethod
     def apply(image, n, kind, first, high, wide):
         def area(t0, t1, p0, p1):
-            return image[t1 : t1 + n, p1] - image[t1 : t1 + n, p0] - image[t0 : t0 + n, p1] + image[t0 : t0 + n, p0]
+            return (image[t1 : t1 + n, p1] - image[t1 : t1 + n, p0] - image[t0 : t0 + n, p1] + image[t0 : t0 + n, p0]) / UNIT
         low, top = first, first + high
         whole = area(0, wide, low, top)
         if kind == 0:

@@ -313,3 +313,13 @@ def test_integral_image():
         assert math.isclose(got[k], math.log1p(early) - math.log1p(late), abs_tol=1e-9)
 
 
+
+
+def test_fingerprints_do_not_depend_on_neighbours():
+    make = audio.Fingerprinter()
+    for recording in (b"abcdefgh" * 500, b"ab " * 1500, b"x" * 4000):
+        alone = make.items(np.frombuffer(recording, np.uint8), np.array([0, len(recording)]))[0]
+        for k in range(5):
+            before = bytes((i * 7919 * (k + 1) + i // 3) % 97 + 25 for i in range(3000 + 71 * k))
+            both = make.items(np.frombuffer(before + recording, np.uint8), np.array([0, len(before), len(before) + len(recording)]))
+            assert both[1].tolist() == alone.tolist()
