@@ -23,7 +23,7 @@ from .store import stored
 
 CAPACITY = 4096
 END_ID = 2
-CACHED_BYTES = 64_000_000  # of words and parts in each worker process, by an estimate
+CACHED_WORDS, CACHED_PARTS = 400_000, 1_000_000  # of at most 64 bytes, in each worker process while it packs
 SIGNS = b".,;:!?#$%&*()[]{}-_=+/|@^~`\"<>\\"
 SLICE_ROWS = 500_000
 
@@ -44,14 +44,7 @@ class WordCache(dict):
         from tokenizers import Tokenizer
         super().__init__()
         self.tokenizer = Tokenizer.from_str(json_text)
-        self.parts, self.size = {}, 0
-
-    def _grows(self, *things):
-        self.size += 200 + sum(map(len, things))
-        if self.size > CACHED_BYTES:
-            self.clear()
-            self.parts.clear()
-            self.size = 0
+        self.parts = {}
 
     def __missing__(self, word):
         core = word.rstrip(SIGNS)
@@ -62,7 +55,8 @@ class WordCache(dict):
         else:
             ids = self._part(word)
         if len(word) <= 64:
-            self._grows(word, ids)
+            if len(self) >= CACHED_WORDS:
+                self.clear()
             self[word] = ids
         return ids
 
@@ -71,7 +65,8 @@ class WordCache(dict):
         if ids is None:
             ids = np.array(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
             if len(part) <= 64:
-                self._grows(part, ids)
+                if len(self.parts) >= CACHED_PARTS:
+                    self.parts.clear()
                 self.parts[part] = ids
         return ids
 
