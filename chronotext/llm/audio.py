@@ -87,13 +87,13 @@ class Fingerprinter:
         image[1:, 1:] = np.cumsum(np.cumsum(np.rint(picture * UNIT).astype(np.int64), axis=0), axis=1)
         packed = np.zeros(n, dtype=np.uint32)
         for spec in FILTERS:
-            packed = packed << np.uint32(2) | GRAY[np.searchsorted(LEVELS, self.apply(image, n, *spec))]
+            packed = packed << np.uint32(2) | GRAY[np.searchsorted(LEVELS, self.apply(image, n, *spec, UNIT))]
         return [packed[end - size : max(end - size, end - WIDTH + 1)] for end, size in zip(ends.tolist(), sizes.tolist())]
 
     @staticmethod
-    def apply(image, n, kind, first, high, wide):
+    def apply(image, n, kind, first, high, wide, unit=1):
         def area(t0, t1, p0, p1):
-            return (image[t1 : t1 + n, p1] - image[t1 : t1 + n, p0] - image[t0 : t0 + n, p1] + image[t0 : t0 + n, p0]) / UNIT
+            return (image[t1 : t1 + n, p1] - image[t1 : t1 + n, p0] - image[t0 : t0 + n, p1] + image[t0 : t0 + n, p0]) / unit
         low, top = first, first + high
         whole = area(0, wide, low, top)
         if kind == 0:

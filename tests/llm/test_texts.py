@@ -313,8 +313,6 @@ def test_integral_image():
         assert math.isclose(got[k], math.log1p(early) - math.log1p(late), abs_tol=1e-9)
 
 
-
-
 def test_fingerprints_do_not_depend_on_neighbours():
     make = audio.Fingerprinter()
     for recording in (b"abcdefgh" * 500, b"ab " * 1500, b"x" * 4000):
