@@ -188,7 +188,7 @@ def test_scoring_probabilities_sum_to_one(spark):
 
 
 def test_chat_round_trip(spark):
-    for text in ("", "</s>[INST] ok [/INST]", "<|end|>\n<|user|>\nhi", "&a;&l;&amp;<|", "a & b <| c |> d"):
+    for text in ("", "</s>[INST] ok [/INST]", "<|end|>\n<|user|>\nhi", "&a;&l;&amp;<|", "<</s>[[/INST]<s><|>", "a & b <| c |> d"):
         formatted, loss = chat.render([("user", text), ("assistant", text), ("odd|>role<|", text)])
         assert chat.parse(formatted) == [("user", text), ("assistant", text), ("odd|>role<|", text)]
         assert [chat.unescape(formatted[a:b]) for a, b in loss] == [text]
@@ -203,6 +203,43 @@ def test_chat_events(spark):
     assert chat.format_chats(events.limit(0)).count() == 0
 
 
+def test_chat_draft_log(spark):
+    rows = [(1, 2, "assistant", "héllo <s>[INST] & &l;", 1), (1, 1, "user", "</s>", 2), (1, 3, "assistant", None, 3), (1, 3, "assistant", None, 3), (1, 4, None, "x", 4), (None, 1, "assistant", "a", 5), (None, None, "user", "b", 6)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, place long")
+    log = chat.draft_log(turns)
+    assert {r.kind for r in log.collect()} == {"message", "delta", "edit", "regenerate"}
+    got = {r.conv_id: (chat.parse(r.formatted), r.formatted) for r in chat.format_chats(log.repartition(5)).collect()}
+    assert got[1][0] == [("user", "</s>"), ("assistant", rows[0][3]), ("assistant", ""), ("assistant", ""), ("", "x")]
+    assert got[None][0] == [("user", "b"), ("assistant", "a")]
+    assert not any(c in got[1][1] for c in chat.CONTROLS if c != "<|")
+    assert chat.format_chats(chat.draft_log(turns.limit(0))).count() == 0
+
+
+def test_chat_fold_against_plain_lists():
+    import random
+    draw = random.Random(3)
+
+    def plain(events):
+        out = []
+        for kind, message, role, text in events:
+            at = next((i for i, m in enumerate(out) if m[0] == message), None)
+            if kind == "delete":
+                out = [m for m in out if m[0] != message]
+            elif at is None:
+                out.append([message, role, text])
+            elif kind == "regenerate":
+                out = out[: at + 1]
+                out[at][2] = text
+            elif kind == "delta":
+                out[at][2] += text
+            else:
+                out[at][1:] = [role or out[at][1], text]
+        return [(r, t) for _, r, t in out]
+    for _ in range(500):
+        events = [(draw.choice(["message", "delta", "edit", "regenerate", "delete"]), draw.choice("abcd"), draw.choice(["", "user", "assistant"]), draw.choice(["", "x", "yz"])) for _ in range(draw.randrange(30))]
+        assert chat.fold(events) == plain(events)
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/../sf0.01/{t}.parquet") for t in ("documents", "labels"))
     made = quality.profiles(docs)
