@@ -1,6 +1,10 @@
 """Text operators: cleaning, segmentation, sections, titles and tokens."""
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACE = r"[\s\x{A0}]+"
 
@@ -169,3 +173,92 @@ def drop_lines(text: Column, numbers) -> Column:
 
 def dedup_key(*cols: Column) -> Column:
     return F.concat_ws("||", *[F.lower(squeeze(c)) for c in cols])
+
+
+# Marks of a page's chrome, in the order in which they go, and phrases of a line that describes a text.
+PAGE_CHROME = (
+    (r"(?s)^.*?Read More\s*", ""),
+    (r"(?s)^\d+\s*Contributors?.*?Lyrics\s*", ""),
+    (r"(?i)You might also like", "\n"),
+    (r"(?is)See .+? LiveGet tickets as low as \$\d+", ""),
+    (r"(?i)\d*Embed\s*$", ""),
+    (r"\n{3,}", "\n\n"),
+)
+DESCRIPTIONS = ("is a ", "was released", "features", "produced by", "samples", "from the album", "track from", "song from", "this song", "on the album", "debut album")
+# What a bracket at the end of a title may begin with to be a suffix.
+SUFFIXES = (r"remix", r"remaster", r"skit", r"live", r"explicit", r"clean\s*version", r"album\s*version", r"radio\s*edit", r"extended\s*version", r"extended", r"single\s*version", r"instrumental",
+            r"acoustic", r"demo", r"edit", r"main", r"pt\.?\s*\d+", r"part\s*\d+", r"vol\.?\s*\d+", r"feat", r"featuring")
+# Words of the first person singular.
+FIRST_PERSON = ("i", "me", "my", "mine", "myself", "i'd", "i'll", "i'm", "i've", "imma", "i'ma")
+
+
+def strip_ends(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def clean_page(text: Column, described=DESCRIPTIONS, at_most: int = 5, longer_than: int = 80) -> Column:
+    """Text without a page's chrome, and without up to ``at_most`` leading lines of prose about it: long lines that end
+    with a full stop and hold a phrase of ``described``.  Null is empty."""
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), "​", "")
+    for pattern, put in PAGE_CHROME:
+        t = F.regexp_replace(t, pattern, put)
+    phrase = "|".join(described)
+    lines = F.split(strip_ends(t), "\n")
+
+    def code(line):
+        line = strip_ends(line)
+        return F.when(line == "", "b").when((F.length(line) > longer_than) & F.endswith(line, F.lit(".")) & F.lower(line).rlike(phrase), "d").otherwise("x")
+
+    dropped = F.length(F.regexp_extract(F.array_join(F.transform(lines, code), ""), rf"^(?:b*d){{0,{at_most}}}", 0))
+    return strip_ends(F.array_join(F.slice(lines, dropped + 1, F.size(lines)), "\n"))
+
+
+def strip_suffixes(title: Column) -> Column:
+    """Without all bracketed suffixes at the end."""
+    return strip_ends(F.regexp_replace(strip_ends(title), rf"(?i)(?:\s*[\[(](?:{'|'.join(SUFFIXES)})[^)\]]*[\])])+\s*$", ""))
+
+
+def title_forms(title: Column) -> Column:
+    """Keys to look a title up by: as it is, without suffixes, without full stops at the end, without both; in small
+    letters, each once, none empty."""
+    whole = strip_ends(title)
+    undotted = F.regexp_replace(whole, r"\.+$", "")
+    forms = F.array(*[F.lower(squeeze(x)) for x in (whole, strip_suffixes(whole), undotted, strip_suffixes(undotted))])
+    return F.filter(F.array_distinct(F.flatten(F.transform(forms, lambda k: F.array(k, F.regexp_replace(k, r"\.+$", ""))))), lambda k: k != "")
+
+
+@F.pandas_udf(StringType())
+def compatible(text: pd.Series) -> pd.Series:
+    """Compatibility composition (NFKC); null stays null."""
+    return text.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+def first_person_rate(text: Column, words=FIRST_PERSON) -> Column:
+    """Share of first-person words among the tokens; 0 where there are none."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9']+)"))
+    mine = F.filter(found, lambda w: F.regexp_replace(w, "^'+|'+$", "").isin(*words))
+    return F.when(F.size(found) > 0, F.size(mine) / F.size(found)).otherwise(0.0)
+
+
+def attributed(parsed: Column, names: str, lead: Column, rule: str = "track", unsung=("sample", "interlude", "instrumental", "skit")) -> Column:
+    """(body, method) of what a text's sections give to the names that match a pattern; ``lead`` says whose text it is.
+
+    ``track``: a lead keeps all but sections credited to others alone, a guest what is credited to them; sections whose
+    marker holds a word of ``unsung`` go.  ``role``: credited sections if there are any, else all for a lead and none
+    for a guest.  ``solo``: the same, but a lead without a credit keeps what isn't credited to others."""
+    full = F.filter(parsed, lambda s: s["body"] != "")
+    own = lambda s: s["credit"].rlike(f"(?i){names}")
+    other = lambda s: (s["credit"] != "") & ~own(s)
+    sung = lambda s: ~F.lower(s["marker"]).rlike("|".join(unsung))
+
+    def made(kept, method):
+        return F.struct(F.array_join(F.transform(kept, lambda s: s["body"]), "\n\n").alias("body"), (method if isinstance(method, Column) else F.lit(method)).alias("method"))
+
+    mine, rest, nothing = F.filter(full, own), F.filter(full, lambda s: ~other(s)), F.filter(full, lambda s: F.lit(False))
+    if rule == "track":
+        kept = F.filter(rest, sung)
+        return F.when(lead, made(kept, F.when(F.size(kept) < F.size(full), "lead, filtered").otherwise("lead, whole"))).otherwise(made(F.filter(mine, sung), "guest"))
+    found = F.when(F.size(mine) > 0, made(mine, "credited")).when(~lead, made(nothing, "none"))
+    if rule == "role":
+        return found.otherwise(made(full, "lead, uncredited"))
+    return found.when(F.size(rest) == F.size(full), made(full, "solo")).when(F.size(rest) > 0, made(rest, "solo, partial")).otherwise(made(nothing, "none"))

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.text import normal_title
+from ..functions.text import compact_title, normal_title
+from .series import first_per_key
 
 
 def lcs(a: str, b: str) -> int:
@@ -118,13 +119,64 @@ def overlap_score(a: Column, b: Column) -> Column:
     return F.when(F.arrays_overlap(a, b), 50 + 5 * F.size(F.array_intersect(a, b))).otherwise(0)
 
 
+def best_hit(hits: DataFrame, keys, score: str, order, least: float = 60.0) -> DataFrame:
+    """The highest score of a key, from ``least`` on; the first in the order on a tie."""
+    return first_per_key(hits.where(F.col(score) >= least), keys, [F.desc(score), *order])
+
+
+def constrained_match(left: DataFrame, right: DataFrame, title: str, year: str, artist: str, weight: str, least: float = 85.0, years: int = 2, artist_least: float = 55.0) -> DataFrame:
+    """``best_match`` among rows at most ``years`` apart (a missing year fits all) whose artists reach ``artist_least``.
+
+    Both tables have the columns named.  The artist counts a ten-thousandth in the total; a left row without one passes,
+    and counts 0.  Titles are scored once each, and rows of one title, year and artist are matched once: on the right
+    the heaviest of them stands for all."""
+    keys = [title, year, artist]
+    heaviest = F.max_by(F.struct(*right.columns), F.struct(F.col(weight).isNotNull(), weight, F.xxhash64(*right.columns)))
+    asked = left.select(*[F.col(k).alias(f"l{i}") for i, k in enumerate(keys)]).distinct()
+    held = right.groupBy(*[F.col(k).alias(f"r{i}") for i, k in enumerate(keys)]).agg(heaviest.alias("match"))
+    pairs = candidates(asked.select("l0").distinct(), held.select("r0").distinct(), "l0", "r0").select("l.l0", "r.r0", "r_title", token_set_ratio("l_title", "r_title").alias("score")).where(F.col("score") >= least)
+    close = F.coalesce(F.abs(F.col("l1") - F.col("r1")) <= years, F.lit(True))
+    met = asked.join(pairs, "l0").join(held, "r0").where(close)
+    wanted, found = normal_title(F.col("l2")), normal_title(F.col("r2"))
+    likeness = F.coalesce(F.greatest(token_set_ratio(wanted, found), partial_ratio(wanted, found)), F.lit(0.0))
+    nameless = F.coalesce(wanted, F.lit("")) == ""
+    met = met.withColumn("likeness", F.when(nameless, 0.0).otherwise(likeness)).where(nameless | (F.col("likeness") >= artist_least))
+    best = met.groupBy("l0", "l1", "l2").agg(F.max_by(F.struct("match", "score"), F.struct(F.col("score") + 0.0001 * F.col("likeness"), F.col(f"match.{weight}"), F.col("r_title"), F.col("r1"), F.col("r2"))).alias("b"))
+    condition = F.lit(True)
+    for i, k in enumerate(keys):
+        condition = condition & left[k].eqNullSafe(best[f"l{i}"])
+    return left.join(best, condition).select(*[left[c] for c in left.columns], F.col("b.match").alias("match"), F.col("b.score").alias("score"))
+
+
+def best_quote(titles: DataFrame, quotes: DataFrame, title: str, quote: str, least: float = 82.0) -> DataFrame:
+    """Each title's best quotation (the smallest on a tie) and its score, from ``least`` on.
+
+    98 if a title of at most 7 letters and digits is the quotation, or (from 4 on) its beginning; 95 if one of at least
+    8 lies in the quotation or the other way round; else the token-set ratio, for those that share a word."""
+    said = quotes.select(F.col(quote).alias("quote")).where(normal_title(F.col(quote)) != "").distinct()
+    asked = titles.select(F.col(title).alias("title")).where(normal_title(F.col(title)) != "").distinct()
+    near = candidates(asked, said, "title", "quote").select("l.title", "r.quote", token_set_ratio("l_title", "r_title").alias("score"))
+    small, big = asked.withColumn("c", compact_title(F.col("title"))), said.withColumn("c", compact_title(F.col("quote")))
+    held = contained(small.where("length(c) >= 8"), big.where("length(c) >= 8"), "c", "c", longer_than=7).select("l.title", "r.quote", F.lit(95.0).alias("score"))
+    starts = big.select("quote", F.explode(F.array_distinct(F.concat(F.array("c"), F.transform(F.sequence(F.lit(4), F.lit(7)), lambda k: F.left("c", k))))).alias("c"))
+    begun = small.where("length(c) <= 7").join(starts, "c").select("title", "quote", F.lit(98.0).alias("score"))
+    every = near.unionAll(held).unionAll(begun).where(F.col("score") >= least)
+    top = every.groupBy("title").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("quote").alias("quote"))).alias("b"))
+    return top.select("title", F.col("b.quote").alias("quote"), (-F.col("b.s")).alias("score"))
+
+
 def lookup_chain(df: DataFrame, lookups) -> DataFrame:
-    """The value of the first lookup (table, left key, right key, value) that has one, as ``found``."""
-    out = df
-    for i, (table, left, right, value) in enumerate(lookups):
-        one = table.where(F.col(right).isNotNull()).groupBy(F.col(right).alias(f"__k{i}")).agg(F.min(value).alias(f"__v{i}"))
+    """The value of the first lookup that has one, as ``found``.
+
+    A lookup is (table, left key, right key, value), or with a guard as a fifth: a condition over the left columns and
+    ``value``, without which its value doesn't count."""
+    out, names = df, []
+    for i, (table, left, right, value, *guard) in enumerate(lookups):
+        one = table.where(F.col(right).isNotNull()).groupBy(F.col(right).alias(f"__k{i}")).agg(F.min(value).alias("value"))
+        name = f"__v{i}"
         out = out.join(one, F.col(left) == F.col(f"__k{i}"), "left").drop(f"__k{i}")
-    names = [f"__v{i}" for i in range(len(lookups))]
+        out = out.withColumn(name, F.when(guard[0], F.col("value")) if guard else F.col("value")).drop("value")
+        names.append(name)
     return out.withColumn("found", F.coalesce(*names)).drop(*names)
 
 

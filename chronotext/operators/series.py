@@ -1,6 +1,7 @@
 """Ranking, first-per-key, calendars and series."""
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def first_per_key(df: DataFrame, keys, order) -> DataFrame:
@@ -13,20 +14,66 @@ def top_per_group(df: DataFrame, keys, order, k: int, rank: str = "rank") -> Dat
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def ranged(df: DataFrame, value: str, pieces: int = 32) -> Column:
+    """The number of the range, of ``pieces`` squared ranges of about as many rows, that a value falls into.
+
+    The limits are approximate quantiles, found by a job of its own; any limits give the same results, only the balance
+    differs.  Values that aren't numbers, days or times are all in one range."""
+    if not isinstance(df.schema[value].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit(0)
+    n = pieces * pieces
+    limits = df.agg(F.percentile_approx(value, [i / n for i in range(1, n)], 10 * n)).first()[0]
+    if not limits:
+        return F.lit(0)
+    kind = df.schema[value].dataType
+    below = lambda some: F.size(F.filter(some, lambda x: x < F.col(value)))
+    limits = [F.lit(x).cast(kind) for x in sorted(limits)]
+    coarse = below(F.array(*limits[pieces - 1 :: pieces]))
+    return coarse * pieces + below(F.slice(F.array(*limits), coarse * pieces + 1, pieces - 1))
+
+
+def by_keys(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    """Left rows with the other columns of one row per key; null keys meet.  Without keys, the right table has one row."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))
+    renamed = right.withColumnsRenamed({k: f"{k}__" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"{k}__"))
+    return left.join(renamed, condition, "left").drop(*[f"{k}__" for k in keys])
+
+
+def running(df: DataFrame, keys, value: str, how, amount: str, out: str, descending: bool = False) -> DataFrame:
+    """``how`` (sum or min) of ``amount`` from a key's first value to each; values are distinct and ``__part`` rises with them.
+
+    Windows run inside a part; what earlier parts hold comes from one row per key and part."""
+    keys = list(keys)
+    order = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    parts = df.groupBy(*keys, "__part").agg(how(amount).alias("__a"))
+    earlier = Window.partitionBy(*keys).orderBy(order("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*keys, "__part", how("__a").over(earlier).alias("__earlier"))
+    inside = Window.partitionBy(*keys, "__part").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0)
+    here = df.withColumn("__here", how(amount).over(inside))
+    whole = F.least if how is F.min else (lambda a, b: F.coalesce(b, F.lit(0)) + a)
+    return by_keys(here, parts, [*keys, "__part"]).withColumn(out, whole(F.col("__here"), F.col("__earlier"))).drop("__here", "__earlier")
+
+
 def percentile_rank(df: DataFrame, value: str, out: str = "pct_rank", by=()) -> DataFrame:
     """Average rank of ties over the number of values; null for null.
 
     Ranks come from counts of distinct values: rows are counted by value first, running counts go over distinct values.
+    Without ``by``, distinct values are dealt to ranges (``ranged``), so that no window runs over all of them.
     """
     by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
-    run = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    ranks = counts.select(*by, F.col(value).alias("__v"), ((F.sum("__c").over(run) - F.col("__c") + (F.col("__c") + 1) / 2) / F.sum("__c").over(whole)).alias(out), *[F.col(b).alias(f"__k{i}") for i, b in enumerate(by)]).drop(*by)
+    keys = [f"__k{i}" for i in range(len(by))]
+    counts = df.where(F.col(value).isNotNull()).groupBy(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    counts = counts.withColumn("__part", F.lit(0) if by else ranged(counts, "__v"))
+    summed = by_keys(running(counts, keys, "__v", F.sum, "__c", "__r"), counts.groupBy(*keys).agg(F.sum("__c").alias("__m")), keys)
+    ranks = summed.select(*keys, "__v", ((F.col("__r") - F.col("__c") + (F.col("__c") + 1) / 2) / F.col("__m")).alias("__out"))
     condition = F.col(value) == F.col("__v")
-    for i, b in enumerate(by):
-        condition = condition & F.col(b).eqNullSafe(F.col(f"__k{i}"))
-    return df.join(ranks, condition, "left").drop("__v", *[f"__k{i}" for i in range(len(by))])
+    for b, k in zip(by, keys):
+        condition = condition & F.col(b).eqNullSafe(F.col(k))
+    return df.join(ranks, condition, "left").withColumn(out, F.col("__out")).drop("__v", "__out", *keys)
 
 
 def monthly_calendar(df: DataFrame, month: str, by=()) -> DataFrame:

@@ -8,10 +8,10 @@ import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import quoted_spans
+from ..functions.text import normal_title, quoted_spans
 
 HEADING = r"^##+\s+(\d{4})(?:\s*[—–-]\s*\*?([^*]+)\*?)?"
 BULLET = r"^\s*[-*]\s+[\"“]([^\"”]+)[\"”](?:\s*[—–-]\s*(.*?))?(?:\s*\[([^\]]*)\])?\s*$"
@@ -42,6 +42,126 @@ def bold_titles(lines: DataFrame) -> DataFrame:
     return lines.select("file", "n", F.explode(found).alias("title"))
 
 
+# The paragraph of a work with its tracks, and a title with what follows it in brackets.
+WORK = r"^\s*\*\*(.+?)\s*\(([^)]+)\)\*\*.*?\*\*\[([^\]]+)\]\*\*.*?:\s*(.+?)\s*$"
+MENTION = r"\"([^\"]+)\"\s*\(([^)]+)\)"
+
+
+def catalogue_mentions(lines: DataFrame) -> DataFrame:
+    """Titles of a catalogue's prose, a row each: of a work's paragraph (with its name, date and tag), or followed by a
+    credit in brackets; ``year`` and ``era`` are the last heading's.  Bullets are left to ``catalogue``."""
+    w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    year = F.nullif(F.regexp_extract("line", HEADING, 1), F.lit(""))
+    head = F.last(F.when(year.isNotNull(), F.struct(year.cast("int").alias("year"), F.nullif(F.trim(F.regexp_extract("line", HEADING, 2)), F.lit("")).alias("era"))), ignorenulls=True).over(w)
+    plain = lambda c: F.nullif(F.trim(F.regexp_replace(c, r"[*_`]", "")), F.lit(""))
+    none = F.lit(None).cast("string")
+
+    def found(titles, title, work, day, tag, credit):
+        return F.transform(titles, lambda t, i: F.struct(i.alias("place"), F.regexp_replace(F.trim(title(t)), ",+$", "").alias("title"), work.alias("work"), day.alias("day"), tag.alias("tag"), credit(t).alias("credit")))
+
+    works = found(F.regexp_extract_all(F.regexp_extract("line", WORK, 4), F.lit("\"([^\"]+)\"")), lambda t: t, *[plain(F.regexp_extract("line", WORK, i)) for i in (1, 2, 3)], lambda t: none)
+    mentions = found(F.regexp_extract_all("line", F.lit(MENTION), F.lit(0)), lambda t: F.regexp_extract(t, MENTION, 1), none, none, none, lambda t: plain(F.regexp_extract(t, MENTION, 2)))
+    text = F.col("line")
+    rows = F.when(text.rlike(r"^\s*#") | text.rlike(BULLET), F.slice(mentions, 1, 0)).when(text.rlike(WORK), works).otherwise(mentions)
+    return lines.withColumn("__head", head).select("file", "n", "__head.year", "__head.era", F.explode(rows).alias("r")).where("r.title <> ''").select("file", "n", "year", "era", "r.*")
+
+
+def sectioned_titles(lines: DataFrame, sections: dict, skipped, tags=(), shortest: int = 3, longest: int = 80) -> DataFrame:
+    """Quoted titles of a catalogue below its first year, with the year and the section, one row per file, year and normal title.
+
+    A section (name to words, tried in order) opens with a line whose bold text holds one of its words, and closes with
+    the next year; lines outside all are ``unknown``.  Lines of ``skipped`` sections or with one of ``tags`` go.  Of a
+    repeated title the row of the first section in order stays, ``unknown`` last, then the first line."""
+    w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    year = F.nullif(F.regexp_extract("line", r"^## (\d{4})", 1), F.lit("")).cast("int")
+    bold = F.lower(F.array_join(F.regexp_extract_all("line", F.lit(r"\*\*([^*]+?)\*\*")), " "))
+    named = F.lit(None).cast("string")
+    for name, words in reversed(list(sections.items())):
+        hit = F.lit(False)
+        for word in words:
+            hit = hit | F.contains(bold, F.lit(word))
+        named = F.when(hit, name).otherwise(named)
+    opened = F.coalesce(F.last(F.when(year.isNotNull(), F.lit("")).otherwise(named), ignorenulls=True).over(w), F.lit(""))
+    placed = lines.select("file", "n", "line", F.last(year, ignorenulls=True).over(w).alias("year"), F.when(opened == "", "unknown").otherwise(opened).alias("section"), year.isNotNull().alias("__heads"))
+    tagged = F.lit(False)
+    for tag in tags:
+        tagged = tagged | F.contains("line", F.lit(tag))
+    kept = placed.where(F.col("year").isNotNull() & ~F.col("__heads") & ~F.col("section").isin(*skipped) & ~tagged)
+    titles = F.transform(F.regexp_extract_all("line", F.lit("\"([^\"]+)\"")), lambda t: F.trim(F.regexp_replace(F.trim(t), r"[,.;:?!]+$", "")))
+    rows = kept.select("file", "n", "year", "section", F.posexplode(titles).alias("place", "title")).where(F.length("title").between(shortest, longest))
+    order = {name: i for i, name in enumerate(sections)}
+    rank = F.coalesce(F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[F.col("section")], F.lit(len(order)))
+    first = F.min_by(F.struct("n", "section", "title"), F.struct(rank, "n", "place"))
+    return rows.groupBy("file", "year", normal_title(F.col("title")).alias("key")).agg(first.alias("r")).select("file", "year", "key", "r.*")
+
+
+class _Boxes(HTMLParser):
+    """Text pieces of the outermost elements that each layout (tag, attribute, value, whole) names."""
+
+    def __init__(self, layouts):
+        super().__init__(convert_charrefs=True)
+        self.layouts, self.depth, self.found = layouts, [0] * len(layouts), [[] for _ in layouts]
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(attrs)
+        for k, (wanted, name, value, whole) in enumerate(self.layouts):
+            if tag == wanted:
+                has = attrs.get(name) or ""
+                if self.depth[k] or has == value or not whole and value in has:
+                    self.depth[k] += 1
+
+    def handle_endtag(self, tag):
+        for k, layout in enumerate(self.layouts):
+            if tag == layout[0] and self.depth[k]:
+                self.depth[k] -= 1
+
+    def handle_data(self, data):
+        for k, depth in enumerate(self.depth):
+            if depth:
+                self.found[k].append(data)
+
+
+def containers(df: DataFrame, layouts, page_id: str = "page_id", page: str = "html") -> DataFrame:
+    """Text of the containers of the first layout that a page has, its pieces joined by newlines; empty where there is none.
+
+    A layout is (tag, attribute, value, whether the value is the whole attribute or a part of it)."""
+    layouts = list(layouts)
+
+    def read(batches):
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                boxes = _Boxes(layouts)
+                boxes.feed(text or "")
+                boxes.close()
+                out.append("\n".join(next((f for f in boxes.found if f), [])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["page_id", "text"])
+
+    return df.select(F.col(page_id).alias("page_id"), F.col(page).alias("html")).mapInArrow(read, f"page_id {df.schema[page_id].dataType.simpleString()}, text string")
+
+
+def title_counts(rows: DataFrame) -> DataFrame:
+    """(page_id, title, n) of the table rows whose second cell is a whole number, with or without commas."""
+    cell = lambda i: F.trim(F.regexp_replace(F.get("cells", F.lit(i)), r"\s+", " "))
+    n = F.regexp_replace(cell(1), ",", "")
+    return rows.where((F.size("cells") >= 2) & n.rlike(r"^\d{1,18}$") & (cell(0) != "")).select("page_id", cell(0).alias("title"), n.cast("long").alias("n"))
+
+
+def labelled_cell(cells: Column, label: str) -> Column:
+    """The first cell that holds a label; null if there is none."""
+    return F.get(F.filter(cells, lambda c: F.contains(c, F.lit(label))), F.lit(0))
+
+
+def linked_slug(links: Column, marker: str = "/wiki/", skipped=()) -> Column:
+    """The page that the first link with ``marker`` names, in plain words; links whose name begins with one of
+    ``skipped`` don't count."""
+    def name(link):
+        return F.regexp_replace(F.try_url_decode(F.substring_index(link, marker, -1)), "#.*$", "")
+    known = F.filter(links, lambda x: F.contains(x, F.lit(marker)))
+    names = F.filter(F.transform(known, name), lambda x: ~x.rlike("^(?:" + "|".join(skipped) + ")") if skipped else x.isNotNull())
+    return F.replace(F.get(names, F.lit(0)), F.lit("_"), F.lit(" "))
+
+
 class _Page(HTMLParser):
     """Text of a page, its tables (row spans carried down) and its linked-data scripts."""
 

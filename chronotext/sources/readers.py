@@ -1,4 +1,8 @@
-"""Tables from CSV, JSON lines, JSON arrays and checkpoints."""
+"""Tables from CSV, JSON lines, JSON arrays, checkpoints and NumPy files."""
+import io
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,3 +52,17 @@ def newest_file(spark: SparkSession, path: str) -> DataFrame:
     """The path and time of the newest file."""
     files = spark.read.format("binaryFile").load(path).select("path", "modificationTime")
     return files.orderBy(F.desc("modificationTime"), "path").limit(1)
+
+
+def npy_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n, vector) of ``.npy`` files of two dimensions; a file is read by one task, and gives rows in slices."""
+    def read(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                made = np.load(io.BytesIO(content), allow_pickle=False)
+                for at in range(0, len(made), 4096):
+                    part = np.ascontiguousarray(made[at : at + 4096], dtype="float32")
+                    vectors = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype="int32") * made.shape[1], part.ravel())
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part))), vectors], names=["file", "n", "vector"])
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path)
+    return files.select("path", "content").mapInArrow(read, "file string, n long, vector array<float>")

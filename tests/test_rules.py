@@ -83,3 +83,62 @@ def test_month_permutation(spark):
     events = spark.createDataFrame([(day(2020, 1, 1),), (day(2020, 1, 1),), (day(2020, 3, 1),), (day(2021, 1, 1),)], "e date")
     got = {r.e: (r.delta, r.p) for r in statistics.month_permutation_p(monthly, events, "month", "s", "n", "e", 1.5, 20).collect()}
     assert got[day(2020, 1, 1)] == (-0.5, 0.75) and got[day(2020, 3, 1)] == (1.5, 0.25) and got[day(2021, 1, 1)] == (None, None)
+
+
+def test_ranks_in_ranges(spark):
+    """Windows cut into ranges give the ranks and adjusted p of one window, with ties, nulls and every distribution."""
+    import numpy as np
+    from chronotext.operators import series, statistics
+    for values in ([], [None, None], [1.0], [2.0, 2.0, None, 1.0], list(np.random.default_rng(1).exponential(size=3000).round(2)), [0.5] * 900 + [float(i) for i in range(100)]):
+        df = spark.createDataFrame([(i, v if v is None else float(v)) for i, v in enumerate(values)], "i long, p double")
+        got = {r.i: r for r in statistics.benjamini_hochberg_of_many(series.percentile_rank(df.selectExpr("i", "p"), "p"), "p", "many").collect()}
+        one = {r.i: r.p_bh for r in statistics.benjamini_hochberg(df, "p").collect()}
+        known = np.array([v for v in values if v is not None], dtype=float)
+        for i, v in enumerate(values):
+            if v is None:
+                assert got[i].pct_rank is None and got[i].many is None and one[i] is None
+            else:
+                assert abs(got[i].pct_rank - ((known < v).sum() + ((known == v).sum() + 1) / 2) / len(known)) < 1e-9 and abs(got[i].many - one[i]) < 1e-9
+
+
+def test_matches_against_all_pairs(spark):
+    from chronotext.operators import linkage
+    left = [(1, "Red Moon", 2001, "Ann Lee"), (2, "Red Moon", 2009, "Ann Lee"), (3, "blue sea song", 2004, None), (4, "blue sea song", None, "Zed"), (5, "", 2004, "Ann Lee"), (6, None, 2004, "Ann Lee")]
+    right = [(10, "Red Moons", 2002, "Ann Lee", 5), (11, "Red Moon (live)", 2003, "Ann Lee and Bob", 7), (12, "blue sea", 2006, "Other", 1), (13, "blue sea", 2006, "Other", 2), (14, "Red Moon", 2001, "Nobody Else", 9)]
+    a, b = spark.createDataFrame(left, "key long, title string, year int, artist string"), spark.createDataFrame(right, "key long, title string, year int, artist string, w long")
+    got = {r.key: (r["match"].key, round(r.score, 6)) for r in linkage.constrained_match(a, b, "title", "year", "artist", "w").collect()}
+    norm = lambda t: " ".join("".join(c if c.isalnum() else " " for c in (t or "").lower()).split())
+    want = {}
+    for k, t, y, who in left:
+        best = None
+        for m, u, z, other, w in right:
+            x, o, score = norm(who), norm(other), linkage.token_set(norm(t), norm(u))
+            like = max(linkage.token_set(x, o), linkage.partial(x, o)) if x else 0.0
+            if score >= 85 and (y is None or abs(y - z) <= 2) and (not x or like >= 55):
+                best = max(best or (-1,), (score + 0.0001 * like, w, m, round(score, 6)))
+        if best:
+            want[k] = best[2:]
+    assert got == want and got[3][0] == 13
+    titles = spark.createDataFrame([("Sunset",), ("Abcdefgh",), ("Gone",), ("two words here",), ("No",), (None,), ("",)], "t string")
+    quotes = spark.createDataFrame([("sunsets at sea",), ("xxabcdefghxx",), ("words here two",), ("gon",), ("nothing",), ("no",), (None,)], "q string")
+    found = {r.title: (r.quote, r.score) for r in linkage.best_quote(titles, quotes, "t", "q").collect()}
+    assert found == {"Sunset": ("sunsets at sea", 98.0), "Abcdefgh": ("xxabcdefghxx", 95.0), "two words here": ("words here two", 100.0), "No": ("no", 100.0)}
+
+
+def test_npy_and_pages(spark, tmp_path):
+    import numpy as np
+    from chronotext.functions import text
+    from chronotext.sources import markup, readers
+    made = np.arange(5000 * 3, dtype="float64").reshape(5000, 3)
+    np.save(tmp_path / "v.npy", made)
+    rows = readers.npy_vectors(spark, str(tmp_path)).orderBy("n").collect()
+    assert [list(r.vector) for r in rows] == made.tolist() and [r.n for r in rows] == list(range(5000))
+    layouts = [("div", "data-x", "true", True), ("div", "class", "Box__", False), ("div", "class", "plain", True)]
+    pages = [(1, '<div class="a Box__b">one<br>two<div>in</div></div><p>out</p><div class="Box__c">three</div>'), (2, '<div class="plain">x &amp; y</div><div data-x="true">first</div>'), (3, "<p>none"), (4, None)]
+    got = {r.page_id: r.text for r in markup.containers(spark.createDataFrame(pages, "page_id long, html string"), layouts).collect()}
+    assert got == {1: "one\ntwo\nin\nthree", 2: "first", 3: "", 4: ""}
+    line = "This song was released long ago and it " + "goes on " * 8 + "here."
+    cases = [(None, ""), ("a\r\nb", "a\nb"), (f"{line}\n\n" * 7 + "end", f"{line}\n\n{line}\n\nend"), (line[:-1], line[:-1]), ("x Read More y", "y"), ("12 Contributors T Lyrics\nla", "la"), ("la12Embed", "la")]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string").select("i", text.clean_page(F.col("t")).alias("c"))
+    assert [r.c for r in df.orderBy("i").collect()] == [c[1] for c in cases]
+    assert spark.createDataFrame([("ﬁn Ⅳ",), (None,)], "t string").select(text.compatible("t").alias("c")).collect() == [("fin IV",), (None,)]
