@@ -192,6 +192,11 @@ SUFFIXES = (r"remix", r"remaster", r"skit", r"live", r"explicit", r"clean\s*vers
 FIRST_PERSON = ("i", "me", "my", "mine", "myself", "i'd", "i'll", "i'm", "i've", "imma", "i'ma")
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip_ends(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -203,14 +208,15 @@ def clean_page(text: Column, described=DESCRIPTIONS, at_most: int = 5, longer_th
     for pattern, put in PAGE_CHROME:
         t = F.regexp_replace(t, pattern, put)
     phrase = "|".join(described)
-    lines = F.split(strip_ends(t), "\n")
 
     def code(line):
-        line = strip_ends(line)
-        return F.when(line == "", "b").when((F.length(line) > longer_than) & F.endswith(line, F.lit(".")) & F.lower(line).rlike(phrase), "d").otherwise("x")
+        return bound(strip_ends(line), lambda x: F.when(x == "", "b").when((F.length(x) > longer_than) & F.endswith(x, F.lit(".")) & F.lower(x).rlike(phrase), "d").otherwise("x"))
+
+    def kept(lines):
+        dropped = F.length(F.regexp_extract(F.array_join(F.transform(lines, code), ""), rf"^(?:b*d){{0,{at_most}}}", 0))
+        return F.array_join(F.slice(lines, dropped + 1, F.size(lines)), "\n")
 
-    dropped = F.length(F.regexp_extract(F.array_join(F.transform(lines, code), ""), rf"^(?:b*d){{0,{at_most}}}", 0))
-    return strip_ends(F.array_join(F.slice(lines, dropped + 1, F.size(lines)), "\n"))
+    return strip_ends(bound(F.split(strip_ends(t), "\n"), kept))
 
 
 def strip_suffixes(title: Column) -> Column:
@@ -236,8 +242,8 @@ def compatible(text: pd.Series) -> pd.Series:
 def first_person_rate(text: Column, words=FIRST_PERSON) -> Column:
     """Share of first-person words among the tokens; 0 where there are none."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9']+)"))
-    mine = F.filter(found, lambda w: F.regexp_replace(w, "^'+|'+$", "").isin(*words))
-    return F.when(F.size(found) > 0, F.size(mine) / F.size(found)).otherwise(0.0)
+    mine = lambda all_words: F.filter(all_words, lambda w: F.trim(w, F.lit("'")).isin(*words))
+    return bound(found, lambda ws: F.when(F.size(ws) > 0, F.size(mine(ws)) / F.size(ws)).otherwise(0.0))
 
 
 def attributed(parsed: Column, names: str, lead: Column, rule: str = "track", unsung=("sample", "interlude", "instrumental", "skit")) -> Column:
@@ -246,7 +252,6 @@ def attributed(parsed: Column, names: str, lead: Column, rule: str = "track", un
     ``track``: a lead keeps all but sections credited to others alone, a guest what is credited to them; sections whose
     marker holds a word of ``unsung`` go.  ``role``: credited sections if there are any, else all for a lead and none
     for a guest.  ``solo``: the same, but a lead without a credit keeps what isn't credited to others."""
-    full = F.filter(parsed, lambda s: s["body"] != "")
     own = lambda s: s["credit"].rlike(f"(?i){names}")
     other = lambda s: (s["credit"] != "") & ~own(s)
     sung = lambda s: ~F.lower(s["marker"]).rlike("|".join(unsung))
@@ -254,6 +259,10 @@ def attributed(parsed: Column, names: str, lead: Column, rule: str = "track", un
     def made(kept, method):
         return F.struct(F.array_join(F.transform(kept, lambda s: s["body"]), "\n\n").alias("body"), (method if isinstance(method, Column) else F.lit(method)).alias("method"))
 
+    return bound(F.filter(parsed, lambda s: s["body"] != ""), lambda full: _by_rule(full, rule, lead, own, other, sung, made))
+
+
+def _by_rule(full, rule, lead, own, other, sung, made):
     mine, rest, nothing = F.filter(full, own), F.filter(full, lambda s: ~other(s)), F.filter(full, lambda s: F.lit(False))
     if rule == "track":
         kept = F.filter(rest, sung)

@@ -138,9 +138,10 @@ def constrained_match(left: DataFrame, right: DataFrame, title: str, year: str,
     close = F.coalesce(F.abs(F.col("l1") - F.col("r1")) <= years, F.lit(True))
     met = asked.join(pairs, "l0").join(held, "r0").where(close)
     wanted, found = normal_title(F.col("l2")), normal_title(F.col("r2"))
-    likeness = F.coalesce(F.greatest(token_set_ratio(wanted, found), partial_ratio(wanted, found)), F.lit(0.0))
-    nameless = F.coalesce(wanted, F.lit("")) == ""
-    met = met.withColumn("likeness", F.when(nameless, 0.0).otherwise(likeness)).where(nameless | (F.col("likeness") >= artist_least))
+    artists = met.select("l2", "r2").distinct().select(F.col("l2").alias("a"), F.col("r2").alias("b"), F.when(F.coalesce(wanted, F.lit("")) == "", 0.0).otherwise(
+        F.coalesce(F.greatest(token_set_ratio(wanted, found), partial_ratio(wanted, found)), F.lit(0.0))).alias("likeness"), (F.coalesce(wanted, F.lit("")) == "").alias("nameless"))
+    alike = artists.where(F.col("nameless") | (F.col("likeness") >= artist_least))
+    met = met.join(alike, F.col("l2").eqNullSafe(F.col("a")) & F.col("r2").eqNullSafe(F.col("b")))
     best = met.groupBy("l0", "l1", "l2").agg(F.max_by(F.struct("match", "score"), F.struct(F.col("score") + 0.0001 * F.col("likeness"), F.col(f"match.{weight}"), F.col("r_title"), F.col("r1"), F.col("r2"))).alias("b"))
     condition = F.lit(True)
     for i, k in enumerate(keys):

@@ -3,6 +3,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import bound
+
 
 def first_per_key(df: DataFrame, keys, order) -> DataFrame:
     """One row per key: the first in the order.  Equal rows of the order are interchangeable."""
@@ -22,14 +24,15 @@ def ranged(df: DataFrame, value: str, pieces: int = 32) -> Column:
     if not isinstance(df.schema[value].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.lit(0)
     n = pieces * pieces
-    limits = df.agg(F.percentile_approx(value, [i / n for i in range(1, n)], 10 * n)).first()[0]
+    shares = F.split(F.lit(";".join(str(i / n) for i in range(1, n))), ";").cast("array<double>")
+    limits = df.agg(F.percentile_approx(value, shares, 10 * n)).first()[0]
     if not limits:
         return F.lit(0)
-    kind = df.schema[value].dataType
+    kind = df.schema[value].dataType.simpleString()
+    literal = lambda some: F.array_sort(F.split(F.lit(";".join(map(str, some))), ";").cast(f"array<{kind}>"))
     below = lambda some: F.size(F.filter(some, lambda x: x < F.col(value)))
-    limits = [F.lit(x).cast(kind) for x in sorted(limits)]
-    coarse = below(F.array(*limits[pieces - 1 :: pieces]))
-    return coarse * pieces + below(F.slice(F.array(*limits), coarse * pieces + 1, pieces - 1))
+    limits = sorted(limits)
+    return bound(below(literal(limits[pieces - 1 :: pieces])), lambda c: c * pieces + below(F.slice(literal(limits), c * pieces + 1, pieces - 1)))
 
 
 def by_keys(left: DataFrame, right: DataFrame, keys) -> DataFrame:
