@@ -10,6 +10,7 @@ The driver holds the histogram (one count a length, at most ``capacity``) and th
 at most one new pack group and splits at most one, so there are at most 2 * ``capacity`` of them.
 """
 import heapq
+import json
 import zlib
 
 import numpy as np
@@ -33,11 +34,23 @@ def default_tokenizer():
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def takes_words_apart(settings):
+    """Whether a tokenizer folds case and takes letters, digits and signs apart, dropping white space."""
+    folds = [n.get("type") for n in (settings.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+    first = ((settings.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return folds and first.get("pattern") == {"Regex": WORDS} and (first.get("behavior"), first.get("invert")) == ("Removed", True)
+
+
 class WordCache(dict):
     """Token bytes of white-space-separated words: the tokenizer drops white space and merges within words only.
 
     A word of letters with ASCII signs behind it is encoded as the letters, folded, and then the signs: the
-    tokenizer takes them apart and folds case itself.
+    tokenizer takes them apart and folds case itself.  It does so after it has normalised them, so letters that end
+    in a mark then (a dotted capital I, letters that composition leaves apart) stay with their signs.  A tokenizer of
+    another kind encodes whole texts.
     """
 
     def __init__(self, json_text):
@@ -45,10 +58,11 @@ class WordCache(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_str(json_text)
         self.parts = {}
+        self.apart = takes_words_apart(json.loads(json_text))
 
     def __missing__(self, word):
         core = word.rstrip(SIGNS)
-        if core and core.decode().isalpha():
+        if self._is_letters(core, len(core) < len(word)):
             ids = self._part(core.lower())
             if len(core) < len(word):
                 ids += self._part(word[len(core) :])
@@ -60,6 +74,12 @@ class WordCache(dict):
             self[word] = ids
         return ids
 
+    def _is_letters(self, core, before_signs):
+        if not core or core.isascii() or not before_signs:
+            return core.decode().isalpha()
+        text = core.decode()
+        return text.isalpha() and self.tokenizer.normalizer.normalize_str(text)[-1].isalpha()
+
     def _part(self, part):
         ids = self.parts.get(part)
         if ids is None:
@@ -72,6 +92,8 @@ class WordCache(dict):
 
     def encode(self, text):
         """Little-endian unsigned 32-bit ids of a UTF-8 text."""
+        if not self.apart:
+            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
         return b"".join(map(self.__getitem__, text.split()))
 
 

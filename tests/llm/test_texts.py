@@ -3,6 +3,7 @@ import collections
 import math
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -85,7 +86,7 @@ def test_decontaminate_does_not_depend_on_blocks(spark, block):
 def test_packing(spark):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
-    texts = cases.TEXTS + ["<|endoftext|> don't <|startoftext|>x", "ÀÉ é İ Σς 123,456!! a_b"]
+    texts = cases.TEXTS + ["<|endoftext|> don't <|startoftext|>x", "ÀÉ é İ Σς 123,456!! a_b", "İZMİR, KAYSERİ. ANKARALİ, dedi", "क़, ड़. ख़! שׁ, 가, ﬁ. ǰ? ẗ; ŉ, ΐ."]
     df = cases.frame(spark, texts)
     pieces = packing.token_pieces(df, capacity=256)
     packed = packing.pack_pieces(pieces, 256).collect()
@@ -111,6 +112,19 @@ def test_packing(spark):
     assert packing.pack_pieces(packing.token_pieces(df.limit(0))).count() == 0
 
 
+def test_words_with_signs_encode_as_the_tokenizer_does():
+    from tokenizers import Tokenizer
+    with open(packing.default_tokenizer(), encoding="utf-8") as file:
+        settings = file.read()
+    tokenizer, cache = Tokenizer.from_str(settings), packing.WordCache(settings)
+    assert cache.apart
+    letters = [chr(c) for c in range(0x80, 0x30000) if chr(c).isalpha() and (len(chr(c).lower()) > 1 or unicodedata.normalize("NFC", chr(c)) != chr(c) or c % 97 == 0)]
+    r = random.Random(8)
+    words = [f"{x}{sign}" for x in letters for sign in (",", ".\"")] + ["".join(r.choices([*letters, "İ", "a", "B"], k=r.randrange(1, 5))) + r.choice([",", "!?", "...", "-", ""]) for _ in range(3000)]
+    for word in words:
+        assert cache.encode(word.encode()) == b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(word, add_special_tokens=False).ids), word
+
+
 def test_pack_histogram():
     counts = {3: 5, 5: 2, 8: 1, 1: 9}
     patterns = packing.pack_histogram(counts, 8)
