@@ -1,16 +1,16 @@
 """Record linkage by normal and fuzzy keys.
 
-Fuzzy scores are 0 to 100, from the longest common subsequence: 100 * 2 * L / (m + n).  Fuzzy candidates come from
-shared words of the normal titles, never from all pairs; a word's posting list is split by the rarest shared word.
-Containment is found by character strings and needs no shared word.
+Fuzzy scores are 0 to 100, from the longest common subsequence: 100 * 2 * L / (m + n).  Fuzzy pairs come from
+``fuzzy.similar_titles``, which finds all of them without a shared word.  Containment is found by character strings.
 """
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.text import compact_title, normal_title
+from ..functions.text import compact_title, normal_title, relaxed_title
+from .fuzzy import similar_titles
 from .series import first_per_key
 
 
@@ -61,23 +61,23 @@ def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else partial(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def candidates(left: DataFrame, right: DataFrame, left_title: str, right_title: str) -> DataFrame:
-    """Pairs (structs ``l`` and ``r``) whose normal titles share a word; each pair once, by its rarest shared word."""
-    def worded(df, title, name):
-        normal = normal_title(F.col(title))
-        return df.select(F.struct(*df.columns).alias(name), normal.alias(f"{name}_title"), F.explode(F.array_distinct(F.split(normal, " "))).alias("word")).where("word <> ''")
-    a, b = worded(left, left_title, "l"), worded(right, right_title, "r")
-    frequency = b.groupBy("word").agg(F.count("*").alias("f"))
-    order = Window.partitionBy("l", "r").orderBy("f", "word")
-    pairs = a.join(frequency, "word").join(b, "word")
-    return pairs.withColumn("__n", F.row_number().over(order)).where("__n = 1").select("l", "r", "l_title", "r_title")
-
-
 def best_match(left: DataFrame, right: DataFrame, left_title: str, right_title: str, weight: str, threshold: float = 88.0, extra: Column | None = None) -> DataFrame:
-    """Each left row's best right row by token-set ratio, the heavier one on a tie; ``extra`` is added to the score."""
-    scored = candidates(left, right, left_title, right_title).withColumn("score", token_set_ratio("l_title", "r_title"))
-    scored = scored.withColumn("total", F.col("score") + (extra if extra is not None else F.lit(0.0))).where(F.col("score") >= threshold)
-    best = scored.groupBy("l").agg(F.max_by(F.struct("r", "score"), F.struct("total", F.col(f"r.{weight}"), F.col("r_title"))).alias("b"))
+    """Each left row's best right row by token-set ratio, the heavier one on a tie, then the greater normal title.
+
+    ``extra``, an expression over the structs ``l`` and ``r``, is added to the score when the best is chosen.  Without it
+    the heaviest right row of a normal title stands for all of them."""
+    x, y = left.withColumn("__l", normal_title(F.col(left_title))), right.withColumn("__r", normal_title(F.col(right_title)))
+    pairs = similar_titles(x, y, "__l", "__r", threshold)
+    heaviness = F.struct(F.col(weight).isNotNull(), weight, F.xxhash64(*right.columns))
+    row = F.struct(*[right[c] for c in right.columns])
+    if extra is None:
+        held = y.where(F.col("__r") != "").groupBy("__r").agg(F.max_by(row, heaviness).alias("r"))
+        order = F.struct("score", F.col(f"r.{weight}"), "b")
+        best = pairs.join(held, F.col("b") == F.col("__r")).groupBy("a").agg(F.max_by(F.struct("r", "score"), order).alias("__best"))
+        return x.join(best, F.col("__l") == F.col("a")).select(*[x[c] for c in left.columns], F.col("__best.r").alias("match"), F.col("__best.score").alias("score"))
+    full = x.select(F.struct(*left.columns).alias("l"), "__l").join(pairs, F.col("__l") == F.col("a")).join(y.select(row.alias("r"), "__r"), F.col("b") == F.col("__r"))
+    full = full.select("l", "r", F.col("a").alias("l_title"), F.col("b").alias("r_title"), "score").withColumn("total", F.col("score") + extra)
+    best = full.groupBy("l").agg(F.max_by(F.struct("r", "score"), F.struct("total", F.col(f"r.{weight}"), F.col("r_title"))).alias("b"))
     return best.select("l.*", F.col("b.r").alias("match"), F.col("b.score").alias("score"))
 
 
@@ -134,7 +134,8 @@ def constrained_match(left: DataFrame, right: DataFrame, title: str, year: str,
     heaviest = F.max_by(F.struct(*right.columns), F.struct(F.col(weight).isNotNull(), weight, F.xxhash64(*right.columns)))
     asked = left.select(*[F.col(k).alias(f"l{i}") for i, k in enumerate(keys)]).distinct()
     held = right.groupBy(*[F.col(k).alias(f"r{i}") for i, k in enumerate(keys)]).agg(heaviest.alias("match"))
-    pairs = candidates(asked.select("l0").distinct(), held.select("r0").distinct(), "l0", "r0").select("l.l0", "r.r0", "r_title", token_set_ratio("l_title", "r_title").alias("score")).where(F.col("score") >= least)
+    x, y = asked.select("l0").distinct().withColumn("a", normal_title(F.col("l0"))), held.select("r0").distinct().withColumn("b", normal_title(F.col("r0")))
+    pairs = x.join(similar_titles(x, y, "a", "b", least), "a").join(y, "b").select("l0", "r0", F.col("b").alias("r_title"), "score")
     close = F.coalesce(F.abs(F.col("l1") - F.col("r1")) <= years, F.lit(True))
     met = asked.join(pairs, "l0").join(held, "r0").where(close)
     wanted, found = normal_title(F.col("l2")), normal_title(F.col("r2"))
@@ -149,15 +150,25 @@ def constrained_match(left: DataFrame, right: DataFrame, title: str, year: str,
     return left.join(best, condition).select(*[left[c] for c in left.columns], F.col("b.match").alias("match"), F.col("b.score").alias("score"))
 
 
-def best_quote(titles: DataFrame, quotes: DataFrame, title: str, quote: str, least: float = 82.0) -> DataFrame:
+def title_variants(title: Column) -> Column:
+    """A title as it is, without a last dot, and without brackets and a tail of guests."""
+    plain = F.regexp_replace(F.trim(title), r"\.+$", "")
+    return F.array_distinct(F.array(F.trim(title), relaxed_title(title), plain, relaxed_title(plain)))
+
+
+def best_quote(titles: DataFrame, quotes: DataFrame, title: str, quote: str, least: float = 82.0, variants: Column | None = None) -> DataFrame:
     """Each title's best quotation (the smallest on a tie) and its score, from ``least`` on.
 
+    ``variants``, an array such as ``title_variants`` gives, names the wordings that are tried for a title.
+
     98 if a title of at most 7 letters and digits is the quotation, or (from 4 on) its beginning; 95 if one of at least
-    8 lies in the quotation or the other way round; else the token-set ratio, for those that share a word."""
+    8 lies in the quotation or the other way round; else the token-set ratio."""
     said = quotes.select(F.col(quote).alias("quote")).where(normal_title(F.col(quote)) != "").distinct()
-    asked = titles.select(F.col(title).alias("title")).where(normal_title(F.col(title)) != "").distinct()
-    near = candidates(asked, said, "title", "quote").select("l.title", "r.quote", token_set_ratio("l_title", "r_title").alias("score"))
-    small, big = asked.withColumn("c", compact_title(F.col("title"))), said.withColumn("c", compact_title(F.col("quote")))
+    wordings = F.array(F.col(title)) if variants is None else variants
+    asked = titles.select(F.col(title).alias("title"), F.explode(wordings).alias("said")).where(normal_title(F.col("said")) != "").distinct()
+    x, y = asked.withColumn("a", normal_title(F.col("said"))), said.withColumn("b", normal_title(F.col("quote")))
+    near = x.join(similar_titles(x, y, "a", "b", least), "a").join(y, "b").select("title", "quote", "score")
+    small, big = asked.withColumn("c", compact_title(F.col("said"))), said.withColumn("c", compact_title(F.col("quote")))
     held = contained(small.where("length(c) >= 8"), big.where("length(c) >= 8"), "c", "c", longer_than=7).select("l.title", "r.quote", F.lit(95.0).alias("score"))
     starts = big.select("quote", F.explode(F.array_distinct(F.concat(F.array("c"), F.transform(F.sequence(F.lit(4), F.lit(7)), lambda k: F.left("c", k))))).alias("c"))
     begun = small.where("length(c) <= 7").join(starts, "c").select("title", "quote", F.lit(98.0).alias("score"))

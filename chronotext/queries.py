@@ -471,10 +471,13 @@ def replayable_bootstrap(spark, sf_dir):
 
 
 @register("""
-WITH h AS (SELECT p_partkey, (p_size % 50) / 1000 + 0.001 AS p FROM part), r AS (SELECT p_partkey, p, (rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1) AS r, count(*) OVER () AS m FROM h)
-SELECT p_partkey, round(least(1.0, min(p * m / r) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 9) AS p_bh FROM r""")
+WITH h AS (SELECT p_partkey, CASE p_partkey % 11 WHEN 3 THEN 'NaN'::DOUBLE WHEN 4 THEN 1.5 WHEN 5 THEN NULL ELSE (p_size % 50) / 1000 + 0.001 END AS p FROM part),
+r AS (SELECT p_partkey, p, (rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1) AS r, count(*) OVER () AS m FROM h WHERE p_partkey % 11 NOT IN (3, 4, 5))
+SELECT p_partkey, round(least(1.0, min(p * m / r) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 9) AS p_bh FROM r UNION ALL SELECT p_partkey, p FROM h WHERE p_partkey % 11 IN (3, 4, 5)""")
 def false_discovery(spark, sf_dir):
-    h = table(spark, sf_dir, "part").select("p_partkey", ((F.col("p_size") % 50) / 1000 + 0.001).alias("p"))
+    kind = F.col("p_partkey") % 11
+    p = F.when(kind == 3, float("nan")).when(kind == 4, 1.5).when(kind != 5, (F.col("p_size") % 50) / 1000 + 0.001)
+    h = table(spark, sf_dir, "part").select("p_partkey", p.alias("p"))
     return statistics.benjamini_hochberg_of_many(h, "p").select("p_partkey", F.round("p_bh", 9).alias("p_bh"))
 
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import linkage, statistics
-from .queries import register, table
+from .queries import ORACLE_SQL, register, table
 from .sources import markup
 
 
@@ -159,6 +159,57 @@ def guarded_lookups(spark, sf_dir):
     return linkage.lookup_chain(o, [(c, "o_custkey", "c_custkey", "c_name", F.col("c_acctbal") > 0), (second, "o_orderpriority", "k", "v")]).select("o_orderkey", "found")
 
 
+def _lcs(a, b):
+    """SQL for the length of the longest common subsequence: one row of the table for each character of ``a``."""
+    step = "{'c': '', 'r': list_reduce(list_transform(range(0, len(x.r)), lambda j: [j]), lambda u, v: CASE WHEN v[1] = 1 THEN [0, CASE WHEN y.c = y.b[1] THEN 1 ELSE x.r[2] END] ELSE u || [CASE WHEN y.c = y.b[v[1]] THEN x.r[v[1]] + 1 ELSE greatest(u[-1], x.r[v[1] + 1]) END] END), 'b': y.b}"
+    chars = f"list_transform(string_split({a}, ''), lambda c: {{'c': c, 'r': [0::BIGINT], 'b': string_split({b}, '')}})"
+    start = f"{{'c': '', 'r': list_transform(range(0, length({b}) + 1), lambda z: 0::BIGINT), 'b': string_split({b}, '')}}"
+    return f"list_reduce([{start}] || {chars}, lambda x, y: {step}).r[-1]"
+
+
+NORMAL = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+# Pairs of tables a (l) and b (r) of normal titles with their token-set ratio, written out.
+TOKEN_SETS = f"""w AS (
+  SELECT l, r, list_sort(list_distinct(string_split(l, ' '))) AS x, list_sort(list_distinct(string_split(r, ' '))) AS y FROM a, b WHERE l <> '' AND r <> ''
+), s AS (
+  SELECT l, r, array_to_string(list_filter(x, lambda q: list_contains(y, q)), ' ') AS c, array_to_string(list_filter(x, lambda q: NOT list_contains(y, q)), ' ') AS p, array_to_string(list_filter(y, lambda q: NOT list_contains(x, q)), ' ') AS q FROM w
+), t AS (
+  SELECT l, r, c, p, q, trim(c || ' ' || p) AS m, trim(c || ' ' || q) AS n FROM s
+), pairs AS (
+  SELECT l, r, CASE WHEN c <> '' AND (p = '' OR q = '') THEN 100.0 ELSE greatest(200.0 * {_lcs('m', 'n')} / (length(m) + length(n)),
+    CASE WHEN c <> '' THEN 200.0 * length(c) / (length(c) + length(m)) ELSE 0 END, CASE WHEN c <> '' THEN 200.0 * length(c) / (length(c) + length(n)) ELSE 0 END) END AS score FROM t
+)"""
+
+
+@register(f"""
+WITH k AS (SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY p_name), o AS (SELECT {NORMAL.format("left(p_name, 2) || p_name[4:]")} AS l, p_partkey FROM k),
+h AS (SELECT {NORMAL.format("p_name")} AS r, p_partkey AS other FROM k), a AS (SELECT DISTINCT l FROM o), b AS (SELECT DISTINCT r FROM h), {TOKEN_SETS}
+SELECT p_partkey, arg_max(other, {{'s': score, 'o': other}}) AS other, round(max(score), 6) AS score FROM pairs JOIN o USING (l) JOIN h USING (r) WHERE score >= 85 GROUP BY p_partkey""")
+def typed_parts(spark, sf_dir):
+    """Part names whose third letter was left out, so that a word differs, and the names that they stand for."""
+    k = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))
+    typed = k.select("p_partkey", F.concat(F.left("p_name", F.lit(2)), F.substring("p_name", 4, 1000)).alias("typed"))
+    out = linkage.best_match(typed, k.select("p_name", F.col("p_partkey").alias("other")), "typed", "p_name", "other", 85.0)
+    return out.select("p_partkey", F.col("match.other").alias("other"), F.round("score", 6).alias("score"))
+
+
+ORACLE_SQL["fuzzy_parts"] = f"""
+WITH k AS (SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY p_name), o AS (SELECT {NORMAL.format("p_name")} AS l, p_partkey FROM k),
+h AS (SELECT {NORMAL.format("p_name || ' deluxe'")} AS r, p_partkey AS other FROM k), a AS (SELECT DISTINCT l FROM o), b AS (SELECT DISTINCT r FROM h), {TOKEN_SETS}
+SELECT p_partkey, arg_max(other, {{'s': score, 'o': other}}) AS other, round(max(score), 6) AS score FROM pairs JOIN o USING (l) JOIN h USING (r) WHERE score >= 60 GROUP BY p_partkey"""
+
+
+@register()
+def typed_titles(spark, sf_dir):
+    """First words of all documents, with one letter left out by a hash, and the most frequent right ones."""
+    first = F.concat_ws(" ", F.slice(F.split(F.trim("text"), r"\s+"), 1, 4))
+    titles = table(spark, sf_dir, "documents").select(first.alias("title")).groupBy("title").agg(F.count("*").alias("n"))
+    at = F.pmod(F.xxhash64("title"), F.greatest(F.length("title"), F.lit(1))).cast("int")
+    typed = titles.select(F.concat(F.left("title", at), F.expr("substring(title, {} + 2)".format("cast(pmod(xxhash64(title), greatest(length(title), 1)) as int)"))).alias("typed")).distinct()
+    out = linkage.best_match(typed, titles, "typed", "title", "n")
+    return out.select("typed", F.col("match.title").alias("title"), F.col("match.n").alias("n"), F.round("score", 6).alias("score"))
+
+
 def _titled(spark, sf_dir, tail):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.concat("p_name", F.lit(tail)).alias("title"), (F.lit(1990) + F.col("p_partkey") % 30).cast("int").alias("year"), F.col("p_brand").alias("artist"), "p_size")
 
@@ -170,7 +221,13 @@ def constrained_matches(spark, sf_dir):
     return out.select("key", F.col("match.key").alias("matched"), F.round("score", 6).alias("score"))
 
 
-@register()
+@register(f"""
+WITH u AS (SELECT DISTINCT p_name AS title FROM part), v AS (SELECT DISTINCT 'the ' || p_name || ' set' AS quote FROM part WHERE p_partkey % 2 = 0),
+x AS (SELECT title, {NORMAL.format("title")} AS l FROM u), z AS (SELECT quote, {NORMAL.format("quote")} AS r FROM v), a AS (SELECT DISTINCT l FROM x), b AS (SELECT DISTINCT r FROM z), {TOKEN_SETS},
+f AS (SELECT title, quote, score, replace(l, ' ', '') AS g, replace(r, ' ', '') AS h FROM pairs JOIN x USING (l) JOIN z USING (r)),
+every AS (SELECT title, quote, greatest(score, CASE WHEN length(g) >= 8 AND length(h) >= 8 AND (contains(h, g) OR contains(g, h)) THEN 95 ELSE 0 END,
+  CASE WHEN length(g) <= 7 AND (g = h OR (length(g) >= 4 AND starts_with(h, g))) THEN 98 ELSE 0 END) AS score FROM f)
+SELECT title, arg_min(quote, {{'s': -score, 'q': quote}}) AS quote, round(max(score), 6) AS score FROM every WHERE score >= 82 GROUP BY title""")
 def best_quotes(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     quotes = p.where("p_partkey % 2 = 0").select(F.concat(F.lit("the "), "p_name", F.lit(" set")).alias("quote"))

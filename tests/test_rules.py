@@ -101,6 +101,15 @@ def test_ranks_in_ranges(spark):
                 assert abs(got[i].pct_rank - ((known < v).sum() + ((known == v).sum() + 1) / 2) / len(known)) < 1e-9 and abs(got[i].many - one[i]) < 1e-9
 
 
+def test_adjusted_p_of_what_is_no_p(spark):
+    import math
+    from chronotext.operators import statistics
+    df = spark.createDataFrame([(0, 0.01), (1, 0.02), (2, float("nan")), (3, None), (4, 1.5), (5, -0.1), (6, float("inf"))], "i int, p double")
+    for f in (statistics.benjamini_hochberg, statistics.benjamini_hochberg_of_many):
+        got = {r.i: r.p_bh for r in f(df, "p").collect()}
+        assert (got[0], got[1]) == (0.02, 0.02) and math.isnan(got[2]) and got[3] is None and (got[4], got[5], got[6]) == (1.5, -0.1, math.inf)
+
+
 def test_matches_against_all_pairs(spark):
     from chronotext.operators import linkage
     left = [(1, "Red Moon", 2001, "Ann Lee"), (2, "Red Moon", 2009, "Ann Lee"), (3, "blue sea song", 2004, None), (4, "blue sea song", None, "Zed"), (5, "", 2004, "Ann Lee"), (6, None, 2004, "Ann Lee")]
@@ -122,7 +131,10 @@ def test_matches_against_all_pairs(spark):
     titles = spark.createDataFrame([("Sunset",), ("Abcdefgh",), ("Gone",), ("two words here",), ("No",), (None,), ("",)], "t string")
     quotes = spark.createDataFrame([("sunsets at sea",), ("xxabcdefghxx",), ("words here two",), ("gon",), ("nothing",), ("no",), (None,)], "q string")
     found = {r.title: (r.quote, r.score) for r in linkage.best_quote(titles, quotes, "t", "q").collect()}
+    assert found.pop("Gone")[0] == "gon"
     assert found == {"Sunset": ("sunsets at sea", 98.0), "Abcdefgh": ("xxabcdefghxx", 95.0), "two words here": ("words here two", 100.0), "No": ("no", 100.0)}
+    tried = {r.title: r.quote for r in linkage.best_quote(spark.createDataFrame([("Late Night (Remix).",)], "t string"), spark.createDataFrame([("late nihgt",)], "q string"), "t", "q", variants=linkage.title_variants(F.col("t"))).collect()}
+    assert tried == {"Late Night (Remix).": "late nihgt"}
 
 
 def test_npy_and_pages(spark, tmp_path):
