@@ -61,8 +61,11 @@ def disagreement(a: Column, b: Column, least: float = 0.5) -> Column:
     return F.coalesce((F.signum(a) * F.signum(b) < 0) & (F.abs(a - b) >= least), F.lit(False))
 
 
-def topics(df: DataFrame, key: str, words: Column, k: int = 10, vocabulary: int = 5000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Latent topics of rows: (key, topic, weight) and each topic's ten first words."""
+def topics(df: DataFrame, key: str, words: Column, k: int = 10, vocabulary: int = 1 << 18, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Latent topics of rows: (key, topic, weight) and each topic's ten first words.
+
+    The model holds k numbers a term on the driver, so only the ``vocabulary`` most frequent terms of two rows or more
+    count; ``density.density_topics`` has no such bound, and outliers."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array

@@ -657,7 +657,7 @@ def dictionary_sentiment(spark, sf_dir):
 def document_topics(spark, sf_dir):
     from .operators import models
     d = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("ws"))
-    return models.topics(d, "doc_id", F.col("ws"), k=4, vocabulary=2000)[0]
+    return models.topics(d, "doc_id", F.col("ws"), k=4, vocabulary=1 << 18)[0]
 
 
 @register("""

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import tagging
+from .operators import density, tagging
 from .queries import WORDS, register, table
 
 _FIRST = "'i', 'me', 'my', 'mine', 'myself'"
@@ -38,3 +38,11 @@ def document_tags(spark, sf_dir):
     counts = {t.lower(): F.sum(tagging.count_tags(tags, t)).alias(t.lower()) for t in ("NOUN", "VERB", "ADJ")}
     passed = {"varied": tagging.varied(ws, tags), "lexical": tagging.lexical_line(ws, tags), "pronoun": tagging.pronoun_line(ws, tags, 0.15)}
     return tagging.tagged(s, model).groupBy("doc_id").agg(F.count("*").alias("sentences"), *counts.values(), *(F.count_if(c).alias(f"n_{k}") for k, c in passed.items()))
+
+
+@register()
+def density_topics(spark, sf_dir):
+    """Each document's topic by density (-1 for outliers) and the topic's first words."""
+    d = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("ws"))
+    assigned, topics = density.density_topics(d, "doc_id", F.col("ws"))
+    return assigned.join(topics, "topic").select("doc_id", "topic", "size", F.array_join("top_words", " ").alias("top_words"))
