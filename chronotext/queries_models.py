@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import density, tagging
+from .operators import density, embeddings, linear, models, tagging
 from .queries import WORDS, register, table
 
 _FIRST = "'i', 'me', 'my', 'mine', 'myself'"
@@ -46,3 +46,32 @@ def density_topics(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("ws"))
     assigned, topics = density.density_topics(d, "doc_id", F.col("ws"))
     return assigned.join(topics, "topic").select("doc_id", "topic", "size", F.array_join("top_words", " ").alias("top_words"))
+
+
+@register(f"""
+WITH d AS (SELECT {WORDS} AS ws FROM documents), e AS (SELECT unnest(ws) AS a, unnest(ws[2:]) AS b1, unnest(ws[3:]) AS b2 FROM d),
+p AS (SELECT a, b1 AS b FROM e WHERE b1 IS NOT NULL AND a IS NOT NULL UNION ALL SELECT a, b2 FROM e WHERE b2 IS NOT NULL AND a IS NOT NULL),
+c AS (SELECT a, b, count(*) AS c FROM (SELECT a, b FROM p UNION ALL SELECT b, a FROM p) GROUP BY a, b), n AS (SELECT a, sum(c) AS n FROM c GROUP BY a), t AS (SELECT sum(c) AS total FROM c),
+m AS (SELECT c.a, c.b, ln(c * total / (x.n * y.n)) AS m FROM c JOIN n x ON c.a = x.a JOIN n y ON c.b = y.a, t)
+SELECT a AS word, count(*) AS partners, round(max(m), 6) AS most FROM m WHERE m > 0 GROUP BY a""")
+def word_information(spark, sf_dir):
+    """Each word's partners of positive mutual information at most two places away, and the greatest."""
+    d = table(spark, sf_dir, "documents").select(text.tokens(F.col("text")).alias("ws"))
+    return embeddings.pair_information(d, F.col("ws"), 2).groupBy(F.col("a").alias("word")).agg(F.count("*").alias("partners"), F.round(F.max("m"), 6).alias("most"))
+
+
+@register()
+def document_embeddings(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("ws"))
+    vectors, _ = embeddings.word_vectors(d, F.col("ws"), passes=1)
+    return embeddings.text_embeddings(d, "doc_id", F.col("ws"), vectors).select("doc_id", F.transform("embedding", lambda v: F.round(v, 6)).alias("embedding"))
+
+
+@register()
+def scored_documents(spark, sf_dir):
+    """Three classes learnt from all labelled rows, and scores of every document: negative is toxic, positive of quality."""
+    d, l = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    kind = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").when(F.col("quality") == 0, "neutral")
+    model = linear.fit(d.join(l, "doc_id").select("text", kind.alias("label")), "text", "label", ["negative", "neutral", "positive"], rounds=10)
+    load, schema = linear.scorer(model)
+    return models.score_rows(d, "text", load, schema).drop("text")
