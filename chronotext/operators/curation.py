@@ -11,11 +11,14 @@ def curated(rows: DataFrame, title: str, text: str, value: str, bucket: str, ok:
     order = [F.desc(value), title, text]
     best = Window.partitionBy(title, F.lower(squeeze(F.col(text)))).orderBy(*order)
     once = rows.withColumn("__n", F.row_number().over(best)).where("__n = 1").where(F.coalesce(ok, F.lit(False)))
-    place, cap = F.lit(len(caps)), F.lit(total)
-    for i, (name, most) in reversed(list(enumerate(caps.items()))):
-        place, cap = F.when(F.col(bucket) == name, i).otherwise(place), F.when(F.col(bucket) == name, min(most, total)).otherwise(cap)
-    placed = once.withColumns({"__place": place, "__cap": cap})
-    ranked = placed.withColumn("__n", F.row_number().over(Window.partitionBy("__place").orderBy(*order))).where("__place = {0} or __n <= __cap".format(len(caps)))
+    place = F.lit(len(caps))
+    for i, name in reversed(list(enumerate(caps))):
+        place = F.when(F.col(bucket) == name, i).otherwise(place)
+    placed = once.withColumn("__place", place)
+    # A bucket's best are a sort with a limit, which each task applies first; the buckets without a cap need no ranks.
+    ranked = placed.where(F.col("__place") == len(caps))
+    for i, most in enumerate(caps.values()):
+        ranked = ranked.unionAll(placed.where(F.col("__place") == i).orderBy(*order).limit(min(most, total)))
     first = Window.partitionBy(title, skeleton(F.col(text))).orderBy("__place", *order)
     distinct = ranked.withColumn("__n", F.row_number().over(first)).where("__n = 1")
     # The limit comes before the ranks: no window goes over all rows.

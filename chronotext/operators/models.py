@@ -40,12 +40,13 @@ def sentiment(df: DataFrame, key, words: Column, lexicon: DataFrame) -> DataFram
     """Dictionary sentiment of rows of words: each entry's valence, boosted or turned by the three words before it,
     summed and brought to -1 to 1 (``compound``), and the shares of positive, negative and neutral words.
 
-    ``lexicon`` (term, valence) is a small configuration table."""
-    terms = F.broadcast(lexicon.select("term", F.col("valence").cast("double")))
+    ``lexicon`` (term, valence) has one row a term, and any number of them.  A row of the plan holds a word and the three
+    before it, so the work is in proportion to the words, however long a text is."""
     keys = list(key)
-    rows = df.select(*keys, F.posexplode(words).alias("i", "term"), words.alias("__ws"))
-    scored = rows.join(terms, "term", "left")
-    before = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.get(F.col("__ws"), F.col("i") - k))
+    near = F.transform(words, lambda w, i: F.struct(w.alias("term"), *(F.get(words, i - k).alias(f"w{k}") for k in (1, 2, 3))))
+    rows = df.select(*keys, F.explode(near).alias("n")).select(*keys, "n.*")
+    scored = rows.join(lexicon.select("term", F.col("valence").cast("double")), "term", "left")
+    before = F.array("w1", "w2", "w3")
     boost = F.lit(0.0)
     for w, b in BOOST.items():
         boost = boost + F.when(F.array_contains(before, w), b).otherwise(0.0)

@@ -3,6 +3,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dedup_key, normal_title, relaxed_title, squeeze
+from .series import ranged
 
 
 def to_acquire(wanted: DataFrame, done: DataFrame, title: str, artist: str, ordinal: str, skip: Column, limit: int | None = None) -> DataFrame:
@@ -38,7 +39,7 @@ def second_attempt(left: DataFrame, right: DataFrame, title: str, right_title: s
 
 def routed(targets: DataFrame, overrides: DataFrame, key: str, url: str, detail: str) -> DataFrame:
     """An override's address, else one in the free text of a detail, else the own one; and what was done."""
-    out = targets.join(F.broadcast(overrides.select(key, F.col("url").alias("__o"))), key, "left")
+    out = targets.join(overrides.select(key, F.col("url").alias("__o")), key, "left")
     in_detail = F.nullif(F.regexp_extract(detail, r"(https?://\S+)", 1), F.lit(""))
     chosen = F.coalesce("__o", in_detail, url)
     status = F.when(F.col("__o").isNotNull(), "override").when(in_detail.isNotNull(), "from_detail").when(F.col(url).isNotNull(), "own").otherwise("none")
@@ -160,9 +161,16 @@ def enriched(items: DataFrame, catalogue: DataFrame, title: str) -> DataFrame:
 
 
 def misses(scored: DataFrame, score: str, threshold: float, order) -> DataFrame:
-    """What a matcher left below its threshold, the nearest misses first."""
-    below = F.coalesce(F.col(score) < threshold, F.lit(True))
-    return scored.where(below).withColumn("miss_rank", F.row_number().over(Window.partitionBy(below).orderBy(F.desc_nulls_last(score), *order)))
+    """What a matcher left below its threshold, the nearest misses first.
+
+    Rows are ranked inside ranges of the score, and one row a range carries the counts on, so no window goes over all."""
+    below = scored.where(F.coalesce(F.col(score) < threshold, F.lit(True)))
+    placed = below.withColumn("__part", F.when(F.col(score).isNull(), 1).otherwise(-ranged(below, score)))
+    counts = placed.groupBy("__part").agg(F.count("*").alias("__c"))
+    before = F.coalesce(F.sum("__c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(F.desc_nulls_last(score), *order))
+    ranked = placed.withColumn("__n", inside).join(counts.select("__part", before.alias("__before")), "__part")
+    return ranked.select(*scored.columns, (F.col("__n") + F.col("__before")).cast("int").alias("miss_rank"))
 
 
 def reflagged(rows: DataFrame, flags: DataFrame, key: str, template: str = "flagged: %s") -> DataFrame:

@@ -26,7 +26,7 @@ def patch(table: DataFrame, patches: DataFrame, key: str) -> DataFrame:
     """``patches`` (key, column, value): cells are set, or cleared where the value is null."""
     columns = [r[0] for r in patches.select("column").distinct().collect()]
     wide = patches.groupBy(F.col(key).alias("__k")).agg(*[F.first(F.when(F.col("column") == c, F.struct(F.col("value").alias("v"))), ignorenulls=True).alias(f"__p_{c}") for c in columns])
-    out = table.join(F.broadcast(wide), F.col(key) == F.col("__k"), "left")
+    out = table.join(wide, F.col(key) == F.col("__k"), "left")
     return out.select(*[F.when(F.col(f"__p_{c}").isNotNull(), F.col(f"__p_{c}.v").cast(table.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in table.columns])
 
 
@@ -39,4 +39,4 @@ def without_any(df: DataFrame, exclusions) -> DataFrame:
 
 def grid(a: DataFrame, b: DataFrame, results: DataFrame, keys, status: str = "status", sentinel: str = "not_found") -> DataFrame:
     """Every pair of two small tables with its result, or a sentinel."""
-    return a.crossJoin(F.broadcast(b)).join(results, list(keys), "left").withColumn(status, F.coalesce(F.col(status), F.lit(sentinel)))
+    return a.crossJoin(b).join(results, list(keys), "left").withColumn(status, F.coalesce(F.col(status), F.lit(sentinel)))

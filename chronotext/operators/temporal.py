@@ -67,7 +67,7 @@ def trailing_counts(facts: DataFrame, events: DataFrame, fact_time: str, event_t
     events.
     """
     conditions = conditions or {"events": F.lit(True)}
-    running = F.broadcast(daily_counts(events, event_time, conditions))  # one row a day of the calendar
+    running = daily_counts(events, event_time, conditions)  # one row a day of the calendar
     span = running.agg(F.min("day").alias("__first"), F.max("day").alias("__last"))
     out = facts.crossJoin(F.broadcast(span))
 

@@ -644,7 +644,14 @@ def quartile_consensus(spark, sf_dir):
 LEXICON = {"the": 0.5, "thing": 1.5, "and": -0.5, "ered": 2.0, "inst": -1.0, "que": 1.0, "der": -1.5}
 
 
-@register()
+@register(f"""
+WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents), e AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
+w AS (SELECT doc_id, ws[i] AS term, list_filter([CASE WHEN i > 1 THEN ws[i - 1] END, CASE WHEN i > 2 THEN ws[i - 2] END, CASE WHEN i > 3 THEN ws[i - 3] END], lambda x: x IS NOT NULL) AS b FROM e),
+l AS (SELECT * FROM (VALUES ('the', 0.5), ('thing', 1.5), ('and', -0.5), ('ered', 2.0), ('inst', -1.0), ('que', 1.0), ('der', -1.5)) t(term, valence)),
+v AS (SELECT doc_id, coalesce((valence::DOUBLE + sign(valence) * (CASE WHEN list_contains(b, 'very') THEN 0.293 ELSE 0 END + CASE WHEN list_contains(b, 'really') THEN 0.293 ELSE 0 END + CASE WHEN list_contains(b, 'so') THEN 0.293 ELSE 0 END
+  - CASE WHEN list_contains(b, 'slightly') THEN 0.293 ELSE 0 END - CASE WHEN list_contains(b, 'barely') THEN 0.293 ELSE 0 END))
+  * CASE WHEN list_has_any(b, ['not', 'no', 'never', 'none', 'nothing', 'cannot', 'can''t', 'don''t', 'isn''t', 'won''t']) THEN -0.74 ELSE 1 END, 0) AS v FROM w LEFT JOIN l USING (term))
+SELECT doc_id, round(sum(v) / sqrt(sum(v) * sum(v) + 15), 6) AS compound, round(count(*) FILTER (v > 0) / count(*), 6) AS pos, round(count(*) FILTER (v < 0) / count(*), 6) AS neg, round(count(*) FILTER (v = 0) / count(*), 6) AS neu FROM v GROUP BY doc_id""")
 def dictionary_sentiment(spark, sf_dir):
     from .operators import models
     d = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("ws"))
