@@ -7,9 +7,13 @@ import uuid
 
 
 def shared_dir(spark):
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a temporary one for a local session, as in tests.  The
+    machines of a cluster share no such folder, so any other session is refused."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         made = tempfile.mkdtemp(prefix="chronotext-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         folder = f"file://{made}"

@@ -10,7 +10,8 @@ owners.  Groups are sorted by the difference-cover algorithm modulo 3: sampled t
 of names is sorted by recursion, the remaining suffixes are sorted by their first byte and the sample's ranks, and the
 two are merged; neighbours in the suffix array whose first ``length`` bytes are equal repeat.  A context with two owners
 repeats as a whole.  Contexts of frequent anchors are first split by ranges of the window's place and the bytes all
-windows of the range have in common, so that no group grows with the number of owners of an anchor.
+windows of the range have in common.  What is alike over a whole range still meets in one task, as do the rows of one
+anchor hash while they are counted: such a group grows with the owners of its anchor.
 
 Texts are known by 64-bit hashes; equal texts are worked on once, and repeat as a whole if they have ``length`` bytes.
 Null is the empty text; texts shorter than ``length`` keep all.  Ids may be null or repeated.  An empty table gives an
