@@ -1,7 +1,9 @@
 """Set operations, upserts, patches and diffs."""
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def aligned_union(*frames: DataFrame) -> DataFrame:
     out = frames[0]
@@ -40,3 +42,21 @@ def without_any(df: DataFrame, exclusions) -> DataFrame:
 def grid(a: DataFrame, b: DataFrame, results: DataFrame, keys, status: str = "status", sentinel: str = "not_found") -> DataFrame:
     """Every pair of two small tables with its result, or a sentinel."""
     return a.crossJoin(b).join(results, list(keys), "left").withColumn(status, F.coalesce(F.col(status), F.lit(sentinel)))
+
+
+def numbered(df: DataFrame, out: str = "place") -> DataFrame:
+    """Rows with their place from 0 in the order of the table's partitions and rows, from the partitions' counts: no
+    window goes over all rows.  The table is written once, so that both passes see the same order."""
+    held = cut(df).withColumn("__id", F.monotonically_increasing_id())
+    held = held.withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND((1 << 33) - 1)})
+    counts = held.groupBy("__part").agg(F.count("*").alias("__n"))  # one row a partition
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return held.join(F.broadcast(counts.select("__part", before.alias("__before"))), "__part").select(*df.columns, (F.col("__before") + F.col("__at")).alias(out))
+
+
+def zipped(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows side by side by their place in both tables; tables of unequal length are refused."""
+    a, b = numbered(left, "__place"), numbered(right, "__place")
+    if (n := a.count()) != (m := b.count()):
+        raise ValueError(f"{n} rows against {m}")
+    return a.join(b, "__place").drop("__place")

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import density, embeddings, linear, models, tagging
+from .operators import density, embeddings, entities, linear, models, sets, tagging
 from .queries import WORDS, register, table
 
 _FIRST = "'i', 'me', 'my', 'mine', 'myself'"
@@ -75,3 +75,29 @@ def scored_documents(spark, sf_dir):
     model = linear.fit(d.join(l, "doc_id").select("text", kind.alias("label")), "text", "label", ["negative", "neutral", "positive"], rounds=10)
     load, schema = linear.scorer(model)
     return models.score_rows(d, "text", load, schema).drop("text")
+
+
+@register(f"""
+WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents), g AS (SELECT phrase, min(label) AS label FROM (
+  SELECT array_to_string(ws[1:2], ' ') AS phrase, 'PERSON' AS label FROM d WHERE len(ws) >= 3 UNION ALL SELECT array_to_string(ws[1:3], ' '), 'PLACE' FROM d WHERE len(ws) >= 3 AND doc_id % 2 = 0 UNION ALL SELECT ws[3], 'TERM' FROM d WHERE len(ws) >= 3 AND doc_id % 5 = 0) GROUP BY phrase),
+w AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d), c AS (SELECT doc_id, i - 1 AS s, n, array_to_string(ws[i:i + n - 1], ' ') AS phrase FROM w, (VALUES (1), (2), (3)) t(n) WHERE i + n - 1 <= len(ws)),
+h AS (SELECT doc_id, list({{'s': s, 'n': n, 'l': label, 'e': 0::BIGINT, 'k': 0::BIGINT, 'p': 0::BIGINT, 'x': 0::BIGINT}} ORDER BY s, n DESC) AS spans FROM c JOIN g USING (phrase) GROUP BY doc_id),
+f AS (SELECT doc_id, list_reduce([{{'s': 0, 'n': 0, 'l': '', 'e': 0::BIGINT, 'k': 0::BIGINT, 'p': 0::BIGINT, 'x': 0::BIGINT}}] || spans, lambda a, b: CASE WHEN b.s >= a.e THEN {{'s': 0, 'n': 0, 'l': '', 'e': b.s + b.n, 'k': a.k + 1, 'p': a.p + CASE WHEN b.l = 'PERSON' THEN 1 ELSE 0 END, 'x': a.x + b.s * b.n}} ELSE a END) AS r FROM h)
+SELECT doc_id, coalesce(r.k, 0) AS n_entities, coalesce(r.p, 0) AS n_persons, coalesce(r.x, 0) AS weight FROM d LEFT JOIN f USING (doc_id)""")
+def document_entities(spark, sf_dir):
+    """Openings of documents as a gazetteer of three labels, found in all documents, the longest of those that start first."""
+    d = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("ws"))
+    three = d.where(F.size("ws") >= 3)
+    phrase = lambda n: F.array_join(F.slice("ws", 1, n), " ").alias("phrase")
+    gazetteer = three.select(phrase(2), F.lit("PERSON").alias("label")).unionAll(three.where("doc_id % 2 = 0").select(phrase(3), F.lit("PLACE"))).unionAll(three.where("doc_id % 5 = 0").select(F.col("ws")[2], F.lit("TERM")))
+    out = entities.entities(d, "doc_id", F.col("ws"), gazetteer)
+    weight = F.aggregate("entities", F.lit(0).cast("long"), lambda s, e: s + e["start"] * e["n"])
+    return out.select("doc_id", "n_entities", F.size("persons").alias("n_persons"), weight.alias("weight"))
+
+
+@register("""
+SELECT a.p_partkey, b.p_partkey AS other FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS n FROM part) a JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey) AS n FROM part) b USING (n)""")
+def zipped_parts(spark, sf_dir):
+    """Parts by key beside parts by size, row for row."""
+    p = table(spark, sf_dir, "part")
+    return sets.zipped(p.select("p_partkey").orderBy("p_partkey"), p.orderBy("p_size", "p_partkey").select(F.col("p_partkey").alias("other")))
