@@ -3,7 +3,6 @@
 Fuzzy scores are 0 to 100, from the longest common subsequence: 100 * 2 * L / (m + n).  Fuzzy pairs come from
 ``fuzzy.similar_titles``, which finds all of them without a shared word.  Containment is found by character strings.
 """
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -190,19 +189,3 @@ def lookup_chain(df: DataFrame, lookups) -> DataFrame:
         out = out.withColumn(name, F.when(guard[0], F.col("value")) if guard else F.col("value")).drop("value")
         names.append(name)
     return out.withColumn("found", F.coalesce(*names)).drop(*names)
-
-
-def greedy_groups(df: DataFrame, keys, order, same, out: str = "group_id") -> DataFrame:
-    """Within a block, each row joins the first group whose first member ``same`` accepts; else it opens one."""
-    def one(rows):
-        rows = rows.sort_values(list(order)).reset_index(drop=True)
-        firsts, ids = [], []
-        for r in rows.to_dict("records"):
-            at = next((i for i, f in enumerate(firsts) if same(f, r)), None)
-            if at is None:
-                at = len(firsts)
-                firsts.append(r)
-            ids.append(at)
-        return rows.assign(**{out: np.array(ids, dtype="int64")})
-    from pyspark.sql import types as T
-    return df.groupBy(*keys).applyInPandas(one, T.StructType([*df.schema.fields, T.StructField(out, T.LongType())]))

@@ -715,4 +715,4 @@ def flags(spark, sf_dir):
     return d.select("doc_id", text.matches(F.col("text"), r"\b(?:19|20)\d{2}\b").alias("dated"), text.has_word(F.col("text"), ["the", "and"]).alias("worded"))
 
 
-from . import queries_models, queries_records, queries_texts  # noqa: E402, F401  (registers its own)
+from . import queries_groups, queries_models, queries_records, queries_texts  # noqa: E402, F401  (registers its own)
