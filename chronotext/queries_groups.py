@@ -1,8 +1,8 @@
 """Registered queries of greedy grouping and of functions called from SQL text."""
 from pyspark.sql import functions as F
 
-from .functions import text
-from .operators import grouping
+from .functions import tables, text
+from .operators import aggregates, grouping
 from .queries import register, table
 
 
@@ -44,3 +44,41 @@ def opening_groups(spark, sf_dir):
     """Documents by the first document whose first eight words resemble theirs."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(text.tokens(F.col("text")), 1, 8), " ").alias("title"))
     return grouping.title_groups(d, "doc_id", "title", 88.0).select("doc_id", "group_id")
+
+
+def _sql(spark, sf_dir, query, *names, **views):
+    """A SQL text over tables of the folder, with the library's functions; {name} stands for a table's frame."""
+    tables.register(spark)
+    return spark.sql(query, **{n: table(spark, sf_dir, n) for n in names}, **views)
+
+
+@register("""
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS place, turn::VARCHAR AS marker, role AS credit, length(text) AS n_chars FROM conversations WHERE NOT contains(text, '[') AND NOT contains(text, ']') AND trim(text) <> ''""")
+def sections_by_sql(spark, sf_dir):
+    """Turns as sections of one text, taken apart by a table function in a lateral join."""
+    c = table(spark, sf_dir, "conversations").where("not contains(text, '[') and not contains(text, ']') and trim(text) <> ''")
+    parts = aggregates.ordered_text(c.withColumn("part", F.format_string("[%d: %s]\n%s", "turn", "role", "text")), ["conv_id"], "turn", "part", "\n")
+    return _sql(spark, sf_dir, "SELECT conv_id, s.place, s.marker, s.credit, length(s.body) AS n_chars FROM {parts}, LATERAL text_sections(joined) s WHERE s.marker <> ''", parts=parts)
+
+
+@register("""
+WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, round(avg(value), 6) AS trimmed FROM r WHERE i > floor(n * 0.1 + 1e-9) AND i <= n - floor(n * 0.1 + 1e-9) GROUP BY event_type""")
+def trimmed_means(spark, sf_dir):
+    return _sql(spark, sf_dir, "SELECT event_type, round(trimmed_mean(value, 0.1), 6) AS trimmed FROM {events} GROUP BY event_type", "events")
+
+
+@register()
+def change_points_by_sql(spark, sf_dir):
+    """Days at which a type's mean value changes its level."""
+    return _sql(spark, sf_dir, """
+WITH days AS (SELECT event_type, to_date(ts) AS day, avg(value) AS value FROM {events} GROUP BY event_type, to_date(ts))
+SELECT event_type, period AS day, round(before, 6) AS before, round(after, 6) AS after FROM change_points(TABLE(days), keys => 'event_type', period => 'day', value => 'value', penalty => 100)""", "events")
+
+
+@register()
+def bootstrap_by_sql(spark, sf_dir):
+    """Mean order value of each priority with its interval."""
+    return _sql(spark, sf_dir, """
+WITH o AS (SELECT o_orderpriority, o_totalprice FROM {orders})
+SELECT o_orderpriority, n, round(mean, 6) AS mean, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM bootstrap_interval(TABLE(o), keys => 'o_orderpriority', value => 'o_totalprice', draws => 400)""", "orders")
