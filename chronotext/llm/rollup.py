@@ -1,13 +1,17 @@
 """Token counts: totals by source, language and tokenizer version, maintained from signed changes.
 
 A change says what a document adds to or takes from a group: inserts carry +1 document and +tokens, deletes -1 and
--tokens, revisions 0 documents and the difference.  A batch is aggregated to one row per group and written as the
-folder ``batch_id=<id>``, replacing what a former attempt left there: committing a batch again changes nothing.  Totals
-are the sums over the committed batches; groups whose documents and tokens are both zero are left out.
+-tokens, revisions 0 documents and the difference.  A batch is aggregated to one row per group and written to a folder of
+its own; then an empty file in the folder ``commits``, whose name tells batch, version and folder, commits it at once.
+Readers take each batch's last version, so an attempt that fails at any point changes nothing, a batch that is committed
+again replaces itself, and readers never see a batch half written or gone.  ``sweep`` deletes the folders that no commit
+names any more.  Totals are the sums over the committed batches; groups whose documents and tokens are both zero are left out.
 
 Null sources, languages and versions are groups of their own; null token counts count as 0; null texts have no tokens.
-Repeated rows each count.  An empty batch commits an empty folder.  Changes are read by name, other columns ignored.
+Repeated rows each count.  An empty batch commits no rows.  Changes are read by name, other columns ignored.
 """
+import uuid
+
 from pyspark.sql import functions as F
 
 from .store import shared_dir, stored
@@ -34,14 +38,48 @@ def revisions(rows):
     return rows.select(*KEYS, F.lit(0).cast("long").alias("documents"), (F.coalesce("new_tokens", F.lit(0)) - F.coalesce("tokens", F.lit(0))).cast("long").alias("tokens"))
 
 
+def _files(spark, path):
+    """The file system of a path, and a maker of its paths."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(context._jsc.hadoopConfiguration()), at
+
+
+def committed(spark, path):
+    """{batch: (version, folder)} of each batch's last version: one name a batch, whatever its rows.
+
+    Of two attempts that reached one version at a time, the greater name counts for all readers."""
+    files, at = _files(spark, path)
+    folder, last = at(f"{path}/commits"), {}
+    for status in files.listStatus(folder) if files.exists(folder) else ():
+        batch, version, name = status.getPath().getName().split(".")
+        last[int(batch)] = max(last.get(int(batch), (0, "")), (int(version), name))
+    return last
+
+
 def commit(path, batch_id, changes):
     """Adds a batch of changes to the rollup at ``path``; the same batch may be committed again."""
+    spark, batch, name = changes.sparkSession, int(batch_id), uuid.uuid4().hex
     delta = changes.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-    delta.write.mode("overwrite").parquet(f"{path}/batch_id={int(batch_id)}")
+    delta.write.parquet(f"{path}/batches/{name}")
+    files, at = _files(spark, path)
+    version = committed(spark, path).get(batch, (0, ""))[0] + 1
+    files.create(at(f"{path}/commits/{batch}.{version}.{name}"), False).close()
+
+
+def sweep(spark, path):
+    """Deletes what failed attempts and replaced versions left; to be run while no batch is written or read."""
+    files, at = _files(spark, path)
+    kept = {name for _, name in committed(spark, path).values()}
+    folder = at(f"{path}/batches")
+    for status in files.listStatus(folder) if files.exists(folder) else ():
+        if status.getPath().getName() not in kept:
+            files.delete(status.getPath(), True)
 
 
 def totals(spark, path):
-    deltas = spark.read.schema(DELTA_TYPE + ", batch_id long").parquet(path)
+    folders = [f"{path}/batches/{name}" for _, name in committed(spark, path).values()]
+    deltas = spark.read.schema(DELTA_TYPE).parquet(*folders) if folders else spark.createDataFrame([], DELTA_TYPE)
     summed = deltas.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
     return summed.where("documents <> 0 or tokens <> 0")
 
@@ -49,7 +87,6 @@ def totals(spark, path):
 def op2_token_rollup(spark, sf_dir):
     """All documents are inserted; then some are deleted, some revised and some moved to another source, in batches of
     which the second is committed twice."""
-    import uuid
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     wide = docs.select("doc_id", "source", "lang", *(count_tokens(F.col("text"), t).alias(t) for t in COUNTERS))
     long = stored(wide, "counts").select("doc_id", "source", "lang", F.col("alnum-1").alias("alnum"), F.explode(F.create_map(*(c for t in COUNTERS for c in (F.lit(t), F.col(f"`{t}`"))))).alias("tokenizer", "tokens"))

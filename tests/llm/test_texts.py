@@ -295,6 +295,20 @@ def test_rollup(spark, tmp_path):
     rollup.commit(path, 3, rollup.deletes(rows.where("source is null")))
     rollup.commit(path, 4, rollup.inserts(rows.limit(0)))
     assert rollup.totals(spark, path).count() == 1
+    before = sorted(rollup.totals(spark, path).collect())
+    with pytest.raises(Exception):  # an attempt that fails while it runs, and one that is lost before its commit
+        rollup.commit(path, 2, rollup.inserts(rows.withColumn("tokens", F.raise_error(F.lit("lost")).cast("long"))))
+    rollup.inserts(rows).write.parquet(f"{path}/batches/lost")
+    assert sorted(rollup.totals(spark, path).collect()) == before
+    read = rollup.totals(spark, path)
+    rollup.commit(path, 2, rollup.revisions(rows.limit(1).withColumn("new_tokens", F.lit(105).cast("long"))))
+    assert sorted(read.collect()) == before and sorted(map(tuple, rollup.totals(spark, path).collect())) == [("a", "en", "t", 2, 110)]
+    rollup.sweep(spark, path)
+    assert sorted(map(tuple, rollup.totals(spark, path).collect())) == [("a", "en", "t", 2, 110)] and len(list((tmp_path / "rollup" / "batches").iterdir())) == 4
+    assert rollup.totals(spark, str(tmp_path / "none")).count() == 0
+    clash = rows.withColumns({"documents": F.lit("x"), "batch_id": F.lit(9)})
+    rollup.commit(path, 5, rollup.inserts(clash))
+    assert rollup.totals(spark, path).where("source = 'a'").first().documents == 4
 
 
 def test_fingerprints(spark):
