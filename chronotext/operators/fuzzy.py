@@ -139,11 +139,12 @@ def _cover(a: DataFrame, b: DataFrame, least: float, block: int) -> DataFrame:
     return _met(asked.select("a", "word", need.alias("need")), held, ["word"], F.col("n") >= F.col("need"), block)
 
 
-def similar_titles(left: DataFrame, right: DataFrame, a: str, b: str, least: float, block: int = BLOCK) -> DataFrame:
+def similar_titles(left: DataFrame, right: DataFrame, a: str, b: str, least: float, block: int = BLOCK, once: bool = False) -> DataFrame:
     """(a, b, score): all pairs of distinct titles of the two columns whose token-set ratio is ``least`` or more.
     Titles are words parted by single spaces, as ``normal_title`` gives them; null and empty ones have no pairs.
 
-    Titles of equal word sets are compared once.  Below 80 very short titles are compared with all of a length."""
+    Titles of equal word sets are compared once.  Below 80 very short titles are compared with all of a length.
+    ``once`` is for a table with itself: a pair is scored and told in one direction."""
     if not 50 <= least <= 100:
         raise ValueError("least must be from 50 to 100")
     from .linkage import token_set_ratio
@@ -153,8 +154,11 @@ def similar_titles(left: DataFrame, right: DataFrame, a: str, b: str, least: flo
 
     x, y = named(left, a), named(right, b)
     xs, ys = x.select("id", "title").distinct(), y.select("id", "title").distinct()
-    swapped = _cover(ys, xs, least, block).select(F.col("b").alias("a"), F.col("a").alias("b"))
-    pairs = _near(xs, ys, least, block).unionAll(_cover(xs, ys, least, block)).unionAll(swapped).distinct()
+    pairs = _near(xs, ys, least, block).unionAll(_cover(xs, ys, least, block))
+    if once:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    else:
+        pairs = pairs.unionAll(_cover(ys, xs, least, block).select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     full = pairs.join(xs.toDF("a", "x"), "a").join(ys.toDF("b", "y"), "b")
     scored = full.select("a", "b", token_set_ratio("x", "y").alias("score")).where(F.col("score") >= least)
     said = scored.join(x.select(F.col("id").alias("a"), F.col("said").alias("l")), "a").join(y.select(F.col("id").alias("b"), F.col("said").alias("r")), "b")

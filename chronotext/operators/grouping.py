@@ -89,7 +89,7 @@ def title_groups(df: DataFrame, key: str, title: str, least: float = 88.0, finis
     Rows of equal normal titles are one node, so copies are never paired.  A row without a title is its own group."""
     rows = df.withColumn("__title", F.coalesce(normal_title(F.col(title)), F.lit("")))
     firsts = cut(rows.where("__title <> ''").groupBy("__title").agg(F.min(key).alias("node")))
-    met = similar_titles(firsts, firsts, "__title", "__title", least, block).where("a < b").select("a", "b")
+    met = similar_titles(firsts, firsts, "__title", "__title", least, block, once=True).where("a <> b").select("a", "b")
     number = lambda side: firsts.select(F.col("__title").alias(side), F.col("node").alias(f"n{side}"))
     pairs = met.join(number("a"), "a").join(number("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     groups = firsts.join(greedy_groups(firsts.select("node"), pairs, finish), "node").select("__title", F.col("group_id").alias(out))
