@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 from ..functions.text import signature, skeleton, squeeze
 
 
-def curated(rows: DataFrame, title: str, text: str, value: str, bucket: str, ok: Column, caps: dict, total: int) -> DataFrame:
+def curated(rows: DataFrame, title: str, text: str, value: str, bucket: str, ok: Column, caps: dict, total: int, ties=()) -> DataFrame:
     """The best row of each title and text (case and spaces don't matter) that is ``ok``; of each bucket in ``caps`` its best
-    rows, of all others any number; once per title and skeleton, in the order of the buckets, up to ``total`` rows."""
-    order = [F.desc(value), title, text]
+    rows, of all others any number; once per title and skeleton, in the order of the buckets, up to ``total`` rows.
+    ``ties`` are columns that order rows of equal value, title and text, whose buckets may differ."""
+    order = [F.desc(value), title, text, *ties]
     best = Window.partitionBy(title, F.lower(squeeze(F.col(text)))).orderBy(*order)
     once = rows.withColumn("__n", F.row_number().over(best)).where("__n = 1").where(F.coalesce(ok, F.lit(False)))
     place = F.lit(len(caps))

@@ -237,8 +237,10 @@ WITH b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, low
 SELECT p_brand, p_name, p_size, row_number() OVER (ORDER BY place, p_size DESC, p_brand, p_name) AS rank FROM d WHERE j = 1 ORDER BY place, p_size DESC, p_brand, p_name LIMIT 80""")
 def curated_parts(spark, sf_dir):
     """A top-80 report by its nature."""
-    p = table(spark, sf_dir, "part").groupBy("p_brand", "p_name", "p_type").agg(F.max("p_size").alias("p_size"))
-    return curation.curated(p, "p_brand", "p_name", "p_size", "p_type", F.col("p_size") > 5, {"PROMO": 12, "ECONOMY": 25}, 80).select("p_brand", "p_name", "p_size", "rank")
+    best = F.max(F.struct("p_size", (-F.col("p_partkey")).alias("last"))).alias("best")
+    p = table(spark, sf_dir, "part").groupBy("p_brand", "p_name", "p_type").agg(best).select("p_brand", "p_name", "p_type", "best.p_size", (-F.col("best.last")).alias("p_partkey"))
+    out = curation.curated(p, "p_brand", "p_name", "p_size", "p_type", F.col("p_size") > 5, {"PROMO": 12, "ECONOMY": 25}, 80, ["p_partkey"])
+    return out.select("p_brand", "p_name", "p_size", "rank")
 
 
 @register("""
