@@ -87,9 +87,10 @@ SELECT doc_id, coalesce(r.k, 0) AS n_entities, coalesce(r.p, 0) AS n_persons, co
 def document_entities(spark, sf_dir):
     """Openings of documents as a gazetteer of three labels, found in all documents, the longest of those that start first."""
     d = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("ws"))
-    three = d.where(F.size("ws") >= 3)
-    phrase = lambda n: F.array_join(F.slice("ws", 1, n), " ").alias("phrase")
-    gazetteer = three.select(phrase(2), F.lit("PERSON").alias("label")).unionAll(three.where("doc_id % 2 = 0").select(phrase(3), F.lit("PLACE"))).unionAll(three.where("doc_id % 5 = 0").select(F.col("ws")[2], F.lit("TERM")))
+    opening = lambda n, label: F.struct(F.array_join(F.slice("ws", 1, n), " ").alias("phrase"), F.lit(label).alias("label"))
+    third = F.struct(F.col("ws")[2].alias("phrase"), F.lit("TERM").alias("label"))
+    openings = F.array(opening(2, "PERSON"), F.when(F.col("doc_id") % 2 == 0, opening(3, "PLACE")), F.when(F.col("doc_id") % 5 == 0, third))
+    gazetteer = d.where(F.size("ws") >= 3).select(F.explode(openings).alias("x")).where("x is not null").select("x.phrase", "x.label")
     out = entities.entities(d, "doc_id", F.col("ws"), gazetteer)
     weight = F.aggregate("entities", F.lit(0).cast("long"), lambda s, e: s + e["start"] * e["n"])
     return out.select("doc_id", "n_entities", F.size("persons").alias("n_persons"), weight.alias("weight"))
