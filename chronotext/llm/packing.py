@@ -24,7 +24,7 @@ from .store import stored
 
 CAPACITY = 4096
 END_ID = 2
-CACHED_WORDS, CACHED_PARTS = 400_000, 1_000_000  # of at most 64 bytes, in each worker process while it packs
+CACHED = 300_000  # words and parts of at most 64 bytes, in each of two generations of a worker's cache
 SIGNS = b".,;:!?#$%&*()[]{}-_=+/|@^~`\"<>\\"
 SLICE_ROWS = 500_000
 
@@ -51,45 +51,61 @@ class WordCache(dict):
     tokenizer takes them apart and folds case itself.  It does so after it has normalised them, so letters that end
     in a mark then (a dotted capital I, letters that composition leaves apart) stay with their signs.  A tokenizer of
     another kind encodes whole texts.
+
+    Words and their parts share the cache, as a part alone has the ids of that word.  A full cache becomes the old
+    generation, from which words that come again move to the new one: what comes once goes, what is frequent stays.
     """
 
     def __init__(self, json_text):
         from tokenizers import Tokenizer
         super().__init__()
         self.tokenizer = Tokenizer.from_str(json_text)
-        self.parts = {}
-        self.apart = takes_words_apart(json.loads(json_text))
+        self.old = {}
+        settings = json.loads(json_text)
+        self.apart = takes_words_apart(settings)
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        whole = [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(letters)] == [letters] if self.apart else False
+        self.plain = whole and not any(t["content"].isalpha() for t in settings.get("added_tokens") or [])
 
     def __missing__(self, word):
-        core = word.rstrip(SIGNS)
-        if self._is_letters(core, len(core) < len(word)):
-            ids = self._part(core.lower())
-            if len(core) < len(word):
-                ids += self._part(word[len(core) :])
-        else:
-            ids = self._part(word)
+        ids = self.old.get(word)
+        if ids is None:
+            core = word.rstrip(SIGNS)
+            parts = (core.lower(), word[len(core) :]) if self._is_letters(core, len(core) < len(word)) else (word,)
+            if parts[0] == word or len(parts) == 1:
+                ids = self._encoded(word)
+            else:
+                ids = self[parts[0]] + (self._signs(parts[1]) if parts[1] else b"")
+        return self._kept(word, ids)
+
+    def _kept(self, word, ids):
         if len(word) <= 64:
-            if len(self) >= CACHED_WORDS:
+            if len(self) >= CACHED:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
+    def _signs(self, signs):
+        ids = self.get(signs) or self.old.get(signs)
+        if ids is None:
+            ids = self._encoded(signs)
+        return self._kept(signs, ids)
+
+    def _encoded(self, word):
+        """Ids of one word; lower-case ASCII letters are as they stand what the tokenizer hands its model."""
+        if self.plain and word.isalpha() and word.islower():
+            ids = [t.id for t in self.tokenizer.model.tokenize(word.decode())]
+        else:
+            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
+
     def _is_letters(self, core, before_signs):
         if not core or core.isascii() or not before_signs:
             return core.decode().isalpha()
         text = core.decode()
         return text.isalpha() and self.tokenizer.normalizer.normalize_str(text)[-1].isalpha()
 
-    def _part(self, part):
-        ids = self.parts.get(part)
-        if ids is None:
-            ids = np.array(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-            if len(part) <= 64:
-                if len(self.parts) >= CACHED_PARTS:
-                    self.parts.clear()
-                self.parts[part] = ids
-        return ids
-
     def encode(self, text):
         """Little-endian unsigned 32-bit ids of a UTF-8 text."""
         if not self.apart:
