@@ -11,7 +11,8 @@ two titles is the best of three ratios 200 * L / (m + n), L the longest common s
   does not matter, nor does a common word.
 
 The bits of a signature (a hash of each character with its number among its equals, added by exclusive or) differ in at
-most d places, which the join checks before it makes a row.  Lengths are looked up in classes that widen with them, so
+most d places, and without their common words the titles are at most d edits apart; both are checked in the join before it
+makes a row, as is the length of the common words for the cover.  So what is shuffled after it grows with the real pairs.  Lengths are looked up in classes that widen with them, so
 a title has no more keys than a few times its characters.  Between tasks titles are 64-bit hashes.  Lists of more than ``block`` titles are dealt in blocks, so
 no list of a frequent word or piece is joined in one task.
 """
@@ -65,7 +66,7 @@ def length_class(n: int) -> int:
     return n if n <= 16 else 16 + int(math.log(n / 16, 1.1))
 
 
-KEYS = "id long, size int, low long, high long, gram string, other int"
+KEYS = "id long, title string, size int, low long, high long, gram string, other int"
 
 
 def _keyed(keys_of):
@@ -90,7 +91,7 @@ def _keyed(keys_of):
 
 def _batch(batch, at, rows):
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32())
-    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(r, k) for r, k in zip(rows, kinds))], names=["id", "size", "low", "high", "gram", "other"])
+    return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int64())) for c in (0, 1)), *(pa.array(r, k) for r, k in zip(rows, kinds))], names=["id", "title", "size", "low", "high", "gram", "other"])
 
 
 def _asked(least):
@@ -120,23 +121,31 @@ def _met(asked: DataFrame, held: DataFrame, keys, condition, block: int) -> Data
     return left.join(right, [*keys, "block"]).where(condition).select("a", "b")
 
 
-def _near(a: DataFrame, b: DataFrame, least: float, block: int) -> DataFrame:
-    left = a.mapInArrow(_keyed(_asked(least)), KEYS).toDF("a", "m", "low", "high", "gram", "class")
-    right = b.mapInArrow(_keyed(_held), KEYS).toDF("b", "n", "low2", "high2", "gram", "class")
+def _rest(a: Column, b: Column) -> Column:
+    """The words of a title that another lacks."""
+    return F.array_join(F.array_except(F.split(a, " "), F.split(b, " ")), " ")
+
+
+def _near(a: DataFrame, b: DataFrame, least: float, block: int, once: bool = False) -> DataFrame:
+    left = a.mapInArrow(_keyed(_asked(least)), KEYS).toDF("a", "x", "m", "low", "high", "gram", "class")
+    right = b.mapInArrow(_keyed(_held), KEYS).toDF("b", "y", "n", "low2", "high2", "gram", "class")
     apart = F.bit_count(F.col("low").bitwiseXOR(F.col("low2"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high2")))
     d = F.lit(1 - least / 100) * (F.col("m") + F.col("n")) + 1e-9
-    return _met(left, right, ["gram", "class"], (apart <= d) & (F.abs(F.col("m") - F.col("n")) <= d), block)
+    edits = F.call_function("levenshtein", _rest(F.col("x"), F.col("y")), _rest(F.col("y"), F.col("x")), d.cast("int"))  # -1 beyond
+    condition = (apart <= d) & (F.abs(F.col("m") - F.col("n")) <= d) & (edits >= 0)
+    return _met(left, right, ["gram", "class"], (F.col("a") <= F.col("b")) & condition if once else condition, block)
 
 
 def _cover(a: DataFrame, b: DataFrame, least: float, block: int) -> DataFrame:
-    """Pairs in which the common words may make up enough of ``a``."""
-    words = lambda df, name, size: df.select(F.col("id").alias(name), F.length("title").alias(size), F.explode(F.split("title", " ")).alias("word"))
-    held = words(b, "b", "n")
+    """Pairs in which the common words make up enough of ``a``."""
+    words = lambda df, name, size, title: df.select(F.col("id").alias(name), F.col("title").alias(title), F.length("title").alias(size), F.explode(F.split("title", " ")).alias("word"))
+    held = words(b, "b", "n", "y")
     frequency = held.groupBy("word").agg(F.count("*").alias("f"))
     need = F.lit(least / (200 - least)) * F.col("m") - 1e-9
     behind = F.sum(F.length("word") + 1).over(Window.partitionBy("a").orderBy(F.coalesce("f", F.lit(0)).desc(), F.desc("word")))
-    asked = words(a, "a", "m").join(frequency, "word", "left").withColumn("behind", behind).where((F.col("behind") - 1 >= need) & F.col("f").isNotNull())
-    return _met(asked.select("a", "word", need.alias("need")), held, ["word"], F.col("n") >= F.col("need"), block)
+    asked = words(a, "a", "m", "x").join(frequency, "word", "left").withColumn("behind", behind).where((F.col("behind") - 1 >= need) & F.col("f").isNotNull())
+    common = F.length(F.array_join(F.array_intersect(F.split("x", " "), F.split("y", " ")), " "))
+    return _met(asked.select("a", "x", "word", need.alias("need")), held, ["word"], (F.col("n") >= F.col("need")) & (common >= F.col("need")), block)
 
 
 def similar_titles(left: DataFrame, right: DataFrame, a: str, b: str, least: float, block: int = BLOCK, once: bool = False) -> DataFrame:
@@ -154,7 +163,7 @@ def similar_titles(left: DataFrame, right: DataFrame, a: str, b: str, least: flo
 
     x, y = named(left, a), named(right, b)
     xs, ys = x.select("id", "title").distinct(), y.select("id", "title").distinct()
-    pairs = _near(xs, ys, least, block).unionAll(_cover(xs, ys, least, block))
+    pairs = _near(xs, ys, least, block, once).unionAll(_cover(xs, ys, least, block))
     if once:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     else:
