@@ -6,9 +6,11 @@ from ..operators import changepoints, series, statistics, temporal
 
 
 def proximity(facts: DataFrame, events: DataFrame, fact_time: str, event_time: str, label: str, windows=(90, 180, 365, 730)) -> DataFrame:
-    """Each fact with the last event before it, the days since, and the events in trailing windows."""
+    """Each fact with the last event before it, the days since, and the events in trailing windows.
+
+    Facts are dealt by the hour, so a task's window holds an hour's facts and the one over buckets a row an hour."""
     counted = temporal.trailing_counts(facts, events, fact_time, event_time, windows)
-    last = temporal.asof(counted, events, fact_time, event_time, [label])
+    last = temporal.asof(counted, events, fact_time, event_time, [label], unit="HOUR")
     return last.withColumn("days_since", F.datediff(F.col(fact_time), "event_at"))
 
 
