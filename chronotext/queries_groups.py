@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from .functions import tables, text
-from .operators import aggregates, grouping
+from .operators import aggregates, grouping, statistics
 from .queries import register, table
 
 
@@ -65,7 +65,7 @@ def sections_by_sql(spark, sf_dir):
 WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, round(avg(value), 6) AS trimmed FROM r WHERE i > floor(n * 0.1 + 1e-9) AND i <= n - floor(n * 0.1 + 1e-9) GROUP BY event_type""")
 def trimmed_means(spark, sf_dir):
-    return _sql(spark, sf_dir, "SELECT event_type, round(trimmed_mean(value, 0.1), 6) AS trimmed FROM {events} GROUP BY event_type", "events")
+    return statistics.trimmed_means(table(spark, sf_dir, "events"), ["event_type"], "value", 0.1).withColumn("trimmed", F.round("trimmed", 6))
 
 
 @register()
