@@ -4,9 +4,11 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType, StructType
 
 DRAWS = 42
 
@@ -20,6 +22,23 @@ def syllables(word: Column) -> Column:
     return F.when(letters == "", 0).otherwise(F.greatest(F.lit(1), groups - silent.cast("int") + letters.rlike("[^aeiouy]le$").cast("int")))
 
 
+@F.arrow_udf(StructType().add("total", LongType()).add("one", LongType()).add("many", LongType()))
+def syllable_counts(words: pa.Array) -> pa.Array:
+    """The syllables of all words, and how many words have one, and three or more; null for a null array.
+
+    An Arrow-batched function, in which each distinct word of a batch is looked at once; it counts as ``syllables`` does."""
+    held = words.flatten().dictionary_encode()
+    letters = pc.replace_substring_regex(pa.array([None if w is None else w.lower() for w in held.dictionary.to_pylist()], pa.string()), "[^a-z]", "")
+    groups = pc.count_substring_regex(letters, "[aeiouy]+").to_numpy(zero_copy_only=False)
+    silent = pc.ends_with(letters, "e").to_numpy(zero_copy_only=False).astype(bool) & (groups > 1)
+    more = pc.match_substring_regex(letters, "[^aeiouy]le$").to_numpy(zero_copy_only=False).astype(bool)
+    each = np.where(pc.binary_length(letters).to_numpy(zero_copy_only=False) == 0, 0, np.maximum(1, groups - silent + more))
+    of = np.append(each, 1).astype(np.int64)[pc.fill_null(held.indices, len(each)).to_numpy(zero_copy_only=False)]  # a null word counts as 1
+    ends = np.cumsum(np.concatenate([[0], pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)]))
+    sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[ends]) for x in (of, of == 1, of >= 3)]
+    return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in sums], names=["total", "one", "many"], mask=pc.is_null(words))
+
+
 def total(words: Column, f) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + f(w))
 
@@ -33,7 +52,16 @@ def mean_length(words: Column) -> Column:
 
 
 def mean_syllables(words: Column) -> Column:
-    return F.try_divide(total(words, syllables).cast("double"), F.size(words).cast("double"))
+    return F.try_divide(syllable_counts(words)["total"].cast("double"), F.size(words).cast("double"))
+
+
+def share_of_one_syllable(words: Column) -> Column:
+    return F.try_divide(syllable_counts(words)["one"].cast("double"), F.size(words).cast("double"))
+
+
+def share_of_three_syllables(words: Column) -> Column:
+    """Share of words of three syllables or more."""
+    return F.try_divide(syllable_counts(words)["many"].cast("double"), F.size(words).cast("double"))
 
 
 def share(words: Column, condition) -> Column:

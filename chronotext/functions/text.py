@@ -26,6 +26,11 @@ def tokens(text: Column, pattern: str = r"[a-z']+") -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({pattern})"))
 
 
+def has_token(text: Column, pattern: str = r"[a-z']+") -> Column:
+    """Whether ``tokens`` finds any.  A condition on their number would make Spark find them twice, to filter and to keep."""
+    return F.lower(text).rlike(pattern)
+
+
 def word_count(text: Column, pattern: str = r"\S+") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
 

@@ -43,10 +43,10 @@ WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents), s AS (SELECT doc_id, ws
 SELECT doc_id, len(ws) AS n_words, round(list_sum(list_transform(ws, lambda w: length(w))) / len(ws), 6) AS avg_word_len, round(list_sum(sy) / len(ws), 6) AS avg_syllables,
   round(len(list_filter(sy, lambda x: x = 1)) / len(ws), 6) AS pct_one_syl, round(len(list_filter(sy, lambda x: x >= 3)) / len(ws), 6) AS pct_three_plus_syl FROM s WHERE len(ws) > 0""")
 def word_measures(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("ws")).where(F.size("ws") > 0)
+    d = table(spark, sf_dir, "documents").where(text.has_token(F.col("text"))).select("doc_id", text.tokens(F.col("text")).alias("ws"))
     ws = F.col("ws")
     return d.select("doc_id", F.size("ws").alias("n_words"), F.round(lexical.mean_length(ws), 6).alias("avg_word_len"), F.round(lexical.mean_syllables(ws), 6).alias("avg_syllables"),
-                    F.round(lexical.share(ws, lambda w: lexical.syllables(w) == 1), 6).alias("pct_one_syl"), F.round(lexical.share(ws, lambda w: lexical.syllables(w) >= 3), 6).alias("pct_three_plus_syl"))
+                    F.round(lexical.share_of_one_syllable(ws), 6).alias("pct_one_syl"), F.round(lexical.share_of_three_syllables(ws), 6).alias("pct_three_plus_syl"))
 
 
 @register(f"""
