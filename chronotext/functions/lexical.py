@@ -71,7 +71,7 @@ def share(words: Column, condition) -> Column:
 def flesch_kincaid(words: Column, sentences: Column, digits: int = 2) -> Column:
     """The reading grade, rounded; 0 without words or sentences."""
     n = F.size(words).cast("double")
-    grade = 0.39 * F.try_divide(n, sentences.cast("double")) + 11.8 * F.try_divide(total(words, syllables).cast("double"), n) - 15.59
+    grade = 0.39 * F.try_divide(n, sentences.cast("double")) + 11.8 * F.try_divide(syllable_counts(words)["total"].cast("double"), n) - 15.59
     return F.coalesce(F.round(grade, digits), F.lit(0.0))
 
 
