@@ -32,6 +32,7 @@ def score_rows(df: DataFrame, text: str, load: Callable, schema: str, batch: int
     return df.mapInPandas(run, T.StructType([*df.schema.fields, *extra.fields]))
 
 
+SENT = 200_000  # terms of a lexicon that is sent to the tasks
 BOOST = {"very": 0.293, "really": 0.293, "so": 0.293, "slightly": -0.293, "barely": -0.293}
 NEGATIONS = ("not", "no", "never", "none", "nothing", "cannot", "can't", "don't", "isn't", "won't")
 
@@ -40,21 +41,28 @@ def sentiment(df: DataFrame, key, words: Column, lexicon: DataFrame) -> DataFram
     """Dictionary sentiment of rows of words: each entry's valence, boosted or turned by the three words before it,
     summed and brought to -1 to 1 (``compound``), and the shares of positive, negative and neutral words.
 
-    ``lexicon`` (term, valence) has one row a term, and any number of them.  A row of the plan holds a word and the three
-    before it, so the work is in proportion to the words, however long a text is."""
-    keys = list(key)
+    ``lexicon`` (term, valence) has one row a term, and any number of them: up to ``SENT`` it is sent to the tasks, so that
+    words stay where they are and a shuffled row is a text; a larger one is joined by term, with equal words of a text
+    counted first.  Which one is found by a small job when the plan is built.  A row of the plan holds a word and what the
+    three before it do to it, so the work is in proportion to the words, however long a text is."""
+    keys, lexicon = list(key), lexicon.select("term", F.col("valence").cast("double"))
     near = F.transform(words, lambda w, i: F.struct(w.alias("term"), *(F.get(words, i - k).alias(f"w{k}") for k in (1, 2, 3))))
-    rows = df.select(*keys, F.explode(near).alias("n")).select(*keys, "n.*")
-    scored = rows.join(lexicon.select("term", F.col("valence").cast("double")), "term", "left")
     before = F.array("w1", "w2", "w3")
     boost = F.lit(0.0)
     for w, b in BOOST.items():
         boost = boost + F.when(F.array_contains(before, w), b).otherwise(0.0)
     turned = F.arrays_overlap(F.filter(before, lambda w: w.isNotNull()), F.array(*map(F.lit, NEGATIONS)))
-    value = (F.col("valence") + F.signum("valence") * boost) * F.when(turned, -0.74).otherwise(1.0)
-    valued = scored.withColumn("v", F.coalesce(value, F.lit(0.0)))
-    total, n = F.sum("v"), F.count("*")
-    return valued.groupBy(*keys).agg((total / F.sqrt(total * total + 15)).alias("compound"), (F.count_if(F.col("v") > 0) / n).alias("pos"), (F.count_if(F.col("v") < 0) / n).alias("neg"), (F.count_if(F.col("v") == 0) / n).alias("neu"))
+    rows = df.select(*keys, F.explode(near).alias("__near")).select(*keys, "__near.*")
+    rows = rows.select(*keys, "term", boost.alias("__boost"), turned.alias("__turned"), F.lit(1).cast("long").alias("__n"))
+    if lexicon.limit(SENT + 1).count() <= SENT:
+        lexicon = F.broadcast(lexicon)
+    else:
+        rows = rows.groupBy(*keys, "term", "__boost", "__turned").agg(F.sum("__n").alias("__n"))
+    value = (F.col("valence") + F.signum("valence") * F.col("__boost")) * F.when(F.col("__turned"), -0.74).otherwise(1.0)
+    valued = rows.join(lexicon, "term", "left").withColumn("v", F.coalesce(value, F.lit(0.0)))
+    total, n = F.sum(F.col("v") * F.col("__n")), F.sum("__n")
+    part = lambda held: F.coalesce(F.sum(F.when(held, F.col("__n"))), F.lit(0)) / n
+    return valued.groupBy(*keys).agg((total / F.sqrt(total * total + 15)).alias("compound"), part(F.col("v") > 0).alias("pos"), part(F.col("v") < 0).alias("neg"), part(F.col("v") == 0).alias("neu"))
 
 
 def disagreement(a: Column, b: Column, least: float = 0.5) -> Column:
