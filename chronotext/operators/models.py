@@ -5,6 +5,7 @@ A scorer is loaded once in each task and gets Arrow batches of texts.  Models th
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,18 +75,23 @@ def topics(df: DataFrame, key: str, words: Column, k: int = 10, vocabulary: int
     """Latent topics of rows: (key, topic, weight) and each topic's ten first words.
 
     The model holds k numbers a term on the driver, so only the ``vocabulary`` most frequent terms of two rows or more
-    count; ``density.density_topics`` has no such bound, and outliers."""
+    count; ``density.density_topics`` has no such bound, and outliers.  Counted rows are kept on disk while the model is
+    fitted, since each of its steps reads them; of the vocabulary only each topic's first words go into a plan."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
     rows = df.select(F.col(key), words.alias("__ws")).where(F.size("__ws") > 0)
     counter = CountVectorizer(inputCol="__ws", outputCol="features", vocabSize=vocabulary, minDF=2.0).fit(rows)
-    model = LDA(k=k, seed=seed, maxIter=10, optimizer="online").fit(counter.transform(rows))
+    counted = counter.transform(rows).select(key, "features").persist(StorageLevel.DISK_ONLY)
+    try:
+        model = LDA(k=k, seed=seed, maxIter=10, optimizer="online").fit(counted)
+    finally:
+        counted.unpersist()
     weights = vector_to_array("topicDistribution")
     best = F.array_max(F.transform(weights, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
     assigned = model.transform(counter.transform(rows)).select(key, best["i"].alias("topic"), best["w"].alias("weight"))
-    terms = F.array(*[F.lit(w) for w in counter.vocabulary])
-    named = model.describeTopics(10).select("topic", F.transform("termIndices", lambda i: F.get(terms, i)).alias("top_words"))
+    terms = counter.vocabulary
+    named = df.sparkSession.createDataFrame([(r["topic"], [terms[i] for i in r["termIndices"]]) for r in model.describeTopics(10).collect()], "topic int, top_words array<string>")
     return assigned, named
 
 
