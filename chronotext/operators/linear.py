@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 BITS = 16
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 KEPT = 10  # steps that L-BFGS remembers
+ROWS = 256  # rows of an Arrow batch that a task works on at once
 
 
 def features(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +64,7 @@ def _summed(shipped, classes, bits):
     def summed(batches):
         weights = shipped.value
         gradient, loss = np.zeros_like(weights), 0.0
-        for batch in batches:
+        for batch in (b.slice(a, ROWS) for b in batches for a in range(0, len(b), ROWS)):
             label, at, x, n = batch.column(0).to_numpy(), batch.column(1), batch.column(2), batch.column(3).to_numpy()
             offsets, places, values = at.offsets.to_numpy(), at.values.to_numpy(), x.values.to_numpy()
             rows = np.repeat(np.arange(len(batch)), np.diff(offsets))
@@ -84,18 +85,23 @@ def _summed(shipped, classes, bits):
     return summed
 
 
+def _featured(bits):
+    """Batches of (label, text, n) as small batches of (label, at, x, n), so that a task's memory doesn't grow with its rows."""
+    def featured(batches):
+        for batch in (b.slice(a, ROWS) for b in batches for a in range(0, len(b), ROWS)):
+            held = [features(t.as_py(), bits) for t in batch.column(1)]
+            ends = pa.array(np.cumsum([0, *(len(at) for at, _ in held)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([h[k] for h in held]), kind)) for k, kind in ((0, pa.int32()), (1, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists, batch.column(2)], names=["label", "at", "x", "n"])
+    return featured
+
+
 def prepared(df: DataFrame, text: str, label: str, classes: list, bits: int = BITS) -> DataFrame:
     """(label as its number, at, x, n): distinct rows of features with counts."""
     number = F.coalesce(*(F.when(F.col(label) == c, F.lit(i)) for i, c in enumerate(classes)))
 
-    def made(batches):
-        for batch in batches:
-            held = [features(t, bits) for t in batch.column(1).to_pylist()]
-            lists = [pa.array([h[k].tolist() for h in held], pa.list_(kind)) for k, kind in ((0, pa.int32()), (1, pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists, batch.column(2)], names=["label", "at", "x", "n"])
-
     rows = df.select(number.cast("int").alias("label"), F.col(text).alias("text")).where("label is not null").groupBy("label", "text").agg(F.count("*").alias("n"))
-    return rows.select("label", "text", "n").mapInArrow(made, "label int, at array<int>, x array<double>, n long")
+    return rows.select("label", "text", "n").mapInArrow(_featured(bits), "label int, at array<int>, x array<double>, n long")
 
 
 def loss_and_gradient(rows: DataFrame, weights: np.ndarray, total: float, decay: float, bits: int = BITS):

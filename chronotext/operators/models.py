@@ -4,33 +4,34 @@ A scorer is loaded once in each task and gets Arrow batches of texts.  Models th
 """
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def score_rows(df: DataFrame, text: str, load: Callable, schema: str, batch: int = 64, longer_than: int = -1) -> DataFrame:
     """``load()`` gives a function from a list of texts to a list of rows of ``schema``; null and short texts get nulls.
 
-    Columns of ``df`` are kept; those of ``schema`` must be new."""
+    Columns of ``df`` are kept; those of ``schema`` must be new.  A task holds the texts and results of ``batch`` rows at a
+    time beside the Arrow batch that it reads."""
     extra = T._parse_datatype_string(schema)
-    at = df.columns.index(text)
+    kinds, at = to_arrow_schema(extra), df.columns.index(text)
 
-    def run(frames):
+    def run(batches):
         model = load()
-        for frame in frames:
-            texts = frame.iloc[:, at]
-            rows = [(None,) * len(extra.fields)] * len(frame)
+        for part in (b.slice(a, batch) for b in batches for a in range(0, len(b), batch)):
+            texts = part.column(at).to_pylist()
+            rows = [(None,) * len(kinds)] * len(part)
             chosen = [i for i, t in enumerate(texts) if t is not None and len(t) > longer_than]
-            for a in range(0, len(chosen), batch):
-                part = chosen[a : a + batch]
-                for i, row in zip(part, model([texts.iloc[i] or " " for i in part])):
-                    rows[i] = tuple(row)
-            yield pd.concat([frame.reset_index(drop=True), pd.DataFrame(rows, columns=extra.names)], axis=1)
+            for i, row in zip(chosen, model([texts[i] or " " for i in chosen]) if chosen else ()):
+                rows[i] = tuple(row)
+            made = [pa.array([r[k] for r in rows], kind.type) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *kinds.names])
 
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, *extra.fields]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *extra.fields]))
 
 
 SENT = 200_000  # terms of a lexicon that is sent to the tasks
