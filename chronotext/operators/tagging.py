@@ -14,6 +14,7 @@ times the prior.  All sentences count in every round.
 Null and empty sentences have no tags.  Symbols that were not seen in fitting may be any open class.
 """
 import dataclasses
+import functools
 
 import numpy as np
 import pyarrow as pa
@@ -58,12 +59,14 @@ def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, place, words): the sentences of each text, cut at stops and line ends, with lower-case words in order."""
     parts = F.split(F.lower(F.col(text)), r"[.!?\n]+")
     words = F.regexp_extract_all(F.col("part"), F.lit(r"([\p{L}\p{N}'’]+)"))
-    return df.select(key, F.posexplode(parts).alias("place", "part")).select(key, "place", words.alias("words")).where(F.size("words") > 0)
+    held = F.col("part").rlike(r"[\p{L}\p{N}'’]")  # a condition on the number of words would make Spark find them twice
+    return df.select(key, F.posexplode(parts).alias("place", "part")).where(held).select(key, "place", words.alias("words"))
 
 
 _CLOSED = closed_tags()
 
 
+@functools.lru_cache(1 << 16)
 def symbol(word: str) -> str:
     plain = word.lower().replace("’", "'")
     if plain in _CLOSED:
@@ -145,46 +148,80 @@ def _whole(model: Model) -> Model:
     return model
 
 
-def _by_length(lengths, most=1 << 16):
-    """Numbers of sequences of equal length, in groups of about ``most`` symbols."""
-    for n in np.unique(lengths[lengths > 0]):
-        rows = np.flatnonzero(lengths == n)
-        step = max(1, most // int(n))
-        for a in range(0, len(rows), step):
-            yield rows[a : a + step], int(n)
-
-
-def _grouped(model: Model, column: pa.ListArray):
-    """(rows, where their symbols lie, places of these: n x length each) of an Arrow column of arrays of symbols."""
+def _packed(model: Model, column: pa.ListArray, most=1 << 16):
+    """(rows, where their symbols lie, places of these, sizes) of an Arrow column of arrays of symbols, in blocks of about
+    ``most`` symbols.  Rows go by falling length and symbols by step: first all first symbols, then all second ones; a
+    size says how many rows have a symbol at that step.  So sentences of all lengths share a step."""
     offsets, seen = column.offsets.to_numpy(), pa.array(list(model.names), pa.string())
     at = pc.fill_null(pc.index_in(column.values, value_set=seen), len(seen)).to_numpy(zero_copy_only=False).astype(np.int64)
-    for rows, n in _by_length(np.diff(offsets)):
-        where = offsets[rows][:, None] + np.arange(n)
-        yield rows, where, at[where]
+    lengths = np.diff(offsets)
+    order = np.argsort(-lengths, kind="stable")[: np.count_nonzero(lengths)]
+    block = np.cumsum(np.maximum(lengths[order], 16)) // most
+    for rows in np.split(order, np.flatnonzero(np.diff(block)) + 1) if len(order) else ():
+        sizes = np.cumsum(np.bincount(lengths[rows])[:0:-1])[::-1]
+        step = np.repeat(np.arange(len(sizes)), sizes)
+        where = offsets[rows][_row(sizes)] + step
+        yield rows, where, at[where], sizes
+
+
+def _row(sizes):
+    """The row of each symbol of a block."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _whole_block(x: np.ndarray):
+    """Sequences of one length (n x length) as a block: places by step, and sizes."""
+    return x.T.ravel(), np.full(x.shape[1], len(x))
+
+
+def _by_row(x: np.ndarray, held: np.ndarray, less=0):
+    """A block's numbers of sequences of one length, by row again."""
+    return held.reshape(x.shape[1] - less, len(x), *held.shape[1:]).swapaxes(0, 1)
+
+
+def packed_passes(model: Model, x: np.ndarray, sizes: np.ndarray):
+    """Scaled forward and backward passes over a block (places by step, sizes): posteriors of the tags (one row a symbol),
+    log likelihoods (one a row of the block), and what comes before and after each move (one row a symbol after the first
+    step)."""
+    ends = np.cumsum(sizes)
+    shows, ones = model.shows[x], np.ones(K)
+    ahead, back, right, scale = np.empty_like(shows), np.ones_like(shows), np.empty_like(shows), np.empty(len(x))
+    for t, (b, n) in enumerate(zip(ends.tolist(), sizes.tolist())):
+        a = ahead[b - n : b]
+        if t:
+            np.matmul(ahead[was : was + n], model.moves, out=a)
+            a *= shows[b - n : b]
+        else:
+            np.multiply(shows[:b], model.start, out=a)
+        total = a @ ones
+        lost = total <= 0  # what the model can't show: every tag alike
+        if lost.any():
+            a[lost], total[lost] = 1.0, K
+            scale[b - n : b] = np.where(lost, FLOOR, total)
+        else:
+            scale[b - n : b] = total
+        a /= total[:, None]
+        was = b - n
+    shows /= scale[:, None]
+    for t in range(len(sizes) - 1, 0, -1):
+        b, n = ends[t], sizes[t]
+        r, before = right[b - n : b], b - n - sizes[t - 1]
+        np.multiply(shows[b - n : b], back[b - n : b], out=r)
+        c = np.matmul(r, model.moves.T, out=back[before : before + n])
+        none = c @ ones <= 0
+        if none.any():
+            c[none] = 1
+    tags = ahead * back
+    tags /= (tags @ ones)[:, None]
+    first, moved = sizes[0], np.arange(sizes[0], len(x)) - np.repeat(sizes[:-1], sizes[1:])
+    return tags, np.bincount(_row(sizes), weights=np.log(scale), minlength=first), ahead[moved], right[first:]
 
 
 def passes(model: Model, x: np.ndarray):
     """Scaled forward and backward passes over sequences (n x length of places): posteriors of the tags (n x length x
     K), log likelihoods (n), and what comes before and after each move (n x length - 1 x K each)."""
-    n, length = x.shape
-    shows = model.shows[x]
-    ahead, back, scale = np.empty((n, length, K)), np.empty((n, length, K)), np.empty((n, length))
-    for t in range(length):
-        a = (model.start if t == 0 else ahead[:, t - 1] @ model.moves) * shows[:, t]
-        total = a.sum(1)
-        lost = total <= 0  # what the model can't show: every tag alike
-        a[lost], total[lost] = 1.0, K
-        scale[:, t] = np.where(lost, FLOOR, total)
-        ahead[:, t] = a / total[:, None]
-    right = np.empty((n, length, K))
-    back[:, -1] = 1
-    for t in range(length - 1, 0, -1):
-        right[:, t] = shows[:, t] * back[:, t] / scale[:, t, None]
-        b = right[:, t] @ model.moves.T
-        back[:, t - 1] = np.where(b.max(1, keepdims=True) > 0, b, 1)
-    tags = ahead * back
-    tags /= tags.sum(2, keepdims=True)
-    return tags, np.log(scale).sum(1), ahead[:, :-1], right[:, 1:]
+    tags, log, before, after = packed_passes(model, *_whole_block(x))
+    return _by_row(x, tags), log, _by_row(x, before, 1), _by_row(x, after, 1)
 
 
 def expected_moves(model: Model, before: np.ndarray, after: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -192,23 +229,37 @@ def expected_moves(model: Model, before: np.ndarray, after: np.ndarray, weight:
     return model.moves * ((before * weight[:, None, None]).reshape(-1, K).T @ after.reshape(-1, K))
 
 
-def best_tags(model: Model, x: np.ndarray) -> np.ndarray:
-    """Viterbi: the likeliest tags of sequences (n x length); of equal ones the first in ``TAGS``, from the end back."""
+def logs(model: Model):
+    """Logarithms of a model's start, transitions and symbols (one column each)."""
     with np.errstate(divide="ignore"):
-        start, moves, shows = np.log(model.start), np.log(model.moves), np.maximum(np.log(model.shows[x]), -1e9)
-    n, length = x.shape
-    score, came = start + shows[:, 0], np.empty((n, length, K), np.int8)
-    for t in range(1, length):
-        ways = score[:, :, None] + moves[None]
-        came[:, t] = ways.argmax(1)
-        score = ways.max(1) + shows[:, t]
-    out = np.empty((n, length), np.int64)
-    out[:, -1] = score.argmax(1)
-    for t in range(length - 1, 0, -1):
-        out[:, t - 1] = came[np.arange(n), t, out[:, t]]
+        return np.log(model.start), np.log(model.moves), np.maximum(np.log(np.ascontiguousarray(model.shows.T)), -1e9)
+
+
+def packed_tags(known, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Viterbi over a block, given a model's ``logs``: the likeliest tag of each symbol; of equal ones the first in
+    ``TAGS``, from the end back.  The way back is found again from the scores, for one tag of a row instead of all."""
+    start, moves, shows = known
+    ends, score = np.cumsum(sizes).tolist(), shows[:, x]
+    score[:, : sizes[0]] += start[:, None]
+    for t in range(1, len(sizes)):
+        a, b = ends[t - 1], ends[t]
+        was = a - sizes[t - 1]
+        score[:, a:b] += (score[:, None, was : was + b - a] + moves[:, :, None]).max(0)
+    out, into = np.empty(len(x), np.int64), np.ascontiguousarray(moves.T)
+    for t in range(len(sizes) - 1, -1, -1):
+        b, n = ends[t], sizes[t]
+        going = sizes[t + 1] if t + 1 < len(sizes) else 0
+        held = score[:, b - n : b].T.copy()
+        held[:going] += into[out[b : b + going]]
+        out[b - n : b] = held.argmax(1)
     return out
 
 
+def best_tags(model: Model, x: np.ndarray) -> np.ndarray:
+    """Viterbi: the likeliest tags of sequences (n x length); of equal ones the first in ``TAGS``, from the end back."""
+    return _by_row(x, packed_tags(logs(model), *_whole_block(x)))
+
+
 def _counted(shipped):
     """Expected counts of a task: rows (part, place, K numbers); parts are starts, moves, symbols and log likelihood."""
     def counted(batches):
@@ -216,14 +267,16 @@ def _counted(shipped):
         start, moves, shows, likelihood = np.zeros(K), np.zeros((K, K)), np.zeros_like(model.shows), 0.0
         for batch in batches:
             weights, at, of = batch.column(1).to_numpy().astype(float), [], []
-            for rows, _, x in _grouped(model, batch.column(0)):
-                w = weights[rows]
-                tags, log, before, after = passes(model, x)
-                start += w @ tags[:, 0]
-                moves += expected_moves(model, before, after, w)
-                likelihood += float(w @ log)
-                at.append(x.ravel())
-                of.append((tags * w[:, None, None]).reshape(-1, K))
+            for rows, _, x, sizes in _packed(model, batch.column(0)):
+                w = weights[rows][_row(sizes)][:, None]
+                tags, log, before, after = packed_passes(model, x, sizes)
+                tags *= w
+                start += tags[: sizes[0]].sum(0)
+                before *= w[sizes[0] :]
+                moves += model.moves * (before.T @ after)
+                likelihood += float(weights[rows] @ log)
+                at.append(x)
+                of.append(tags)
             if at:
                 at, of = np.concatenate(at), np.concatenate(of)
                 for k in range(K):
@@ -266,12 +319,12 @@ def tagged(df: DataFrame, model: Model, words: str = "words", out: str = "tags")
     shipped, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(words)
 
     def tag(batches):
-        names = pa.array(TAGS)
+        names, known = pa.array(TAGS), logs(shipped.value)
         for batch in batches:
             seen = symbols(batch.column(at))
             tags = np.zeros(len(seen.values), np.int64)
-            for _, where, x in _grouped(shipped.value, seen):
-                tags[where] = best_tags(shipped.value, x)
+            for _, where, x, sizes in _packed(shipped.value, seen):
+                tags[where] = packed_tags(known, x, sizes)
             made = pa.ListArray.from_arrays(seen.offsets, names.take(pa.array(tags)))
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, out])
 
@@ -304,8 +357,8 @@ def base_form(word: Column) -> Column:
 
 def lexical_line(words: Column, tags: Column) -> Column:
     """At least 6 words, 4 of them distinct, and nouns or verbs of 2 base forms."""
-    held = F.transform(F.filter(_pairs(words, tags), lambda p: p["t"].isin("NOUN", "VERB")), lambda p: base_form(p["w"]))
-    return F.coalesce((F.size(words) >= 6) & (F.size(F.array_distinct(words)) >= 4) & (F.size(F.array_distinct(held)) >= 2), F.lit(False))
+    held = F.array_distinct(F.transform(F.filter(_pairs(words, tags), lambda p: p["t"].isin("NOUN", "VERB")), lambda p: p["w"]))
+    return F.coalesce((F.size(words) >= 6) & (F.size(F.array_distinct(words)) >= 4) & (F.size(F.array_distinct(F.transform(held, base_form))) >= 2), F.lit(False))
 
 
 def first_singular_share(words: Column) -> Column:
