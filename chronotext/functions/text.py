@@ -26,6 +26,11 @@ def tokens(text: Column, pattern: str = r"[a-z']+") -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({pattern})"))
 
 
+def first_tokens(text: Column, n: int) -> Column:
+    """The first ``n`` of ``tokens``; the rest of a text isn't searched."""
+    return tokens(F.regexp_extract(F.lower(text), rf"^(?:[^a-z']*+[a-z']++){{0,{n}}}", 0))
+
+
 def has_token(text: Column, pattern: str = r"[a-z']+") -> Column:
     """Whether ``tokens`` finds any.  A condition on their number would make Spark find them twice, to filter and to keep."""
     return F.lower(text).rlike(pattern)

@@ -9,25 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.text import compact_title, normal_title, relaxed_title
-from .fuzzy import similar_titles
+from .fuzzy import lcs, similar_titles
 from .series import first_per_key
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, in bit-parallel rows."""
-    if not a or not b:
-        return 0
-    places = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        u = row & places.get(c, 0)
-        row = (row + u | row - u) & full
-    return len(a) - row.bit_count()
-
-
 def ratio(a: str, b: str) -> float:
     return 200.0 * lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
 

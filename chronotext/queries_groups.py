@@ -42,7 +42,7 @@ def order_bursts(spark, sf_dir):
 @register()
 def opening_groups(spark, sf_dir):
     """Documents by the first document whose first eight words resemble theirs."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(text.tokens(F.col("text")), 1, 8), " ").alias("title"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.first_tokens(F.col("text"), 8), " ").alias("title"))
     return grouping.title_groups(d, "doc_id", "title", 88.0).select("doc_id", "group_id")
 
 
