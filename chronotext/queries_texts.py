@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import linkage, statistics
+from .operators.lineage import cut
 from .queries import ORACLE_SQL, register, table
 from .sources import markup
 
@@ -202,8 +203,8 @@ SELECT p_partkey, arg_max(other, {{'s': score, 'o': other}}) AS other, round(max
 @register()
 def typed_titles(spark, sf_dir):
     """First words of all documents, with one letter left out by a hash, and the most frequent right ones."""
-    first = F.concat_ws(" ", F.slice(F.split(F.trim("text"), r"\s+"), 1, 4))
-    titles = table(spark, sf_dir, "documents").select(first.alias("title")).groupBy("title").agg(F.count("*").alias("n"))
+    first = F.concat_ws(" ", F.slice(F.split(F.trim("text"), r"\s+", 5), 1, 4))
+    titles = cut(table(spark, sf_dir, "documents").select(first.alias("title")).groupBy("title").agg(F.count("*").alias("n")))
     at = F.pmod(F.xxhash64("title"), F.greatest(F.length("title"), F.lit(1))).cast("int")
     typed = titles.select(F.concat(F.left("title", at), F.expr("substring(title, {} + 2)".format("cast(pmod(xxhash64(title), greatest(length(title), 1)) as int)"))).alias("typed")).distinct()
     out = linkage.best_match(typed, titles, "typed", "title", "n")
