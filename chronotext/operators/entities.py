@@ -17,6 +17,7 @@ from .lineage import cut
 SPAN = "array<struct<start:int,n:int,phrase:string,label:string>>"
 BLOCK = 1024
 PLACES = 1 << 18  # of 64 bits each, in the bitmap
+WORDS = 1 << 18  # of the texts that are gone through at once; one longer text is taken alone
 
 
 def _words(column):
@@ -26,6 +27,18 @@ def _words(column):
     return column.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(sizes)])
 
 
+def _slices(rows, name):
+    """Rows in slices of at most ``WORDS`` words, or of one text: arrays over a batch's words and their phrases are many."""
+    column = rows[name] if isinstance(rows, pa.Table) else rows.column(name)
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    upto = np.cumsum(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+    at = 0
+    while at < len(upto):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + WORDS, side="right")))
+        yield rows.slice(at, to - at)
+        at = to
+
+
 def _phrases(words, bounds, longest):
     """For each length the hashes of the phrases from each word on, and where such a phrase stays inside its text."""
     left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(words))
@@ -52,7 +65,7 @@ def _asked(bitmap, lengths):
     """(block, h): the phrases that a block's texts may hold."""
     def asked(batches):
         held = bitmap.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, "hs")):
             words, bounds = _words(batch.column(1))
             block = np.repeat(batch.column(0).to_numpy(), np.diff(bounds))
             found = []
@@ -72,8 +85,12 @@ def _asked(bitmap, lengths):
 def _found(lengths, schema):
     """The spans of a block's texts, given the phrases that they have."""
     def found(texts: pa.Table, phrases: pa.Table) -> pa.Table:
-        words, bounds = _words(texts["hs"])
         phrases = phrases.sort_by("h").combine_chunks()
+        parts = [some(part, phrases) for part in _slices(texts, "hs")]
+        return pa.concat_tables(parts) if parts else some(texts, phrases)
+
+    def some(texts, phrases):
+        words, bounds = _words(texts["hs"])
         known = phrases["h"].to_numpy().view(np.int64)
         length, which = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         for n, h, inside in _phrases(words, bounds, max(lengths, default=0)):
